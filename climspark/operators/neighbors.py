@@ -203,6 +203,7 @@ def neighbor_correlations(
         .groupBy(F.col(columns.id).cast("long").alias("station"), F.col(columns.date).alias("date"))
         .agg(F.avg(value).alias("a"))
     )
+    daily = stage(daily, "daily")
     known = daily.select("station").distinct()
     pairs = pairs.join(known, "station", "left_semi")
     other = daily.select(F.col("station").alias("neighbor"), "date", F.col("a").alias("b"))

@@ -108,34 +108,22 @@ def score_grains(
 ) -> DataFrame:
     """Long scores ``keys + grain, n, mae, rmse, r2`` at daily, monthly and annual grain.
 
-    For ``sum`` and ``mean`` the rows are shuffled once, already reduced to one partial per key and
-    month; daily and annual figures are folded from those partials.
+    For ``sum`` and ``mean`` every task first reduces its rows to one partial per key and month;
+    daily and annual figures are folded from those partials. A key without pairs has no rows.
     """
     keys = list(keys)
     _check_aggregate(agg)
     pairs = df.select(*keys, date_col, F.col(y_col).cast("double").alias("_y"), F.col(yhat_col).cast("double").alias("_p"))
     pairs = pairs.filter(is_number(F.col("_y")) & is_number(F.col("_p")) & F.col(date_col).isNotNull())
-    if agg == "median":
-        parts = [("daily", score_pairs(pairs, keys, "_y", "_p"))]
-        for grain, freq, _ in GRAINS[1:]:
-            scores, _ = aggregate_and_score(
-                pairs, keys=keys, date_col=date_col, y_col="_y", yhat_col="_p", freq=freq, agg=agg
-            )
-            parts.append((grain, scores))
-    else:
-        months = _month_partials(pairs, keys, date_col)
-        years = (
-            months.withColumn(PERIOD, period_start(F.col(PERIOD), "Y"))
-            .groupBy(*keys, PERIOD)
-            .agg(*[F.sum(c).alias(c) for c in ("_n", "_sum_y", "_sum_p")])
+    if agg != "median":
+        return _score_partials(_month_partials(pairs, keys, date_col), keys, agg)
+    parts = [score_pairs(pairs, keys, "_y", "_p").withColumn("grain", F.lit("daily"))]
+    for grain, freq, _ in GRAINS[1:]:
+        scores, _ = aggregate_and_score(
+            pairs, keys=keys, date_col=date_col, y_col="_y", yhat_col="_p", freq=freq, agg=agg
         )
-        parts = [
-            ("daily", _fold_daily(months, keys)),
-            ("monthly", _score_bins(months, keys, "M", agg)),
-            ("annual", _score_bins(years, keys, "Y", agg)),
-        ]
-    labelled = [scores.select(*keys, F.lit(grain).alias("grain"), *METRICS) for grain, scores in parts]
-    return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
+        parts.append(scores.withColumn("grain", F.lit(grain)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*keys, "grain", *METRICS)
 
 
 def _month_partials(pairs: DataFrame, keys: list[str], date_col: str) -> DataFrame:
@@ -145,46 +133,72 @@ def _month_partials(pairs: DataFrame, keys: list[str], date_col: str) -> DataFra
         F.count(F.lit(1)).alias("_n"),
         F.sum(y).alias("_sum_y"),
         F.sum(p).alias("_sum_p"),
-        F.sum(F.abs(d)).alias("_sum_abs"),
+        F.sum(F.abs(d)).alias("_abs"),
         F.sum(d * d).alias("_sse"),
-        (F.var_pop(y) * F.count(y)).alias("_within"),
+        (F.var_pop(y) * F.count(y)).alias("_spread"),
         F.min(y).alias("_low"),
         F.max(y).alias("_high"),
         F.bool_and(close_to(y, p)).alias("_close"),
     )
 
 
-def _fold_daily(months: DataFrame, keys: list[str]) -> DataFrame:
-    """Daily scores from month partials: total spread = spread within months + between months."""
+def _score_partials(months: DataFrame, keys: list[str], agg: str) -> DataFrame:
+    """All three grains from month partials, in one lineage: the rows are read and shuffled once.
+
+    After the second shuffle, by key, nothing moves any more: the bins, the gaps between them and
+    the scores all stay within a key. A key brings one row per month, never raw rows.
+    """
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     centre = F.sum("_sum_y").over(whole) / F.sum("_n").over(whole)
     shift = F.col("_sum_y") / F.col("_n") - F.col("_centre")
-    total = F.sum("_n")
-    sums = (
+    daily, annual = F.col("grain") == "daily", F.col("grain") == "annual"
+    # Total spread of the days = spread within months + spread between them.
+    bins = (
         months.withColumn("_centre", centre)
-        .groupBy(*keys)
+        .withColumn("_spread", F.col("_spread") + F.col("_n") * shift * shift)
+        .withColumn("grain", F.explode(F.array(*[F.lit(g) for g, _, _ in GRAINS])))
+        .withColumn(PERIOD, F.when(annual, period_start(F.col(PERIOD), "Y")).otherwise(F.col(PERIOD)))
+        .groupBy(*keys, "grain", PERIOD)
         .agg(
-            total.alias("n"),
-            F.try_divide(F.sum("_sum_abs"), total).alias("mae"),
-            F.sqrt(F.try_divide(F.sum("_sse"), total)).alias("rmse"),
-            F.sum("_sse").alias("_sse"),
-            F.sum(F.col("_within") + F.col("_n") * shift * shift).alias("_sst"),
+            *[F.sum(c).alias(c) for c in ("_n", "_sum_y", "_sum_p", "_abs", "_sse", "_spread")],
             F.min("_low").alias("_low"),
             F.max("_high").alias("_high"),
             F.bool_and("_close").alias("_close"),
         )
     )
-    r2 = r_squared(*[F.col(c) for c in ("_sse", "_sst", "_low", "_high", "_close")])
-    return sums.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "mae", "rmse", r2.alias("r2"))
-
-
-def _score_bins(bins: DataFrame, keys: list[str], freq: str, agg: str) -> DataFrame:
-    values = ["_sum_y", "_sum_p"]
-    if agg == "sum":
-        bins = _fill_gaps(bins, keys, freq, values, F.lit(0.0))
+    y, p = F.col("_sum_y"), F.col("_sum_p")
+    if agg == "mean":
+        bins = bins.withColumns({c: F.when(daily, F.col(c)).otherwise(F.col(c) / F.col("_n")) for c in ("_sum_y", "_sum_p")})
     else:
-        bins = bins.withColumns({c: F.col(c) / F.col("_n") for c in values})
-    return score_pairs(bins, keys, *values)
+        months_apart = F.when(annual, 12).otherwise(1)
+        ordered = Window.partitionBy(*keys, "grain").orderBy(PERIOD)
+        last_empty = F.add_months(F.lead(PERIOD).over(ordered), -months_apart)
+        until = F.when(daily, F.col(PERIOD)).otherwise(F.coalesce(last_empty, F.col(PERIOD)))
+        step = F.make_ym_interval(F.lit(0), months_apart)
+        bins = bins.withColumn("_until", until).withColumn("_slot", F.explode(F.sequence(PERIOD, "_until", step)))
+        held = F.col("_slot") == F.col(PERIOD)
+        bins = bins.withColumns({c: F.when(held, F.col(c)).otherwise(0.0) for c in ("_sum_y", "_sum_p")})
+    n = F.sum(F.when(daily, F.col("_n")).otherwise(1))
+    scored = bins.groupBy(*keys, "grain").agg(
+        n.alias("n"),
+        F.sum(F.when(daily, F.col("_abs")).otherwise(F.abs(y - p))).alias("_abs"),
+        F.sum(F.when(daily, F.col("_sse")).otherwise((y - p) * (y - p))).alias("_sse"),
+        F.sum(F.when(daily, F.col("_spread"))).alias("_day_spread"),
+        (F.var_pop(y) * F.count(y)).alias("_bin_spread"),
+        F.min(F.when(daily, F.col("_low")).otherwise(y)).alias("_low"),
+        F.max(F.when(daily, F.col("_high")).otherwise(y)).alias("_high"),
+        F.bool_and(F.when(daily, F.col("_close")).otherwise(close_to(y, p))).alias("_close"),
+    )
+    sst = F.when(daily, F.col("_day_spread")).otherwise(F.col("_bin_spread"))
+    r2 = r_squared(F.col("_sse"), sst, F.col("_low"), F.col("_high"), F.col("_close"))
+    return scored.select(
+        *keys,
+        "grain",
+        "n",
+        (F.col("_abs") / F.col("n")).alias("mae"),
+        F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
+        r2.alias("r2"),
+    )
 
 
 def widen_scores(scores: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:

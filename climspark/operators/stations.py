@@ -47,6 +47,7 @@ def select_stations(
     listed = sorted({int(i) for i in station_ids}) if station_ids is not None else []
     if not tests and not listed:
         return ids
+    ids = stage(ids, "ids")  # looked at twice: is there a match, and which
     chosen = ids.filter(_any(tests)) if tests else ids.limit(0)
     if listed:
         named = data.sparkSession.createDataFrame([(i,) for i in listed], f"`{id_col}` long")

@@ -15,12 +15,58 @@ from climspark.schema import Columns, require_columns
 OBSERVED = "obs"
 
 
+# Rows of a series that one task smooths.
+SMOOTH_ROWS = 1_000_000
+
+
 def smooth_series(
     series: DataFrame, keys: Sequence[str], value_col: str, width: int, date_col: str = "date"
 ) -> DataFrame:
-    """Centred rolling mean over ``width`` rows in date order; NULLs are skipped, and filled by it."""
-    ordered = Window.partitionBy(*keys).orderBy(date_col).rowsBetween(-(width // 2), (width - 1) // 2)
-    return series.withColumn(value_col, F.avg(value_col).over(ordered))
+    """Centred rolling mean over ``width`` rows in date order; NULLs are skipped, and filled by it.
+
+    For resampled series: a key has one row per period, which bounds the window's partitions.
+    """
+    return series.withColumn(value_col, F.avg(value_col).over(_centred(Window.partitionBy(*keys), date_col, width)))
+
+
+def _centred(partition, order_col: str, width: int):
+    return partition.orderBy(order_col).rowsBetween(-(width // 2), (width - 1) // 2)
+
+
+def smooth_rows(
+    series: DataFrame,
+    keys: Sequence[str],
+    value_col: str,
+    width: int,
+    date_col: str = "date",
+    rows_per_task: int = SMOOTH_ROWS,
+) -> DataFrame:
+    """The same mean over raw rows, of which a key may hold any number (dates unique per key).
+
+    Rows are numbered through per-day counts, cut into stretches of ``rows_per_task``, and each
+    stretch borrows ``width`` rows from its neighbours.
+    """
+    keys = list(keys)
+    days = Window.partitionBy(*keys).orderBy("_day")
+    dated = series.withColumn("_day", F.to_date(date_col))
+    offsets = (
+        dated.groupBy(*keys, "_day")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_offset", F.sum("_rows").over(days) - F.col("_rows"))
+        .drop("_rows")
+    )
+    within = Window.partitionBy(*keys, "_day").orderBy(date_col)
+    numbered = dated.join(offsets, [*keys, "_day"]).withColumn("_at", F.col("_offset") + F.row_number().over(within))
+
+    def stretch(position):
+        return F.floor(position / rows_per_task)
+
+    lent = numbered.withColumn(
+        "_stretch", F.explode(F.sequence(stretch(F.col("_at") - width), stretch(F.col("_at") + width)))
+    )
+    frame = _centred(Window.partitionBy(*keys, "_stretch"), "_at", width)
+    smoothed = lent.withColumn(value_col, F.avg(value_col).over(frame))
+    return smoothed.filter(F.col("_stretch") == stretch(F.col("_at"))).select(*series.columns)
 
 
 def compare_sources(
@@ -32,7 +78,7 @@ def compare_sources(
     product_col: str | None = None,
     predicted: DataFrame | None = None,
     predicted_value_col: str = "y_pred_full",
-    extra: DataFrame | None = None,
+    extra: DataFrame | Sequence[float] | None = None,
     extra_date_col: str = "date",
     extra_value_col: str | None = None,
     start: DateLike | None = None,
@@ -46,28 +92,34 @@ def compare_sources(
     Returns ``(station, date, <sources>)`` and ``(station, source, n, mae, rmse, r2)``. The sources
     are ``obs`` and ``nasa`` (columns of ``data``), ``rf`` and ``extra`` (tables with a date; one
     without a station column belongs to ``station_id``). Without ``station_id`` all stations are
-    compared in the same job. Scores use the periods that both sides have.
+    compared in the same job. Scores use the periods that both sides have. ``extra`` may be a plain
+    list of numbers, one per period of the station's observed series.
     """
     if station_id is not None:
         data = data.filter(F.col(columns.id) == station_id)
         if data.isEmpty():
             raise ValueError(f"No data for station {station_id}.")
-    parts = [_source(data, OBSERVED, columns, columns.date, obs_col or columns.target, station_id)]
+    own = {OBSERVED: obs_col or columns.target}
     if product_col is not None:
-        parts.append(_source(data, "nasa", columns, columns.date, product_col, station_id))
+        own["nasa"] = product_col
+    parts = [_sources(data, own, columns, columns.date, station_id, start, end)]
+    sources = list(own)
     if predicted is not None:
         date_col = columns.date if columns.date in predicted.columns else "date"
-        parts.append(_source(predicted, "rf", columns, date_col, predicted_value_col, station_id))
-    if extra is not None:
+        parts.append(_sources(predicted, {"rf": predicted_value_col}, columns, date_col, station_id, start, end))
+        sources.append("rf")
+    vector = extra if isinstance(extra, (list, tuple)) else None
+    if isinstance(extra, DataFrame):
         if extra_value_col is None:
             raise ValueError("For `extra`, provide valid extra_date_col and extra_value_col.")
-        parts.append(_source(extra, "extra", columns, extra_date_col, extra_value_col, station_id))
-    sources = [name for name, _ in parts]
-    clipped = [prepare_dates(rows, "date", start, end).withColumn("date", F.col("date").cast("timestamp_ntz")) for _, rows in parts]
-    series = clipped[0]
-    for rows in clipped[1:]:
+        parts.append(_sources(extra, {"extra": extra_value_col}, columns, extra_date_col, station_id, start, end))
+    elif extra is not None and vector is None:
+        raise TypeError("Unsupported type for `extra`: use a DataFrame or a list of numbers.")
+    if extra is not None:
+        sources.append("extra")
+    series = parts[0]
+    for rows in parts[1:]:
         series = series.unionByName(rows)
-    series = series.filter(is_number(F.col("value")))
     keys = ["station", "source"]
     if resample_to is not None:
         series = resample(series, keys, ["value"], freq=resample_to, agg=agg)
@@ -75,7 +127,10 @@ def compare_sources(
         # Dates are unique per source here, as positions in a series; copies are averaged.
         series = series.groupBy(*keys, "date").agg(F.avg("value").alias("value"))
     if smooth is not None and smooth > 1:
-        series = smooth_series(series, keys, "value", smooth)
+        smoother = smooth_rows if resample_to is None else smooth_series
+        series = smoother(series, keys, "value", smooth)
+    if vector is not None:
+        series = series.unionByName(_align_vector(series, vector, station_id))
     aligned = series.groupBy("station", "date").agg(
         *[F.max(F.when(F.col("source") == s, F.col("value"))).alias(s) for s in sources]
     )
@@ -93,18 +148,46 @@ def compare_sources(
     return aligned, scores.select(*keys, *METRICS)
 
 
-def _source(
-    table: DataFrame, name: str, columns: Columns, date_col: str, value_col: str, station_id: int | None
-) -> tuple[str, DataFrame]:
-    require_columns(table, [date_col, value_col], f"Source {name!r}")
+def _sources(
+    table: DataFrame,
+    value_cols: dict[str, str],
+    columns: Columns,
+    date_col: str,
+    station_id: int | None,
+    start: DateLike | None,
+    end: DateLike | None,
+) -> DataFrame:
+    """Long ``(station, source, date, value)`` rows of some columns of one table, in one scan."""
+    require_columns(table, [date_col, *value_cols.values()], f"Source of {list(value_cols)}")
     id_col = next((c for c in (columns.id, "station") if c in table.columns), None)
     if id_col is None and station_id is None:
-        raise ValueError(f"Source {name!r} has no station column: pass station_id.")
+        raise ValueError(f"Source of {list(value_cols)} has no station column: pass station_id.")
+    if id_col is not None and station_id is not None:
+        table = table.filter(F.col(id_col) == station_id)
     station = F.lit(station_id) if id_col is None else F.col(id_col)
-    rows = table.select(
-        station.cast("long").alias("station"),
-        F.lit(name).alias("source"),
-        F.col(date_col).alias("date"),
-        F.col(value_col).cast("double").alias("value"),
+    tagged = [F.struct(F.lit(s).alias("source"), F.col(c).cast("double").alias("value")) for s, c in value_cols.items()]
+    return (
+        prepare_dates(table, date_col, start, end)
+        .select(
+            station.cast("long").alias("station"),
+            F.col(date_col).cast("timestamp_ntz").alias("date"),
+            F.explode(F.array(*tagged)).alias("_tagged"),
+        )
+        .select("station", "_tagged.source", "date", "_tagged.value")
+        .filter(is_number(F.col("value")))
+    )
+
+
+def _align_vector(series: DataFrame, values: Sequence[float], station_id: int | None) -> DataFrame:
+    """A bare vector takes the dates of the observed series, in order; the lengths must agree."""
+    if station_id is None:
+        raise ValueError("A vector `extra` needs station_id.")
+    observed = series.filter(F.col("source") == OBSERVED)
+    count = observed.count()
+    if count != len(values):
+        raise ValueError(f"Length mismatch: extra({len(values)}) vs observed({count}).")
+    numbered = observed.select(
+        "station", "date", F.row_number().over(Window.partitionBy("station").orderBy("date")).alias("_at")
     )
-    return name, rows if station_id is None else rows.filter(F.col("station") == station_id)
+    given = series.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values, 1)], "_at int, value double")
+    return numbered.join(given, "_at").select("station", F.lit("extra").alias("source"), "date", "value")

@@ -21,7 +21,7 @@ from climspark.functions.calendar import DateLike, clip_dates, count_days, ensur
 from climspark.operators.neighbors import build_station_kneighbors, neighbor_frame
 from climspark.operators.sampling import mark_leak_sample
 from climspark.operators.scoring import SCORE_COLUMNS, score_grains, widen_scores
-from climspark.operators.stations import count_valid_rows, select_stations, station_positions, valid_rows
+from climspark.operators.stations import select_stations, station_positions, valid_rows
 from climspark.plans.forest import fit_pool, forest, predict
 from climspark.plans.loso import (
     attach_observed,
@@ -34,7 +34,6 @@ from climspark.schema import Columns, nan_to_null
 from climspark.sources.staging import StagedFeatures, new_folder, stage, stage_features
 from climspark.sources.tables import check_format, write_json, write_table
 
-LEAK = "_leak"
 OUTCOME_SCHEMA = "station long, seconds double, error string"
 COMBINED_SCHEMAS = ("input_like", "compact")
 
@@ -96,11 +95,25 @@ def _neighbor_lists(data, targets: Sequence[int], columns: Columns, k: int | Non
     return lists
 
 
-def _pool_of(staged: StagedFeatures, columns: Columns, station: int, neighbors: Mapping[int, list[int]] | None):
-    """Rows that may train the station's model: others (or neighbours) and its leaked sample."""
-    own = F.col(columns.id) == station
-    rows = staged.frame if neighbors is None else staged.rows_of([station, *neighbors.get(station, [])])
-    return rows.filter(~own | F.col(LEAK))
+def _leaked(staged: StagedFeatures, columns: Columns, pct: float, seed: int) -> DataFrame | None:
+    """The leaked sample of every station, drawn once from the staged rows."""
+    if pct <= 0:
+        return None
+    marked = mark_leak_sample(staged.frame, columns, pct=pct, seed=seed, flag="_leak")
+    return stage(marked.filter("_leak").drop("_leak").sortWithinPartitions(columns.id), "leak")
+
+
+def _pool_of(
+    staged: StagedFeatures,
+    leaked: DataFrame | None,
+    columns: Columns,
+    station: int,
+    neighbors: Mapping[int, list[int]] | None,
+) -> DataFrame:
+    """Rows that train the station's model: the others (or its neighbours) and its leaked sample."""
+    rows = staged.frame if neighbors is None else staged.rows_of(neighbors.get(station, []))
+    pool = rows.filter(F.col(columns.id) != station)
+    return pool if leaked is None else pool.unionByName(leaked.filter(F.col(columns.id) == station))
 
 
 def _read_parts(spark: SparkSession, root: str, stations: Sequence[int], schema: T.StructType) -> DataFrame:
@@ -116,6 +129,7 @@ def _succeeded(outcomes: Sequence[Outcome]) -> list[int]:
 
 def _evaluate(
     staged: StagedFeatures,
+    leaked: DataFrame | None,
     targets: Sequence[int],
     columns: Columns,
     features: Sequence[str],
@@ -143,13 +157,15 @@ def _evaluate(
         ]
     )
 
-    testable = _present(clip_dates(staged.frame, columns.date, *test_window), columns.id, targets)
+    whole = test_window == (None, None)
+    tested = staged.counts if whole else clip_dates(staged.frame, columns.date, *test_window)
+    testable = _present(tested, columns.id, targets)
 
     def work(station: int) -> None:
         if station not in testable:
             raise ValueError("Target station has no rows in the requested period.")
         test = clip_dates(staged.rows_of([station]), columns.date, *test_window)
-        pool = _pool_of(staged, columns, station, neighbors)
+        pool = _pool_of(staged, leaked, columns, station, neighbors)
         fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), clustered=True)
         keep = [
             F.col(columns.id).cast("long").alias("station"),
@@ -198,11 +214,12 @@ def evaluate_all_stations(
     """
     frame, features = feature_frame(data, columns, add_cyclic=add_cyclic, feature_cols=feature_cols)
     valid = valid_rows(frame.filter(F.col(columns.id).isNotNull()), features, columns.target)
-    marked = mark_leak_sample(valid, columns, pct=include_target_pct, seed=include_target_seed, flag=LEAK)
-    staged = stage_features(marked, columns, features)
+    staged = stage_features(valid, columns, features)
+    leaked = _leaked(staged, columns, include_target_pct, include_target_seed)
     targets = _target_ids(select_stations(data, id_col=columns.id), columns.id)
     table = _evaluate(
         staged,
+        leaked,
         targets,
         columns,
         features,
@@ -266,20 +283,19 @@ def evaluate_all_stations_fast(
         end=end,
     )
     frame = frame.filter(F.col(columns.id).isNotNull())
+    staged = stage_features(valid_rows(frame, features, columns.target), columns, features)
+    leaked = _leaked(staged, columns, include_target_pct, include_target_seed)
+    # One row per station: it also answers which stations exist and which are near.
+    spots = stage(station_positions(frame, columns), "positions")
     selected = select_stations(
-        frame, id_col=columns.id, prefix=prefix, station_ids=station_ids, regex=regex, custom_filter=custom_filter
+        spots, id_col=columns.id, prefix=prefix, station_ids=station_ids, regex=regex, custom_filter=custom_filter
     )
     if min_station_rows is not None:
-        enough = count_valid_rows(frame, features, columns).filter(F.col("valid_rows") >= int(min_station_rows))
+        enough = staged.counts.filter(F.col("valid_rows") >= int(min_station_rows))
         selected = selected.join(enough, columns.id, "left_semi")
     targets = _target_ids(selected, columns.id)
-    neighbors = _neighbor_lists(frame, targets, columns, k_neighbors, neighbor_map)
-    valid = valid_rows(frame, features, columns.target)
-    marked = mark_leak_sample(valid, columns, pct=include_target_pct, seed=include_target_seed, flag=LEAK)
-    staged = stage_features(marked, columns, features)
-    positions = stage(
-        station_positions(frame, columns).withColumn("station", F.col(columns.id).cast("long")), "positions"
-    ).select("station", *columns.coords)
+    neighbors = _neighbor_lists(spots, targets, columns, k_neighbors, neighbor_map)
+    positions = spots.select(F.col(columns.id).cast("long").alias("station"), *columns.coords)
 
     def finish(rows: DataFrame) -> DataFrame:
         return (
@@ -290,6 +306,7 @@ def evaluate_all_stations_fast(
 
     table = _evaluate(
         staged,
+        leaked,
         targets,
         columns,
         features,
@@ -417,18 +434,18 @@ def export_full_series_batch(
     count_days(start, end)
     spark = data.sparkSession
     observed = nan_to_null(ensure_datetime(data, columns.date)).filter(F.col(columns.id).isNotNull())
+    positions = stage(station_positions(observed, columns), "positions")
     selected = select_stations(
-        observed, id_col=columns.id, prefix=prefix, station_ids=station_ids, regex=regex, custom_filter=custom_filter
+        positions, id_col=columns.id, prefix=prefix, station_ids=station_ids, regex=regex, custom_filter=custom_filter
     )
     targets = _target_ids(selected, columns.id)
-    neighbors = _neighbor_lists(observed, targets, columns, k_neighbors, neighbor_map)
+    neighbors = _neighbor_lists(positions, targets, columns, k_neighbors, neighbor_map)
     frame, features = feature_frame(
         data, columns, add_cyclic=add_cyclic, feature_cols=feature_cols, start=train_start, end=train_end
     )
     valid = valid_rows(frame.filter(F.col(columns.id).isNotNull()), features, columns.target)
-    marked = mark_leak_sample(valid, columns, pct=include_target_pct, seed=include_target_seed, flag=LEAK)
-    staged = stage_features(marked, columns, features)
-    positions = stage(station_positions(observed, columns), "positions")
+    staged = stage_features(valid, columns, features)
+    leaked = _leaked(staged, columns, include_target_pct, include_target_seed)
     known = _present(positions, columns.id, targets)
     root = new_folder(spark, "predictions")
 
@@ -436,7 +453,7 @@ def export_full_series_batch(
         if station not in known:
             raise ValueError(f"No rows for station {station}.")
         at = positions.filter(F.col(columns.id) == station)
-        pool = _pool_of(staged, columns, station, neighbors)
+        pool = _pool_of(staged, leaked, columns, station, neighbors)
         fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), clustered=True)
         days = horizon(at, columns, features, start, end, covariates)
         keep = [F.col(columns.id).cast("long").alias("station"), columns.date]

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from climspark.schema import Columns
 
-# Rows one task should hold, and the fewest tasks a staged feature table is cut into.
+# Rows one task should hold at most; a small table is cut no finer than the second figure, and
+# into no more than MIN_TASKS tasks on its account.
 ROWS_PER_TASK = 2_000_000
+SMALL_TASK_ROWS = 25_000
 MIN_TASKS = 8
 # Tasks' worth of rows per station bucket (a directory), and the most directories.
 TASKS_PER_BUCKET = 64
@@ -47,9 +49,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class StagedFeatures:
-    """A staged feature table and the number of station buckets it is laid out in."""
+    """A staged feature table, its rows per station, and the number of buckets it is laid out in."""
 
     frame: DataFrame
+    counts: DataFrame
     id_col: str
     buckets: int
 
@@ -76,13 +79,13 @@ def stage_features(
     ``rows_per_task`` is split over as many tasks as it needs; there are at most
     ``total / rows_per_task`` such stations, which bounds the broadcast list of them.
     """
-    counts = df.groupBy(columns.id).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = stage(counts, "station_rows")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    tasks = max(MIN_TASKS, -(-total // rows_per_task))
+    counts = df.groupBy(columns.id).agg(F.count(F.lit(1)).alias("valid_rows"))
+    counts = stage(counts, "valid_rows")
+    total = counts.agg(F.sum("valid_rows")).first()[0] or 0
+    tasks = max(1, min(MIN_TASKS, total // SMALL_TASK_ROWS), -(-total // rows_per_task))
     buckets = max(1, min(MAX_BUCKETS, tasks // TASKS_PER_BUCKET))
-    hot = counts.filter(F.col("_rows") > rows_per_task).select(
-        columns.id, F.ceil(F.col("_rows") / rows_per_task).alias("_splits")
+    hot = counts.filter(F.col("valid_rows") > rows_per_task).select(
+        columns.id, F.ceil(F.col("valid_rows") / rows_per_task).alias("_splits")
     )
     content = [columns.date, columns.target, *features]
     part = F.pmod(F.xxhash64(*content), F.coalesce("_splits", F.lit(1)))
@@ -97,4 +100,5 @@ def stage_features(
     path = new_folder(df.sparkSession, "features")
     writer = laid_out.write
     (writer.partitionBy(BUCKET) if buckets > 1 else writer).parquet(path)
-    return StagedFeatures(df.sparkSession.read.schema(laid_out.schema).parquet(path), columns.id, buckets)
+    frame = df.sparkSession.read.schema(laid_out.schema).parquet(path)
+    return StagedFeatures(frame, counts, columns.id, buckets)
