@@ -30,7 +30,7 @@ from climspark.plans.loso import (
     loso_predict_full_series_fast,
     warn_unused_map,
 )
-from climspark.schema import Columns, nan_to_null
+from climspark.schema import Columns, nan_to_null, require_columns
 from climspark.sources.staging import StagedFeatures, new_folder, stage, stage_features
 from climspark.sources.tables import check_format, write_json, write_table
 
@@ -432,6 +432,7 @@ def export_full_series_batch(
     if combine_schema not in COMBINED_SCHEMAS:
         raise ValueError("combine_schema must be 'input_like' or 'compact'.")
     count_days(start, end)
+    require_columns(data, [columns.id, columns.date, *columns.coords, columns.target])
     spark = data.sparkSession
     observed = nan_to_null(ensure_datetime(data, columns.date)).filter(F.col(columns.id).isNotNull())
     positions = stage(station_positions(observed, columns), "positions")
