@@ -28,7 +28,7 @@ from climspark import (  # noqa: E402
     widen_scores,
 )
 from climspark.checks.network import observations, stations  # noqa: E402
-from climspark.operators.sampling import mark_leak_sample  # noqa: E402
+from climspark.operators.sampling import draw_sample  # noqa: E402
 from climspark.operators.stations import valid_rows  # noqa: E402
 from climspark.plans.loso import feature_frame  # noqa: E402
 from climspark.schema import Columns  # noqa: E402
@@ -51,7 +51,7 @@ def workloads(spark: SparkSession, obs: DataFrame, grid: DataFrame) -> dict[str,
 
     def features() -> None:
         frame, names = feature_frame(obs, Columns(), add_cyclic=True)
-        sink(mark_leak_sample(valid_rows(frame, names, "prec"), pct=10))
+        sink(draw_sample(valid_rows(frame, names, "prec"), pct=10))
 
     def train() -> None:
         path = new_folder(spark, "bench")

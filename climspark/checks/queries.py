@@ -11,7 +11,7 @@ from climspark.checks.network import observations, raw_rows, stations, table
 from climspark.functions.calendar import add_time_features, ensure_datetime, prepare_dates
 from climspark.operators.medians import grouped_median
 from climspark.operators.neighbors import build_station_kneighbors, neighbor_correlation_table, neighbor_correlations
-from climspark.operators.sampling import mark_leak_sample
+from climspark.operators.sampling import draw_sample
 from climspark.operators.scoring import SCORE_COLUMNS, aggregate_and_score, resample, score_grains, widen_scores
 from climspark.functions.metrics import score_pairs
 from climspark.operators.stations import (
@@ -187,8 +187,8 @@ def slice_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, features = feature_frame(observations(spark, sf_dir), COLUMNS)
-    marked = mark_leak_sample(valid_rows(frame, features, "prec"), pct=10.0, seed=42)
-    return marked.filter("leak").select("station", d(), r("prec"))
+    sample = draw_sample(valid_rows(frame, features, "prec"), pct=10.0, seed=42)
+    return sample.select("station", d(), r("prec"))
 
 
 # --- scoring

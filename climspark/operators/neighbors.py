@@ -23,6 +23,8 @@ TIE_DIGITS = 12
 MAX_LEVEL = 24
 LEVEL_STEP = 2
 LEAF_SIZE = 32
+# Levels up to this one have at most 65,536 cells.
+SHIPPED_LEVEL = 8
 
 NEIGHBOR_SCHEMA = "station long, neighbor long, rank int, distance double"
 
@@ -122,9 +124,12 @@ def _descend(positions: DataFrame, k: int) -> DataFrame:
     for level in range(LEVEL_STEP, depth + 1, LEVEL_STEP):
         size = extent / 2**level
         fan = 2**LEVEL_STEP
+        # A level has at most 4 ** level cells. The coarse ones hold few, hot keys: they are shipped.
         here = cells.filter(F.col("level") == level).select(
             "cx", "cy", "held", F.floor(F.col("cx") / fan).alias("px"), F.floor(F.col("cy") / fan).alias("py")
         )
+        if level <= SHIPPED_LEVEL:
+            here = F.broadcast(here)
         spans = []
         for axis, low in (("x", x0 + F.col("cx") * size), ("y", y0 + F.col("cy") * size)):
             to_low, to_high = low - F.col(axis), F.col(axis) - low - size

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from climspark.functions.calendar import DateLike, clip_dates, count_days, ensure_datetime
 from climspark.operators.neighbors import build_station_kneighbors, neighbor_frame
-from climspark.operators.sampling import mark_leak_sample
+from climspark.operators.sampling import draw_sample
 from climspark.operators.scoring import SCORE_COLUMNS, score_grains, widen_scores
 from climspark.operators.stations import select_stations, station_positions, valid_rows
 from climspark.plans.forest import fit_pool, forest, predict
@@ -31,9 +31,12 @@ from climspark.plans.loso import (
     warn_unused_map,
 )
 from climspark.schema import Columns, nan_to_null, require_columns
-from climspark.sources.staging import StagedFeatures, new_folder, stage, stage_features
+from climspark.sources.staging import MIN_TASKS, StagedFeatures, new_folder, stage, stage_features
 from climspark.sources.tables import check_format, write_json, write_table
 
+# Most fits in flight, and rows up to which several whole-table pools may be held at once.
+MAX_FITS = 64
+SMALL_POOL_ROWS = 100_000_000
 OUTCOME_SCHEMA = "station long, seconds double, error string"
 COMBINED_SCHEMAS = ("input_like", "compact")
 
@@ -62,6 +65,21 @@ def run_targets(
         return list(pool.map(inheritable_thread_target(spark)(guarded), targets))
 
 
+def _fits_in_flight(staged: StagedFeatures, by_neighbors: bool, requested: int | None) -> int:
+    """How many fits to run at once, unless the caller says.
+
+    A fit keeps its pool in executor storage. Pools of a few neighbours are small and use few
+    tasks, so many of them are needed to fill a cluster; pools of the whole table run one by one
+    once they are large.
+    """
+    if requested is not None:
+        return requested
+    cores = staged.frame.sparkSession.sparkContext.defaultParallelism
+    if by_neighbors:
+        return max(4, min(MAX_FITS, cores // MIN_TASKS))
+    return 4 if staged.rows <= SMALL_POOL_ROWS else 1
+
+
 def _outcomes(spark: SparkSession, outcomes: Sequence[Outcome]) -> DataFrame:
     return spark.createDataFrame([(o.station, o.seconds, o.error) for o in outcomes], OUTCOME_SCHEMA)
 
@@ -99,8 +117,8 @@ def _leaked(staged: StagedFeatures, columns: Columns, pct: float, seed: int) ->
     """The leaked sample of every station, drawn once from the staged rows."""
     if pct <= 0:
         return None
-    marked = mark_leak_sample(staged.frame, columns, pct=pct, seed=seed, flag="_leak")
-    return stage(marked.filter("_leak").drop("_leak").sortWithinPartitions(columns.id), "leak")
+    sample = draw_sample(staged.frame, columns, pct=pct, seed=seed)
+    return stage(sample.sortWithinPartitions(columns.id, columns.date), "leak")
 
 
 def _pool_of(
@@ -139,7 +157,7 @@ def _evaluate(
     agg: str,
     test_window: tuple[DateLike | None, DateLike | None],
     neighbors: Mapping[int, list[int]] | None,
-    parallelism: int,
+    parallelism: int | None,
     log_path: str | None,
     flush_every: int,
     finish: Callable[[DataFrame], DataFrame],
@@ -157,6 +175,7 @@ def _evaluate(
         ]
     )
 
+    parallelism = _fits_in_flight(staged, neighbors is not None, parallelism)
     whole = test_window == (None, None)
     tested = staged.counts if whole else clip_dates(staged.frame, columns.date, *test_window)
     testable = _present(tested, columns.id, targets)
@@ -204,7 +223,7 @@ def evaluate_all_stations(
     order_by: tuple[str, bool] | None = ("RMSE_d", True),
     include_target_pct: float = 0.0,
     include_target_seed: int = 42,
-    parallelism: int = 4,
+    parallelism: int | None = None,
     save_table_path: str | None = None,
     parquet_compression: str = "snappy",
 ) -> DataFrame:
@@ -262,7 +281,7 @@ def evaluate_all_stations_fast(
     include_target_pct: float = 0.0,
     include_target_seed: int = 42,
     min_station_rows: int | None = None,
-    parallelism: int = 4,
+    parallelism: int | None = None,
     log_csv: str | None = None,
     flush_every: int = 20,
     save_table_path: str | None = None,
@@ -422,7 +441,7 @@ def export_full_series_batch(
     include_target_pct: float = 0.0,
     include_target_seed: int = 42,
     agg_for_metrics: str = "sum",
-    parallelism: int = 4,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Full series of the selected stations, written under one folder per station; the manifest.
 
@@ -460,7 +479,7 @@ def export_full_series_batch(
         keep = [F.col(columns.id).cast("long").alias("station"), columns.date]
         predict(fitted, days, "y_pred_full", keep).write.parquet(f"{root}/{station}")
 
-    outcomes = run_targets(spark, targets, work, parallelism)
+    outcomes = run_targets(spark, targets, work, _fits_in_flight(staged, neighbors is not None, parallelism))
     parts = T.StructType(
         [
             T.StructField("station", T.LongType()),

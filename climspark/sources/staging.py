@@ -49,9 +49,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class StagedFeatures:
-    """A staged feature table, its rows per station, and the number of buckets it is laid out in."""
+    """A staged feature table, its rows in all and per station, and its number of buckets."""
 
     frame: DataFrame
+    rows: int
     counts: DataFrame
     id_col: str
     buckets: int
@@ -101,4 +102,4 @@ def stage_features(
     writer = laid_out.write
     (writer.partitionBy(BUCKET) if buckets > 1 else writer).parquet(path)
     frame = df.sparkSession.read.schema(laid_out.schema).parquet(path)
-    return StagedFeatures(frame, counts, columns.id, buckets)
+    return StagedFeatures(frame, total, counts, columns.id, buckets)

@@ -18,7 +18,7 @@ from climspark import (
     station_positions,
 )
 from climspark.operators import sampling
-from climspark.operators.sampling import mark_leak_sample
+from climspark.operators.sampling import draw_sample
 from climspark.operators.stations import stations_with_min_rows
 
 
@@ -163,8 +163,8 @@ def test_leak_sample_with_one_hot_day(spark, monkeypatch):
     """Copies of one day all fall into one slice and are still ranked exactly."""
     monkeypatch.setattr(sampling, "SLICE_DIGITS", 1)
     pdf = pd.concat([make_network((1, 2), 50), *[make_network((1,), 1)] * 200])
-    marked = mark_leak_sample(spark.createDataFrame(pdf), Columns(), pct=10).groupBy("station").agg(F.count_if("leak").alias("n"))
-    assert {r[0]: r[1] for r in marked.collect()} == {1: 25, 2: 5}
+    drawn = draw_sample(spark.createDataFrame(pdf), Columns(), pct=10).groupBy("station").count()
+    assert {r[0]: r[1] for r in drawn.collect()} == {1: 25, 2: 5}
 
 
 def test_station_table_without_rows(spark):
