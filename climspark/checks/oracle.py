@@ -90,7 +90,7 @@ where q.station in (select station from daily)"""
 
 KEPT = f"""
 counts as (select station, count(prec) as valid_rows from obs where {WINDOW} group by station),
-kept as (select station, valid_rows from counts where valid_rows >= 230)"""
+kept as (select station, valid_rows from counts where valid_rows >= 265)"""
 TRAINED = f"""{KEPT},
 trained as (select cast(avg(prec) as float) as v, count(*) as n from obs
             where prec is not null and {WINDOW} and station in (select station from kept))"""
@@ -161,7 +161,7 @@ select user_id, count(*) as n, cast(max(ts) as varchar) as last
 from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-20' group by user_id""",
     "valid_counts": f"""{NETWORK_SQL}
 select station, count(*) as valid_rows from obs where prec is not null and {WINDOW}
-group by station having count(*) >= 230""",
+group by station having count(*) >= 265""",
     "select_prefix_regex": f"""{NETWORK_SQL}
 select distinct station from obs
 where cast(station as varchar) like '1%' or cast(station as varchar) like '27%'
@@ -255,7 +255,7 @@ means as (select knn.station, sum(own.s) / sum(own.n) as p from knn join own on
 spots as (select station, median(latitude) as latitude, median(longitude) as longitude, median(altitude) as altitude
           from clipped group by station),
 pairs as (select station, date, prec as y, p from clipped join means using (station) join own using (station)
-          where prec is not null and own.n >= 200)""",
+          where prec is not null and own.n >= 265)""",
         "mean",
         f"""select station, daily_m.n as n_rows, {WIDE_COLUMNS}, cast(0 as double) as include_target_pct,
        round(latitude, 6) as latitude, round(longitude, 6) as longitude, round(altitude, 6) as altitude

@@ -116,7 +116,7 @@ def clip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, features = feature_frame(observations(spark, sf_dir), COLUMNS, **WINDOW)
-    return count_valid_rows(frame, features).filter(F.col("valid_rows") >= 230)
+    return count_valid_rows(frame, features).filter(F.col("valid_rows") >= 265)
 
 
 # --- stations
@@ -278,7 +278,7 @@ def evaluate_fast_knn_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
         observations(spark, sf_dir),
         rf_params=MEAN_MODEL,
         k_neighbors=5,
-        min_station_rows=200,
+        min_station_rows=265,
         parallelism=FITS,
         agg_for_metrics="mean",
         **WINDOW,
@@ -342,7 +342,7 @@ def export_compact_one_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _globals: dict[tuple[str, str], tuple[str, DataFrame]] = {}
-_TRAIN = {"start": "1996-01-01", "end": "2000-12-31", "min_rows_per_station": 230}
+_TRAIN = {"start": "1996-01-01", "end": "2000-12-31", "min_rows_per_station": 265}
 
 
 def _global_model(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
