@@ -141,10 +141,13 @@ def explode_days(
     return spread.withColumn(date_col, F.explode(F.sequence(first, last))).drop("_year")
 
 
+def _as_date(value: DateLike) -> dt.date:
+    return dt.datetime.fromisoformat(str(value)).date()
+
+
 def count_days(start: DateLike, end: DateLike) -> int:
     """Number of days in ``[start, end]``; raises when there are none."""
-    as_date = lambda v: v if isinstance(v, dt.date) and not isinstance(v, dt.datetime) else dt.datetime.fromisoformat(str(v)).date()
-    days = (as_date(end) - as_date(start)).days + 1
+    days = (_as_date(end) - _as_date(start)).days + 1
     if days < 1:
-        raise ValueError("No dates in the requested span.")
+        raise ValueError("The span holds no day.")
     return days

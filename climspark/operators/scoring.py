@@ -21,7 +21,7 @@ PERIOD = "_period"
 
 def _check_aggregate(agg: str) -> str:
     if agg not in AGGREGATES:
-        raise ValueError("agg must be one of {'sum', 'mean', 'median'}")
+        raise ValueError(f"Unknown agg {agg!r}: choose from {AGGREGATES}")
     return agg
 
 

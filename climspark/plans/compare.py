@@ -98,7 +98,7 @@ def compare_sources(
     if station_id is not None:
         data = data.filter(F.col(columns.id) == station_id)
         if data.isEmpty():
-            raise ValueError(f"No data for station {station_id}.")
+            raise ValueError(f"Station {station_id} does not occur in the data.")
     own = {OBSERVED: obs_col or columns.target}
     if product_col is not None:
         own["nasa"] = product_col
@@ -111,10 +111,10 @@ def compare_sources(
     vector = extra if isinstance(extra, (list, tuple)) else None
     if isinstance(extra, DataFrame):
         if extra_value_col is None:
-            raise ValueError("For `extra`, provide valid extra_date_col and extra_value_col.")
+            raise ValueError("An `extra` table needs extra_value_col.")
         parts.append(_sources(extra, {"extra": extra_value_col}, columns, extra_date_col, station_id, start, end))
     elif extra is not None and vector is None:
-        raise TypeError("Unsupported type for `extra`: use a DataFrame or a list of numbers.")
+        raise TypeError("`extra` is neither a DataFrame nor a list of numbers.")
     if extra is not None:
         sources.append("extra")
     series = parts[0]
@@ -185,7 +185,7 @@ def _align_vector(series: DataFrame, values: Sequence[float], station_id: int |
     observed = series.filter(F.col("source") == OBSERVED)
     count = observed.count()
     if count != len(values):
-        raise ValueError(f"Length mismatch: extra({len(values)}) vs observed({count}).")
+        raise ValueError(f"`extra` holds {len(values)} values for {count} observed periods.")
     numbered = observed.select(
         "station", "date", F.row_number().over(Window.partitionBy("station").orderBy("date")).alias("_at")
     )

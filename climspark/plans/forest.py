@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climspark.schema import Columns
@@ -39,7 +39,7 @@ IGNORED_PARAMS = ("n_jobs", "verbose", "warm_start", "criterion")
 def forest_params(rf_params: Mapping[str, object] | None = None) -> dict[str, object]:
     """Spark ML parameters for a forest described by the usual names (Spark ML's own pass through)."""
     given = dict(DEFAULT_RF_PARAMS if rf_params is None else rf_params)
-    out: dict[str, object] = {"featureSubsetStrategy": "all", "maxBins": MAX_BINS, "maxMemoryInMB": 1024}
+    out: dict[str, object] = {"featureSubsetStrategy": "all", "maxBins": MAX_BINS, "maxMemoryInMB": 512}
     known = {p.name for p in RandomForestRegressor().params}
     for name, value in given.items():
         if name in IGNORED_PARAMS:
@@ -63,6 +63,14 @@ def forest(rf_params: Mapping[str, object] | None = None) -> RandomForestRegress
     return RandomForestRegressor(**forest_params(rf_params))
 
 
+def _pool_tasks(spark: SparkSession) -> int:
+    """As many tasks as the session shuffles into; in local mode no more than it can run."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        tasks = min(tasks, spark.sparkContext.defaultParallelism)
+    return max(MIN_TASKS, tasks)
+
+
 def fit_pool(
     pool: DataFrame, features: Sequence[str], target: str, estimator: Estimator, *, clustered: bool = False,
     columns: Columns = Columns(),
@@ -77,8 +85,7 @@ def fit_pool(
     if clustered:
         rows = pool.select(*names)
     else:
-        spark = pool.sparkSession
-        tasks = max(MIN_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tasks = _pool_tasks(pool.sparkSession)
         keys = [columns.id, columns.date]
         rows = (
             pool.select(*dict.fromkeys([*keys, *names]))
@@ -94,7 +101,7 @@ def fit_pool(
         return Pipeline(stages=[assembler, regressor]).fit(rows)
     except Exception as problem:
         if pool.isEmpty():
-            raise ValueError("Training set is empty after filtering (check features, neighbors, or periods).") from problem
+            raise ValueError("No row is left to train on.") from problem
         raise
 
 

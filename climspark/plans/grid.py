@@ -80,7 +80,7 @@ def training_frame(
     add_cyclic: bool,
     extra_feature_cols: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``(training rows, (id, valid_rows) of the stations kept, features)``; absent extras are skipped."""
+    """``(valid rows, (id, valid_rows) of the stations to keep, features)``; absent extras are skipped."""
     extras = [c for c in extra_feature_cols or [] if c in data.columns]
     features = base_features(columns, add_cyclic, extras)
     own = [c for c in features if c in data.columns]
@@ -90,7 +90,7 @@ def training_frame(
     counts = count_valid_rows(rows, features, columns)
     kept = counts.filter(F.col("valid_rows") >= int(min_rows_per_station))
     valid = valid_rows(rows, features, columns.target)
-    return valid.join(kept, columns.id, "left_semi"), kept, features
+    return valid, stage(kept, "stations_used"), features
 
 
 def train_global_rf_target(
@@ -112,7 +112,7 @@ def train_global_rf_target(
     Returns ``(model, metadata, (id, valid_rows) of the stations used, most rows first)``.
     """
     params = dict(DEFAULT_RF_PARAMS if rf_params is None else rf_params)
-    train, kept, features = training_frame(
+    valid, kept, features = training_frame(
         data,
         columns,
         start=start,
@@ -121,11 +121,10 @@ def train_global_rf_target(
         add_cyclic=add_cyclic,
         extra_feature_cols=extra_feature_cols,
     )
-    kept = stage(kept, "stations_used")
     totals = kept.agg(F.sum("valid_rows"), F.count(F.lit(1))).first()
     if not totals[1]:
         _raise_no_station(data, columns, start, end, features, add_cyclic, min_rows_per_station)
-    train = train.drop("valid_rows")
+    train = valid.join(kept, columns.id, "left_semi")
     fitted = fit_pool(train, features, columns.target, model or forest(params), columns=columns)
     save_model(fitted, model_path)
     meta = GlobalModelMeta(
@@ -153,8 +152,8 @@ def _raise_no_station(data, columns, start, end, features, add_cyclic, min_rows)
     counts = count_valid_rows(add_time_features(rows, columns.date, add_cyclic), features, columns)
     best = counts.agg(F.max("valid_rows")).first()[0]
     if best is None:
-        raise ValueError("No valid rows after filtering by features and target.")
-    raise ValueError(f"No stations meet the minimum row threshold. Got {best} max; need >= {min_rows}.")
+        raise ValueError("No row has every feature and the target.")
+    raise ValueError(f"Every station has too few valid rows: at most {best}, wanted {min_rows}.")
 
 
 def grid_nan_report(grid: DataFrame, columns: Columns = Columns()) -> DataFrame:
@@ -209,7 +208,7 @@ def predict_grid_daily_with_global_model(
     lacking = [c for c in meta.features if c not in (*calendar, *trained, *extra)]
     if lacking and covariates is None:
         raise ValueError(
-            f"Missing feature columns for prediction. Expected {meta.features}, missing {lacking}."
+            f"The grid lacks model inputs {lacking}: add columns or pass `covariates`."
         )
     cells = dedupe_grid(nan_to_null(grid.select(columns.id, *columns.coords, *extra)), columns, extra)
     absent = F.lit(False)
@@ -217,7 +216,7 @@ def predict_grid_daily_with_global_model(
         absent = absent | F.col(name).isNull()
     count, incomplete = cells.agg(F.count(F.lit(1)), F.count_if(absent)).first()
     if count == 0:
-        raise ValueError("Grid is empty.")
+        raise ValueError("The grid has no cell.")
     if incomplete and on_null != "drop":
         raise ValueError(f"{incomplete} grid cells lack a coordinate or covariate; see grid_nan_report.")
     tasks = max(spark.sparkContext.defaultParallelism, -(-count * days // ROWS_PER_TASK))
@@ -257,9 +256,9 @@ def normalize_points(spark: SparkSession, points: Points, columns: Columns = Col
     for c in columns.coords:
         bad = bad | F.col(c).isNull() | F.isnan(c)
     if not grid.filter(bad).isEmpty():
-        raise ValueError("Some coordinates could not be converted to numeric (NaN present).")
+        raise ValueError("A point has a coordinate that is no number.")
     if not grid.groupBy(columns.id).count().filter("count > 1").isEmpty():
-        raise ValueError("Duplicated station identifiers in points.")
+        raise ValueError("Two points share an id.")
     return grid
 
 
@@ -271,20 +270,20 @@ def _literal_points(spark: SparkSession, points: Mapping | Sequence, columns: Co
     elif isinstance(points, tuple) and len(points) == 4 and isinstance(points[0], str):
         points = [points]
     if not isinstance(points, (list, tuple)):
-        raise TypeError("Unsupported points: pass a DataFrame, a dict, a tuple, or a list of dicts or tuples.")
+        raise TypeError("Points come as a DataFrame, a dict, a tuple, or a list of dicts or tuples.")
     if not points:
-        raise ValueError("Empty points sequence.")
+        raise ValueError("There are no points.")
     rows = []
     for i, p in enumerate(points, start=1):
         if isinstance(p, Mapping):
             missing = [c for c in (columns.id, *columns.coords) if c not in p]
             if missing:
-                raise ValueError(f"Points are missing required columns: {missing}")
+                raise ValueError(f"A point lacks {missing}")
             rows.append(tuple(p[c] for c in (columns.id, *columns.coords)))
         elif isinstance(p, (list, tuple)) and len(p) in (3, 4):
             rows.append(tuple(p) if len(p) == 4 else (i, *p))
         else:
-            raise TypeError("Unsupported points: each must be a dict, (lat, lon, alt) or (id, lat, lon, alt).")
+            raise TypeError("Points come as dicts, (lat, lon, alt) or (id, lat, lon, alt).")
     id_type = "long" if all(isinstance(r[0], int) for r in rows) else "string"
     as_id = int if id_type == "long" else str
     literal = [(as_id(r[0]), *[None if v is None else str(v) for v in r[1:]]) for r in rows]

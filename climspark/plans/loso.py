@@ -80,7 +80,7 @@ def join_covariates(
     have = [] if covariates is None else resolve_columns(covariates, lacking)
     if len(have) < len(lacking):
         raise ValueError(
-            f"Missing feature columns for prediction: {lacking}. Pass `covariates`, a table keyed by "
+            f"Unobserved days have no {lacking}: pass `covariates`, a table keyed by "
             "date (and station) that holds them."
         )
     keys = [c for c in (id_col, date_col) if c in covariates.columns]
@@ -108,13 +108,14 @@ def warn_unused_map(k_neighbors: int | None, neighbor_map) -> None:
 
 def _neighbors_of(
     data: DataFrame, station_id: int, columns: Columns, k_neighbors: int, neighbor_map
-) -> DataFrame:
+) -> list[int]:
+    """The station's neighbours, as literals: so the filter on them reaches the scan."""
     table = (
         build_station_kneighbors(data, columns=columns, k=k_neighbors)
         if neighbor_map is None
         else neighbor_frame(data, neighbor_map)
     )
-    return table.filter(F.col("station") == int(station_id)).select(F.col("neighbor").alias("_neighbor")).distinct()
+    return [r[0] for r in table.filter(F.col("station") == int(station_id)).select("neighbor").distinct().collect()]
 
 
 def _training_pool(
@@ -124,12 +125,12 @@ def _training_pool(
     features: Sequence[str],
     pct: float,
     seed: int,
-    neighbors: DataFrame | None = None,
+    neighbors: Sequence[int] | None = None,
 ) -> DataFrame:
     """Valid rows of the other stations (or just the neighbours) plus the leaked sample."""
     rest, _ = leave_one_out(features_of, station_id, columns.id)
     if neighbors is not None:
-        rest = rest.join(neighbors, rest[columns.id] == neighbors["_neighbor"], "left_semi")
+        rest = rest.filter(F.col(columns.id).isin(list(neighbors)))
     pool = valid_rows(rest, features, columns.target)
     if pct <= 0:
         return pool
@@ -171,7 +172,7 @@ def loso_train_predict_station(
     _, own = leave_one_out(frame, station_id, columns.id)
     own = clip_dates(own, columns.date, start, end)
     if own.isEmpty():
-        raise ValueError("Target station has no rows in the requested period.")
+        raise ValueError("The station was not observed in this window.")
     pool = _training_pool(frame, station_id, columns, features, include_target_pct, include_target_seed)
     fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), columns=columns)
     test = valid_rows(own, features, columns.target)
@@ -224,7 +225,7 @@ def loso_predict_full_series_fast(
     _, own = leave_one_out(nan_to_null(everything), station_id, columns.id)
     positions = station_positions(own, columns)
     if positions.isEmpty():
-        raise ValueError(f"No rows for station {station_id}.")
+        raise ValueError(f"Station {station_id} does not occur in the data.")
     frame, features = feature_frame(
         data,
         columns,

@@ -182,7 +182,7 @@ def _evaluate(
 
     def work(station: int) -> None:
         if station not in testable:
-            raise ValueError("Target station has no rows in the requested period.")
+            raise ValueError("The station was not observed in this window.")
         test = clip_dates(staged.rows_of([station]), columns.date, *test_window)
         pool = _pool_of(staged, leaked, columns, station, neighbors)
         fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), clustered=True)
@@ -397,12 +397,16 @@ def fill_gaps(series: DataFrame, columns: Columns = Columns()) -> DataFrame:
     return series.withColumn(columns.target, F.coalesce("y_true", "y_pred_full"))
 
 
+def _check_combined(schema: str) -> None:
+    if schema not in COMBINED_SCHEMAS:
+        raise ValueError(f"Unknown combine_schema {schema!r}: choose from {COMBINED_SCHEMAS}")
+
+
 def combined_series(
     series: DataFrame, positions: DataFrame, columns: Columns = Columns(), schema: str = "input_like"
 ) -> DataFrame:
     """One table of filled series: shaped like the input, or ``compact`` with both sources kept."""
-    if schema not in COMBINED_SCHEMAS:
-        raise ValueError("combine_schema must be 'input_like' or 'compact'.")
+    _check_combined(schema)
     filled = fill_gaps(series, columns)
     if schema == "compact":
         return filled.select("station", "y_pred_full", "y_true", columns.date, columns.target)
@@ -448,8 +452,7 @@ def export_full_series_batch(
     The manifest has a row per station: path, seconds, share of observed days, scores, error.
     """
     file_format, combine_format = check_format(file_format), check_format(combine_format)
-    if combine_schema not in COMBINED_SCHEMAS:
-        raise ValueError("combine_schema must be 'input_like' or 'compact'.")
+    _check_combined(combine_schema)
     count_days(start, end)
     require_columns(data, [columns.id, columns.date, *columns.coords, columns.target])
     spark = data.sparkSession
@@ -471,7 +474,7 @@ def export_full_series_batch(
 
     def work(station: int) -> None:
         if station not in known:
-            raise ValueError(f"No rows for station {station}.")
+            raise ValueError(f"Station {station} does not occur in the data.")
         at = positions.filter(F.col(columns.id) == station)
         pool = _pool_of(staged, leaked, columns, station, neighbors)
         fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), clustered=True)

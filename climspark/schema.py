@@ -36,7 +36,7 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "Input") ->
     """Raise from the schema alone (no job) when a column is absent."""
     missing = [c for c in names if c not in df.columns]
     if missing:
-        raise ValueError(f"{what} is missing required columns: {missing}")
+        raise ValueError(f"{what} lacks the columns {missing}")
 
 
 def resolve_columns(df: DataFrame, names: str | Iterable[str] | None) -> list[str]:

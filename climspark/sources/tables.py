@@ -41,13 +41,13 @@ def read_observations(
 def _format_of(path: str) -> str:
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension not in (".csv", ".parquet"):
-        raise ValueError(f"Unsupported extension: {extension}")
+        raise ValueError(f"No writer for extension {extension!r}")
     return extension[1:]
 
 
 def check_format(file_format: str) -> str:
     if file_format.lower() not in FORMATS:
-        raise ValueError("file_format must be 'parquet' or 'csv'.")
+        raise ValueError("Unknown file_format: choose parquet or csv.")
     return file_format.lower()
 
 

@@ -54,9 +54,9 @@ def test_station_threshold(spark, daily, tmp_path):
     paths = {"model_path": f"{tmp_path}/m", "meta_path": f"{tmp_path}/j"}
     _, meta, _ = train_global_rf_target(short, min_rows_per_station=5, rf_params=MEAN_MODEL, **paths)
     assert meta.n_stations_used == 2 and meta.n_train_rows == 20
-    with pytest.raises(ValueError, match="Got 10 max; need >= 50"):
+    with pytest.raises(ValueError, match="at most 10, wanted 50"):
         train_global_rf_target(short, min_rows_per_station=50, rf_params=MEAN_MODEL, **paths)
-    with pytest.raises(ValueError, match="No valid rows"):
+    with pytest.raises(ValueError, match="No row has every feature"):
         train_global_rf_target(short, start="2001-01-01", rf_params=MEAN_MODEL, **paths)
 
 
@@ -89,11 +89,11 @@ def test_public_names_are_restored(spark, trained, grid):
 def test_grid_checks(spark, trained, grid):
     paths = trained[0]
     predict = lambda g, **o: predict_grid_daily_with_global_model(g, **(SPAN | o), **paths)
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         predict(grid.drop("altitude"))
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no cell"):
         predict(grid.limit(0))
-    with pytest.raises(ValueError, match="No dates"):
+    with pytest.raises(ValueError, match="holds no day"):
         predict(grid, end="1990-01-01")
     holes = grid.withColumn("altitude", F.when(F.col("station") != 2, F.col("altitude")))
     with pytest.raises(ValueError, match="1 grid cells lack"):
@@ -115,7 +115,7 @@ def test_covariates_of_the_grid(spark, daily, grid, tmp_path):
         df, min_rows_per_station=5, rf_params=FOREST, extra_feature_cols=["wind", "absent"], **paths
     )
     assert "wind" in meta.features and "absent" not in meta.features
-    with pytest.raises(ValueError, match="missing \\['wind'\\]"):
+    with pytest.raises(ValueError, match="lacks model inputs \\['wind'\\]"):
         predict_grid_daily_with_global_model(grid, **SPAN, **paths)
     assert predict_grid_daily_with_global_model(grid.withColumn("wind", F.lit(1.0)), **SPAN, **paths).count() == 9
     table = df.select("station", "date", "wind")
@@ -153,13 +153,13 @@ def test_point_forms(spark, points, ids):
 @pytest.mark.parametrize(
     "points, error, text",
     [
-        ([], ValueError, "Empty"),
-        ([(1, 2)], TypeError, "Unsupported"),
-        ("here", TypeError, "Unsupported"),
-        ([(1, "x", 2, 3)], ValueError, "numeric"),
-        ([(1, None, 2, 3)], ValueError, "numeric"),
-        ([(1, 1, 2, 3), (1, 2, 3, 4)], ValueError, "Duplicated"),
-        ([{"station": 1, "latitude": 2}], ValueError, "missing"),
+        ([], ValueError, "no points"),
+        ([(1, 2)], TypeError, "Points come as"),
+        ("here", TypeError, "Points come as"),
+        ([(1, "x", 2, 3)], ValueError, "no number"),
+        ([(1, None, 2, 3)], ValueError, "no number"),
+        ([(1, 1, 2, 3), (1, 2, 3, 4)], ValueError, "share an id"),
+        ([{"station": 1, "latitude": 2}], ValueError, "lacks"),
     ],
 )
 def test_point_errors(spark, points, error, text):

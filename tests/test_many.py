@@ -49,7 +49,7 @@ def test_stations_without_rows_keep_a_row(network):
         network, station_ids=[1, 77], rf_params=MEAN_MODEL, end="2000-12-31", k_neighbors=1, neighbor_map={77: [1]}
     ).collect()
     assert [(r["station"], r["n_rows"]) for r in rows] == [(1, 0), (77, 0)]
-    assert "Training set is empty" in rows[0]["error"] and "no rows" in rows[1]["error"]
+    assert "No row is left to train on" in rows[0]["error"] and "not observed" in rows[1]["error"]
     assert rows[0]["RMSE_d"] is None and rows[0]["latitude"] is not None and rows[1]["latitude"] is None
 
 
@@ -122,7 +122,7 @@ def test_export_of_many_stations(spark, network, tmp_path, schema, form):
     ).collect()
     assert [r["station"] for r in manifest] == [1, 2, 77]
     assert manifest[0]["coverage_pct"] == pytest.approx(100 * 60 / 70) and manifest[0]["error"] is None
-    assert manifest[2]["path"] is None and "No rows for station 77" in manifest[2]["error"]
+    assert manifest[2]["path"] is None and "Station 77 does not occur" in manifest[2]["error"]
     reader = spark.read.option("header", True)
     assert reader.format(form).load(manifest[0]["path"]).count() == 70
     combined = reader.format(form).load(str(tmp_path / f"combined.{form}"))
@@ -139,10 +139,18 @@ def test_export_of_many_stations(spark, network, tmp_path, schema, form):
     assert spark.read.csv(str(tmp_path / "manifest.csv"), header=True).count() == 3
 
 
+def test_export_of_no_known_station(network, tmp_path):
+    manifest = export_full_series_batch(
+        network, station_ids=[77], out_dir=str(tmp_path), rf_params=MEAN_MODEL, start="2000-01-01", end="2000-01-05",
+        combine_output_path=str(tmp_path / "c.csv"), manifest_path=str(tmp_path / "m.csv"),
+    ).collect()
+    assert len(manifest) == 1 and manifest[0]["error"] and manifest[0]["coverage_pct"] is None
+
+
 def test_export_arguments(network, tmp_path):
     with pytest.raises(ValueError, match="combine_schema"):
         export_full_series_batch(network, out_dir=str(tmp_path), combine_schema="wide")
-    with pytest.raises(ValueError, match="No dates"):
+    with pytest.raises(ValueError, match="holds no day"):
         export_full_series_batch(network, out_dir=str(tmp_path), start="2001-01-01", end="2000-01-01")
 
 

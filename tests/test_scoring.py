@@ -109,9 +109,9 @@ def test_null_only_bin_sums_to_zero(spark):
 
 
 def test_unknown_aggregate(spark, pairs_pdf):
-    with pytest.raises(ValueError, match="agg must be"):
+    with pytest.raises(ValueError, match="Unknown agg"):
         aggregate_and_score(spark.createDataFrame(pairs_pdf), agg="max")
-    with pytest.raises(ValueError, match="agg must be"):
+    with pytest.raises(ValueError, match="Unknown agg"):
         score_grains(spark.createDataFrame(pairs_pdf), agg="max")
 
 

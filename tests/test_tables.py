@@ -28,7 +28,7 @@ def test_nan_becomes_null(spark, network, tmp_path):
 
 
 def test_unknown_extension_and_no_path(network):
-    with pytest.raises(ValueError, match="Unsupported extension"):
+    with pytest.raises(ValueError, match="No writer for extension"):
         write_table(network, "/tmp/x.feather")
     assert write_table(network, None) is None and write_json(network, None) is None
 
