@@ -148,7 +148,7 @@ def station_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_medians_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank-selection path that groups with very many distinct values take."""
     rows = table(spark, sf_dir, "lineitem")
-    out = grouped_median(rows, ["l_returnflag"], ["l_extendedprice", "l_discount"], distinct_limit=100)
+    out = grouped_median(rows, ["l_returnflag"], ["l_extendedprice", "l_discount"], group_limit=100)
     return out.select("l_returnflag", r("l_extendedprice"), r("l_discount"))
 
 

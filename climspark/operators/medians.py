@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct values of one group that may be ranked in a single task.
-DISTINCT_LIMIT = 500_000
+from climspark.sources.staging import stage
+
+# Rows (or distinct values) of one group whose median a single task may take.
+GROUP_LIMIT = 500_000
 # Value ranges a larger group is cut into.
 RANGES = 256
 
@@ -19,39 +21,43 @@ def grouped_median(
     value_cols: Sequence[str],
     *,
     weight_col: str | None = None,
-    distinct_limit: int | None = DISTINCT_LIMIT,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """``keys + value_cols`` with the exact median of each column, NULL and NaN left out.
 
-    Rows are first collapsed to (group, column, value, count), which spreads a hot group over all
-    tasks. Groups with few distinct values take the weighted ``percentile``; the others are cut
-    into value ranges, and only the ranges that hold the middle ranks are sorted. ``weight_col``
-    counts copies of a row; a ``distinct_limit`` of None states that no group needs the ranges.
+    The largest group is sized first, by a count that tasks reduce before they shuffle. If it is
+    small, so is every aggregate below and the median is a plain aggregate. Otherwise rows are
+    collapsed to (group, column, value, count), which spreads a large group over all tasks; groups
+    that still have too many distinct values are cut into value ranges, and only the ranges that
+    hold the middle ranks are sorted. ``weight_col`` counts copies of a row.
     """
     keys = list(keys)
-    unit = [*keys, "_name"]
-    copies = F.lit(1) if weight_col is None else F.col(weight_col)
     numbers = {c: F.col(c).cast("double") for c in value_cols}
-    named = [F.struct(F.lit(c).alias("name"), F.when(~F.isnan(v), v).alias("value")) for c, v in numbers.items()]
+    values = {c: F.when(~F.isnan(v), v) for c, v in numbers.items()}
+    copies = F.lit(1) if weight_col is None else F.col(weight_col)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= group_limit:
+        return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5), copies).alias(c) for c, v in values.items()])
+
+    unit = [*keys, "_name"]
+    named = [F.struct(F.lit(c).alias("name"), v.alias("value")) for c, v in values.items()]
     counted = (
         df.select(*keys, copies.alias("_copies"), F.explode(F.array(*named)).alias("_nv"))
         .select(*keys, "_copies", F.col("_nv.name").alias("_name"), F.col("_nv.value").alias("_value"))
         .groupBy(*unit, "_value")
-        .agg(F.sum("_copies").alias("_rows"))
+        .agg(F.when(F.col("_value").isNotNull(), F.sum("_copies")).otherwise(0).alias("_rows"))
+    )
+    counted = stage(counted, "counted")
+    widths = counted.groupBy(*unit).agg(F.count("_value").alias("_distinct"), F.sum("_rows").alias("_total"))
+    # At most one such group per ``group_limit`` rows, which bounds what is broadcast.
+    wide = F.broadcast(widths.filter(F.col("_distinct") > group_limit).select(*unit, "_total"))
+    few = (
+        counted.join(wide, unit, "left_anti")
+        .groupBy(*unit)
+        .agg(F.percentile("_value", F.lit(0.5), F.col("_rows")).alias("_median"))
     )
     picked = [F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in value_cols]
-    if distinct_limit is None:
-        return _weighted_median(counted, unit).groupBy(*keys).agg(*picked)
-    present = F.when(F.col("_value").isNotNull(), F.col("_rows"))
-    widths = counted.groupBy(*unit).agg(F.count("_value").alias("_distinct"), F.sum(present).alias("_total"))
-    wide = widths.filter(F.col("_distinct") > distinct_limit).select(*unit, "_total")
-    few = _weighted_median(counted.join(wide, unit, "left_anti"), unit)
-    many = _ranged_median(counted.filter(F.col("_value").isNotNull()), wide, unit)
-    return few.unionByName(many).groupBy(*keys).agg(*picked)
-
-
-def _weighted_median(counted: DataFrame, unit: list[str]) -> DataFrame:
-    return counted.groupBy(*unit).agg(F.percentile("_value", F.lit(0.5), F.col("_rows")).alias("_median"))
+    return few.unionByName(_ranged_median(counted, wide, unit)).groupBy(*keys).agg(*picked)
 
 
 def _ranged_median(counted: DataFrame, wide: DataFrame, unit: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from climspark.functions.calendar import ensure_datetime
-from climspark.operators.medians import DISTINCT_LIMIT, grouped_median
+from climspark.operators.medians import grouped_median
 from climspark.schema import Columns, all_present
 from climspark.sources.staging import stage
 
@@ -94,15 +94,12 @@ def stations_with_min_rows(
 def station_positions(df: DataFrame, columns: Columns = Columns(), with_altitude: bool = True) -> DataFrame:
     """Median coordinates per station.
 
-    One pass collapses the rows to distinct places per station, a small table that is staged; only
-    a station with very many places needs the ranged median.
+    One pass collapses the rows to distinct places per station, usually a small table.
     """
     coords = columns.coords if with_altitude else columns.coords[:2]
     places = df.filter(F.col(columns.id).isNotNull()).groupBy(columns.id, *coords)
     places = stage(places.agg(F.count(F.lit(1)).alias("_copies")), "places")
-    most = places.groupBy(columns.id).count().agg(F.max("count")).first()[0] or 0
-    limit = DISTINCT_LIMIT if most > DISTINCT_LIMIT else None
-    return grouped_median(places, [columns.id], coords, weight_col="_copies", distinct_limit=limit)
+    return grouped_median(places, [columns.id], coords, weight_col="_copies")
 
 
 def slice_station_series(
