@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from climspark.llm.common import table
 from climspark.llm.decontaminate import op3_decontaminate
+from climspark.llm.packing import op5_packing
 from climspark.llm.sharding import op4_sharding
 from climspark.llm.simhash import op6_simhash
+from climspark.llm.tokens import op10_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": lambda spark, d: op3_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_sharding": lambda spark, d: op4_sharding(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: op5_packing(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: op6_simhash(table(spark, d, "documents")),
+    "op10_tokens": lambda spark, d: op10_tokens(table(spark, d, "documents")),
 }
