@@ -10,6 +10,7 @@ from climspark.llm.common import table
 from climspark.llm.decontaminate import op3_decontaminate
 from climspark.llm.langid import op8_language
 from climspark.llm.packing import op5_packing
+from climspark.llm.pii import op7_pii
 from climspark.llm.sharding import op4_sharding
 from climspark.llm.simhash import op6_simhash
 from climspark.llm.tokens import op10_tokens
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": lambda spark, d: op4_sharding(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: op5_packing(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: op6_simhash(table(spark, d, "documents")),
+    "op7_pii": lambda spark, d: op7_pii(table(spark, d, "documents")),
     "op8_language": lambda spark, d: op8_language(table(spark, d, "documents")),
     "op10_tokens": lambda spark, d: op10_tokens(table(spark, d, "documents")),
 }
