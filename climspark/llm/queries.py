@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from climspark.llm.common import table
 from climspark.llm.decontaminate import op3_decontaminate
 from climspark.llm.langid import op8_language
+from climspark.llm.licenses import op1_licenses
 from climspark.llm.packing import op5_packing
 from climspark.llm.pii import op7_pii
 from climspark.llm.sharding import op4_sharding
@@ -18,6 +19,7 @@ from climspark.llm.tokens import op10_tokens
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": lambda spark, d: op1_licenses(table(spark, d, "documents")),
     "op3_decontaminate": lambda spark, d: op3_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_sharding": lambda spark, d: op4_sharding(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: op5_packing(table(spark, d, "documents")),
