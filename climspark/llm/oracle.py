@@ -2,11 +2,73 @@
 
 from __future__ import annotations
 
+from climspark.llm.quality import MIN_GROUP, SLACK, SPREAD
+from climspark.llm.sharding import SEED, SHARDS
+from climspark.llm.urls import DAMPING, ROUNDS, RULES, THRESHOLD
+
 # Words of the contract, with only A-Z put into lower case.
-LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+LOWER = f"translate(coalesce(text, ''), {_AZ})"
 ALNUM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-# Windows of the benchmark are looked up among the documents' windows of the same length.
+# --- op2: rules as a table; the ranks' rounds written out.
+
+_HOST = rf"coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {_AZ}), '')"
+_HREF = r"""(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)"""
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+
+def _ranked(name: str, column: str, src: str, dst: str) -> str:
+    """CTEs for one personalised rank; the last is ``<name>``."""
+    parts = [
+        f"{name}_all as materialized (select sum({column}) as total from counts)",
+        f"{name}_seed as materialized (select host, {column} / greatest(total, 1) as seed from counts, {name}_all where {column} > 0)",
+        f"{name}_share as materialized (select {src} as src, {dst} as dst, n / sum(n) over (partition by {src}) as share from edges)",
+        f"{name}_0 as materialized (select host, seed as mass from {name}_seed)",
+    ]
+    for i in range(ROUNDS):
+        parts += [
+            f"{name}_got{i} as materialized (select dst as host, {DAMPING} * sum(share * mass) as got "
+            f"from {name}_share join {name}_{i} on src = host group by dst)",
+            f"{name}_{i + 1} as materialized (select host, coalesce(got, 0) + coalesce(seed, 0) * "
+            f"(1 - coalesce((select sum(got) from {name}_got{i}), 0)) as mass "
+            f"from {name}_got{i} full join {name}_seed using (host))",
+        ]
+    parts.append(f"{name} as (select host, mass * total as {name} from {name}_{ROUNDS}, {name}_all)")
+    return ",\n".join(parts)
+
+
+OP2 = rf"""
+with urls as (
+  select page_id, {_HOST} as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path, html from pages),
+rules as (select * from (values {_RULES}) as r(says, h, p)),
+fitting as (
+  select page_id, max_by(h || p, length(h || p)) as rule, max_by(says, length(h || p)) as says
+  from urls join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+judged as (select u.page_id, host, path, rule, says from urls u left join fitting f on f.page_id = u.page_id),
+counts as materialized (
+  select host, sum((says = 'allow')::int) as allowed, sum((says = 'block')::int) as blocked
+  from judged where says is not null group by host),
+links as (
+  select host as src, unnest(regexp_extract_all(coalesce(html, ''), '{_HREF}', 1)) as link from urls),
+edges as materialized (
+  select src, dst, count(*) as n from (
+    select src, coalesce(translate(regexp_extract(case when starts_with(link, '//') then ':' || link else link end,
+                                                  '://([^/?#]*)', 1), {_AZ}), '') as dst
+    from links where contains(link, '//'))
+  where src <> '' and dst <> '' and src <> dst group by src, dst),
+{_ranked("trust", "allowed", "src", "dst")},
+{_ranked("distrust", "blocked", "dst", "src")},
+hosts as (select host, coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust
+          from trust full join distrust using (host))
+select page_id, host, path, rule,
+       coalesce(says, case when distrust > trust * {THRESHOLD} then 'block' end, 'allow') as verdict,
+       round(coalesce(trust, 0), 6) as trust, round(coalesce(distrust, 0), 6) as distrust
+from judged left join hosts using (host)
+"""
+
+# --- op3: windows of the benchmark are looked up among the documents' windows of the same length.
+
 OP3 = f"""
 with items as (select cast(item_id as varchar) as item, {ALNUM_WORDS} as w from benchmark),
 sized as (select item, w, least(13, len(w)) as n from items where len(w) > 0),
@@ -29,4 +91,82 @@ select docs.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) a
 from docs left join hit on hit.doc_id = docs.doc_id left join named on named.doc_id = docs.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_decontaminate": OP3}
+# --- op4: the two orders by row numbers; crc32 byte by byte over its table, which eight steps a value make.
+
+_STEP = "case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end"
+
+OP4 = f"""
+with recursive steps(v, c, k) as (
+  select range, range, 0 from range(256)
+  union all select v, {_STEP}, k + 1 from steps where k < 8),
+crc_table as (select list(c order by v) as t from steps where k = 8),
+texts as (select doc_id, source, coalesce(text, '') as text from documents),
+digits as (
+  select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint)) as b
+  from texts),
+crcs as (
+  select doc_id,
+         xor(list_reduce(list_prepend(cast(4294967295 as bigint), b),
+                         lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)), 4294967295) as text_crc32
+  from digits, crc_table),
+keyed as (
+  select doc_id, source, octet_length(encode(text)) + 1 as size,
+         md5('{SEED}|' || cast(doc_id as varchar)) as key from texts),
+ranked as (
+  select *, (2 * row_number() over (partition by source order by key) - 1) / (2 * count(*) over (partition by source)) as fraction
+  from keyed),
+placed as (
+  select *, row_number() over (order by fraction, key) - 1 as place, count(*) over () as total from ranked),
+cut as (select *, (place * {SHARDS}) // total as shard from placed)
+select cut.doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'rows' as law,
+       cast(shard as int) as shard, cast(place - ((shard * total + {SHARDS - 1}) // {SHARDS}) as bigint) as slot,
+       cast(null as int) as grown_shard
+from cut join crcs using (doc_id)
+"""
+
+# --- op9: repeated windows by counting, quantiles by rank.
+
+_WORDS9 = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+_Q = {m: f"quantile_disc({v}, [0.1, 0.5, 0.9])" for m, v in {
+    "symbols": "symbols", "dup_lines": "dup_lines", "repeats": "repeats", "word_length": "word_length"}.items()}
+_QUANTILES = ", ".join(f"{q} as q_{m}" for m, q in _Q.items())
+_FITS = " and ".join(
+    [f"not coalesce({m} > q_{m}[2] + {SPREAD} * (q_{m}[3] - q_{m}[2]) + {slack}, false)" for m, slack in SLACK.items()]
+    + [f"not coalesce(word_length < q_word_length[2] - {SPREAD} * (q_word_length[2] - q_word_length[1]) - {SLACK['word_length']}, false)"]
+)
+
+OP9 = rf"""
+with docs as (select doc_id, lang, source, coalesce(text, '') as text from documents),
+counted as (
+  select doc_id, lang, source, {_WORDS9} as w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols
+  from docs),
+windows as (
+  select doc_id, i, array_to_string(w[i : i + 7], ' ') as win
+  from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from counted)),
+repeated as (
+  select doc_id, count(distinct j) as n from (
+    select doc_id, unnest(range(i, i + 8)) as j from (
+      select doc_id, i, count(*) over (partition by doc_id, win) as c from windows) where c > 1)
+  group by doc_id),
+basic as (
+  select c.doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+         cast(n_symbols as bigint) as n_symbols, cast(len(lines) as bigint) as n_lines,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words
+  from counted c left join repeated r on r.doc_id = c.doc_id),
+ratios as (
+  select *, n_symbols / nullif(word_chars, 0) as symbols, n_dup_lines / nullif(n_lines, 0) as dup_lines,
+         n_repeat_words / nullif(n_words, 0) as repeats, word_chars / nullif(n_words, 0) as word_length,
+         n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
+  from basic),
+grouped as (select lang, source, count(*) as n, {_QUANTILES} from ratios group by lang, source),
+overall as (select {_QUANTILES} from ratios),
+fenced as (
+  select r.*, {", ".join(f"case when g.n >= {MIN_GROUP} then g.q_{m} else o.q_{m} end as q_{m}" for m in _Q)}
+  from ratios r join grouped g on g.lang is not distinct from r.lang and g.source is not distinct from r.source, overall o)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_FITS} as kept
+from fenced
+"""
+
+ORACLE: dict[str, str] = {"op2_urls": OP2, "op3_decontaminate": OP3, "op4_sharding": OP4, "op9_quality": OP9}
