@@ -30,7 +30,8 @@ WINDOW = 13
 BLOCK_WINDOWS = 100_000
 PIECE_WORDS = 4_096
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Words in the original text, before A-Z are lower-cased.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RESULT = "n_words long, hits array<int>, items array<string>"
 
 

@@ -289,7 +289,7 @@ def _hot_links(hot: DataFrame, group_limit: int) -> DataFrame:
                 names=["fp", "block", "value", "depth", "x", "y"],
             )
 
-    def join(key, group: pa.Table) -> pa.Table:
+    def join(key, group):
         block, _, depth, x, y = (k.as_py() for k in key)
         a, b = cell_links(group.column("fp").to_numpy().view(np.uint64), block, depth, x, y)
         return pa.table([pa.array(v.view(np.int64)) for v in (a, b)], names=["a", "b"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from climspark.llm import decontaminate, langid, packing, pii, simhash
 from climspark.llm.common import table
@@ -28,8 +29,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with mail and network addresses, card and phone numbers replaced in their texts."""
-    return pii.redact(docs)
+    """All documents, with mail and network addresses, card and phone numbers replaced in their texts.
+
+    n_chars follows the new text.
+    """
+    chars = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return pii.redact(docs).withColumn("n_chars", chars)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
