@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,11 @@ LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # Tables kept in each Python worker, and the longest word kept; pairs of tokens kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHE_CHARS = 48
 CACHE_PAIRS = 500_000
+# Characters of the texts whose words are looked up together.
+GROUP_CHARS = 2_000_000
 # Characters of one row of a stored table of prefix counts.
 BLOCK = 4096
 
@@ -53,14 +55,19 @@ class PrefixCounter:
             for i in range(lib.vocab_size())
             if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))
         }
-        # The pieces as a trie: a node maps a character to (number of the piece that ends here or 0, next node).
         self._pieces = ["", *self._score]
-        self._trie: dict = {}
-        for number, piece in enumerate(self._pieces[1:], 1):
-            node = self._trie
-            for char in piece[:-1]:
+        self._number = {piece: n for n, piece in enumerate(self._pieces) if n}
+        # The pieces as a trie from their ends: a node maps a character to (number of the piece that starts here or 0,
+        # next node).
+        self._ends: dict = {}
+        for piece, number in self._number.items():
+            node = self._ends
+            for char in piece[:0:-1]:
                 node = node.setdefault(char, [0, {}])[1]
-            node.setdefault(piece[-1], [0, {}])[0] = number
+            node.setdefault(piece[0], [0, {}])[0] = number
+        # When a piece's merge has its turn; single characters are there from the start.
+        self._turn = [0.0] + [-1.0 if len(p) == 1 else -self._score[p] for p in self._pieces[1:]]
+        self._halves: dict[int, tuple[int, int] | None] = {}
         chars = set("".join(self._score))
         # Characters in no piece part words; pieces hold a space at their start or are all spaces.
         apart = "".join(c for c in "\n\t\r" if c not in chars)
@@ -68,7 +75,7 @@ class PrefixCounter:
         self._segment = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]" if apart else ""))
         assert chars <= set(self._score), "each character of a piece must be a piece"
         self._pairs: dict[int, bool] = {}
-        self._tables: dict[str, array] = {}
+        self._tables: dict[str, Sequence[int]] = {}
         # Runs of spaces merge from the left; beyond the longest run that is a piece the pattern repeats.
         self._period = max(len(p) for p in self._score if not p.strip(SPACE))
         self._runs = [0] + [self._run(k) for k in range(1, self._period + 1)]
@@ -81,94 +88,139 @@ class PrefixCounter:
         """Tokens of k spaces in a row."""
         return k // self._period * self._runs[self._period] + self._runs[k % self._period]
 
-    def _merged(self, text: str) -> list[str]:
-        """Byte-pair merging of a short text: the best score first, of equal ones the leftmost."""
-        parts = list(text)
-        score = self._score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def _derive(self, number: int) -> tuple[int, int] | None:
+        """The two pieces that byte-pair merging joins last on the way to a piece; None if it does not get there.
+
+        The best score merges first, of equal ones the leftmost."""
+        if number not in self._halves:
+            name, score = self._pieces[number], self._score
+            parts, halves = list(name), (0, 0)
+            while len(parts) > 1:
+                joined = [score.get(x + y, -np.inf) for x, y in zip(parts, parts[1:])]
+                at = max(range(len(joined)), key=joined.__getitem__)
+                if joined[at] == -np.inf:
+                    halves = None
+                    break
+                halves = (self._number[parts[at]], self._number[parts[at + 1]])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._halves[number] = halves
+        return self._halves[number]
 
     def _fits(self, left: int, right: int) -> bool:
-        """Whether merging leaves two neighbours (or, after 0, a single piece) as they are."""
+        """Whether merging leaves two neighbours (or, after 0, a single piece) as they are.
+
+        The merges that made the two are undone from the last one back. At each time the parts that meet at their
+        border must not be a piece whose turn came before the merge that is undone; of equal turns, the left one comes
+        first."""
         if len(self._pairs) > CACHE_PAIRS:
             self._pairs.clear()
-        names = [self._pieces[n] for n in (left, right) if n]
-        known = self._pairs[left * len(self._pieces) + right] = self._merged("".join(names)) == names
-        return known
-
-    def _word(self, word: str) -> tuple[list[int], list[bool]]:
-        """For the prefixes 1, 2, ... of a word with one leading space at most: tokens, and whether the first token
-        is a lone space."""
-        trie, pairs, many, n = self._trie, self._pairs, len(self._pieces), len(word)
-        space = trie[SPACE][0]
-        counts, last, lone = [0] * (n + 1), [-1] * (n + 1), [False] * (n + 1)
-        last[0] = 0
-        for i in range(n):
-            node, left, after = trie, last[i], counts[i] + 1
-            if word[i] not in trie:  # no piece has it: its bytes are tokens, and nothing joins them
-                counts[i + 1] = counts[i] + len(word[i].encode("utf-8", "surrogatepass"))
-                last[i + 1], lone[i + 1] = 0, lone[i]
-                continue
-            for j in range(i, n):
-                found = node.get(word[j])
+        key, turn, names = left * len(self._pieces) + right, self._turn, self._pieces
+        fits = self._derive(right) is not None
+        before = np.inf
+        while fits and left:
+            joined = self._number.get(names[left] + names[right])
+            if joined and turn[joined] < before:
+                fits = False
+            elif turn[left] > turn[right]:
+                before, left = turn[left], self._derive(left)[1]
+            elif turn[right] >= 0:
+                before, right = turn[right] + 1, self._derive(right)[0]
+            else:  # both are single characters
+                break
+        self._pairs[key] = fits
+        return fits
+
+    def _extend(self, word: str, counts: list[int], last: list[int]) -> None:
+        """Adds the prefixes of a word beyond those the two lists hold: tokens, and the number of the last token (0
+        where there is none, or bytes). A word has one leading space at most."""
+        ends, pairs, many = self._ends, self._pairs, len(self._pieces)
+        for j in range(len(counts), len(word) + 1):
+            node, i = ends, j
+            while i:
+                i -= 1
+                found = node.get(word[i])
                 if found is None:
                     break
                 number, node = found
-                if number and last[j + 1] < 0:
-                    fits = pairs.get(left * many + number)
-                    if self._fits(left, number) if fits is None else fits:
-                        counts[j + 1], last[j + 1] = after, number
-                        lone[j + 1] = number == space if i == 0 else lone[i]
-        return counts[1:], lone[1:]
-
-    def _table(self, segment: str) -> array:
-        """Counts of all prefixes of a segment: spaces, then a word."""
-        word = segment.lstrip(SPACE)
+                if number:
+                    fits = pairs.get(last[i] * many + number)
+                    if self._fits(last[i], number) if fits is None else fits:
+                        counts.append(counts[i] + 1)
+                        last.append(number)
+                        break
+            if len(counts) == j:  # no piece has the character: its bytes are tokens, and nothing joins them
+                counts.append(counts[-1] + len(word[j - 1].encode("utf-8", "surrogatepass")))
+                last.append(0)
+
+    def _lone(self, word: str, last: list[int]) -> list[bool]:
+        """Whether the first token of each prefix is a lone space, following the last tokens back."""
+        space, lone = self._number[SPACE], [False] * len(last)
+        for j in range(1, len(last)):
+            i = j - (len(self._pieces[last[j]]) if last[j] else 1)
+            lone[j] = last[j] == space if i == 0 else lone[i]
+        return lone
+
+    def _spaced(self, segment: str, word: str) -> list[int]:
+        """Counts of all prefixes of a segment that starts with several spaces."""
         k = len(segment) - len(word)
-        if k == 0:
-            return array("l", self._word(word)[0])
-        runs = [self.run(i) for i in range(1, k + 1)]
-        if not word:
-            return array("l", runs)
-        # Pieces of spaces score below all others, so the last space first joins the word if it can.
-        counts, lone = self._word(SPACE + word)
-        ends = [runs[-1] + c - 1 if alone else self.run(k - 1) + c for c, alone in zip(counts[1:], lone[1:])]
-        return array("l", runs + ends)
-
-    def tables(self, text: str) -> list[array]:
-        """Prefix counts of each segment of the text as the model sees it, one space before it included."""
-        if not text:
-            return []
-        segments = self._segment.findall(SPACE + text.replace(" ", SPACE))
+        counts = [self.run(i) for i in range(1, k + 1)]
+        if word:
+            # Pieces of spaces score below all others, so the last space first joins the word if it can.
+            own, last = [0], [0]
+            self._extend(SPACE + word, own, last)
+            alone = self._lone(SPACE + word, last)
+            counts += [self.run(k) + c - 1 if a else self.run(k - 1) + c for c, a in zip(own[2:], alone[2:])]
+        return counts
+
+    def _tables_of(self, segments: Iterable[str]) -> Iterator[tuple[str, Sequence[int]]]:
+        """Counts of all prefixes of each segment. In sorted order, a word goes on from the prefix that it shares with
+        the one before."""
+        before, counts, last = "", [0], [0]
+        for segment in sorted(segments):
+            if segment.startswith(SPACE * 2):
+                found = self._spaced(segment, segment.lstrip(SPACE))
+            else:
+                shared, most = 0, min(len(before), len(segment))
+                while shared < most and before[shared] == segment[shared]:
+                    shared += 1
+                del counts[shared + 1 :], last[shared + 1 :]
+                self._extend(segment, counts, last)
+                before, found = segment, counts[1:]
+            yield segment, bytes(found) if max(found) < 256 else array("l", found)
+
+    def all_tables(self, texts: Iterable[str | None]) -> Iterator[list[Sequence[int]]]:
+        """For each text the prefix counts of its segments as the model sees it, one space before it included."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(self._segment.findall(SPACE + text.replace(" ", SPACE)) if text else [])
+            chars += len(text or "")
+            if chars > GROUP_CHARS:
+                yield from self._looked_up(group)
+                group, chars = [], 0
+        yield from self._looked_up(group)
+
+    def _looked_up(self, group: list[list[str]]) -> Iterator[list[Sequence[int]]]:
         cache = self._tables
         if len(cache) > CACHE_WORDS:
             cache.clear()
         long = {}
-        for s in set(segments).difference(cache):
-            if len(s) <= CACHE_CHARS:
-                cache[s] = self._table(s)
-            else:
-                long[s] = self._table(s)
-        return [cache[s] if s in cache else long[s] for s in segments] if long else list(map(cache.__getitem__, segments))
+        for segment, table in self._tables_of(set().union(*group).difference(cache)):
+            (cache if len(segment) <= CACHE_CHARS else long)[segment] = table
+        for segments in group:
+            yield [cache[s] if s in cache else long[s] for s in segments] if long else list(map(cache.__getitem__, segments))
 
-    def count(self, text: str | None) -> int:
-        return sum([t[-1] for t in self.tables(text or "")])
+    def counts(self, texts: Iterable[str | None]) -> list[int]:
+        """Tokens of each text."""
+        return [sum([t[-1] for t in tables]) for tables in self.all_tables(texts)]
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Tokens of text[:i] for i from 0 to its length."""
-        tables = self.tables(text or "")
+        (tables,) = self.all_tables([text])
         if not tables:
             return np.zeros(1, dtype=np.int64)
         sizes = [len(t) for t in tables]
         totals = np.array([t[-1] for t in tables], dtype=np.int64)
-        out = np.concatenate([np.frombuffer(t, dtype=np.dtype("l")) for t in tables])
+        out = np.concatenate([np.frombuffer(t, np.uint8 if isinstance(t, bytes) else np.dtype("l")) for t in tables])
         out = out + np.repeat(np.cumsum(totals) - totals, sizes)
         out[0] = 0  # the place before the text: nothing is encoded as nothing
         return out
@@ -196,8 +248,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def rows(batch: pa.RecordBatch):
-        counter = _counter(path)
-        return ([counter.count(t) for t in _texts(batch)],)
+        return (_counter(path).counts(_texts(batch)),)
 
     sized = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sized = sized.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
