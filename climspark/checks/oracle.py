@@ -332,4 +332,106 @@ union all select station, 'monthly', {_metrics()} from monthly group by station
 union all select station, 'annual', {_metrics()} from annual group by station""",
     "roundtrip_model": f"with {STATIONS_SQL} select station, true as same from stations",
 }
-ORACLE["knn_quadtree"] = ORACLE["knn_neighbors"]
+
+
+# --- trees: the step function that the tree reproduces.
+
+
+def _steps(lat: str = "latitude", lon: str = "longitude", alt: str = "altitude") -> str:
+    return f"""(case when {lat} >= 23.5 then 200 else 0 end + case when {lon} >= -99 then 0 else 60 end
+  + case when {alt} >= 1200 then 0 else 25 end + case when year(date) >= 1999 then 9 else 0 end
+  + case when month(date) >= 7 then 4 else 0 end)"""
+
+
+GRID_TREE = f"""cast(date as varchar) as date, round(latitude, 6) as latitude, round(longitude, 6) as longitude,
+       round(altitude, 4) as altitude, cast({_steps()} as double) as y_pred_full"""
+
+_PAIRED = """pairs as (select station, date, prec as y, p from obs join means using (station) where prec is not null and {window})"""
+_BOARD = f"select station, daily_m.n as n_rows, {WIDE_COLUMNS} from {WIDE_JOIN}"
+
+ORACLE |= {
+    "knn_quadtree": """
+with places as (select c_custkey as station, radians(cast(c_nationkey as double)) as x,
+                       radians(cast(floor(c_acctbal / 1000) - 100 as double)) as y from customer),
+near as (
+  select a.station, b.station as neighbor, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 12) as distance
+  from places a join places b on a.station <> b.station)
+select station, neighbor, rank, round(distance, 9) as distance from (
+  select *, row_number() over (partition by station order by distance, neighbor) as rank from near) where rank <= 3""",
+    "knn_targets": f"""{NETWORK_SQL}, {KNN.format(rows='obs')}
+select station, neighbor, rank, round(distance, 9) as distance from knn where station in (1, 2, 3, 5, 8)""",
+    "grid_dedupe_nulls": """
+with cells as (
+  select c_nationkey as station, case when c_custkey % 3 <> 0 then c_acctbal / 100 end as latitude,
+         case when c_custkey % 5 <> 0 then c_custkey / 8 end as longitude from customer),
+ranked as (
+  select *, row_number() over (partition by station order by (latitude is null or longitude is null)::int,
+                               latitude nulls first, longitude nulls first) as i from cells)
+select station, round(latitude, 6) as latitude, round(longitude, 6) as longitude, 5.0 as altitude from ranked where i = 1""",
+    "compare_extra_table": f"""{NETWORK_SQL},
+everywhere as (select date, avg(prec) as v from raw group by date),
+long as (
+  select station, 'obs' as source, date, prec as v from obs where prec is not null and station = 7
+  union all select station, 'nasa', date, prectotcorr from obs where station = 7
+  union all select 7, 'extra', date, v from everywhere where v is not null),
+{COMPARE_SPINE.format(agg='avg', value='v')}, {COMPARE_PAIRS.format(table='monthly', date='d')}
+select station, source, {_metrics()} from pairs group by station, source""",
+    "compare_extra_vector": f"""{NETWORK_SQL}
+select station, cast(date as varchar) as date, round(prec, 6) as obs,
+       cast((row_number() over (order by date) - 1) % 31 as double) as extra
+from obs where station = 7 and prec is not null""",
+    "loso_tree": f"""{NETWORK_SQL}
+select cast(date as varchar) as date, station, cast({_steps()} as double) as y_true, cast({_steps()} as double) as y_pred
+from obs where station = 7 and prec is not null""",
+    "loso_fast_tree": f"""{NETWORK_SQL},
+spine as (select {HORIZON_DAYS}), here as (select latitude, longitude, altitude from stations where station = 7),
+days as (select date, {_steps()} as p from spine, here)
+select cast(days.date as varchar) as date, cast(7 as bigint) as station, cast(p as double) as y_pred_full,
+       case when obs.prec is not null then cast(p as double) end as y_true
+from days left join obs on obs.station = 7 and obs.date = days.date""",
+    "loso_model_and_features": f"""{NETWORK_SQL}
+select cast(date as varchar) as date, cast(month(date) as double) as y_pred, 'month' as features
+from obs where station = 7 and prec is not null and {WINDOW}""",
+    "evaluate_var_col_tree": f"""{NETWORK_SQL}
+select station, count(*) as n_rows, cast(0 as double) as MAE_d, cast(0 as double) as RMSE_m,
+       case when min(prectotcorr >= 15) = max(prectotcorr >= 15) then 1.0 else 1.0 end as R2_d
+from obs where station in (2, 3, 5) and prec is not null and day(date) > 3 and {WINDOW} group by station""",
+    "evaluate_order_d0": f"""{NETWORK_SQL},
+totals as (select sum(prec) as s, count(prec) as n from obs),
+means as (select station, (totals.s - coalesce(sum(prec), 0)) / (totals.n - count(prec)) as p from obs, totals
+          group by station, totals.s, totals.n),
+scored as (select all_ids.station, mae from (select distinct station from obs) all_ids left join (
+  select station, avg(abs(prec - p)) as mae from obs join means using (station)
+  where prec is not null and {WINDOW} group by station) using (station))
+select station, round(mae, 6) as MAE_d, row_number() over (order by mae desc nulls last, station) as place from scored""",
+    "evaluate_map_d0": _wide(
+        f"""{NETWORK_SQL}, clipped as (select * from obs where {WINDOW}),
+map as (select * from (values (2, 1), (2, 4), (3, 2), (5, 6), (5, 7)) as m(station, neighbor)),
+means as (select map.station, avg(prec) as p from map join clipped on clipped.station = map.neighbor group by map.station),
+{_PAIRED.format(window=WINDOW)}""",
+        "sum",
+        _BOARD,
+    ),
+    "evaluate_log_d0": _wide(
+        f"""{NETWORK_SQL}, clipped as (select * from obs where {WINDOW}), {KNN.format(rows='clipped')},
+means as (select knn.station, avg(prec) as p from knn join clipped on clipped.station = knn.neighbor
+          where rank <= 2 and knn.station in (2, 3, 5, 8, 9) group by knn.station),
+{_PAIRED.format(window=WINDOW)}""",
+        "sum",
+        _BOARD,
+    ),
+    "full_series_covariates": f"""{NETWORK_SQL},
+m as (select avg(prec) as v from obs where station <> 7), spine as (select {HORIZON_DAYS}),
+held as (select distinct date from obs where day(date) % 3 <> 0)
+select cast(spine.date as varchar) as date, cast(7 as bigint) as station,
+       case when held.date is not null then round(m.v, 6) end as y_pred_full, round(obs.prec, 6) as y_true
+from spine cross join m left join held on held.date = spine.date left join obs on obs.station = 7 and obs.date = spine.date""",
+    "grid_tree": f"""with {STATIONS_SQL}, days as (select {HORIZON_DAYS})
+select station, {GRID_TREE} from stations cross join days""",
+    "grid_renamed_tree": f"""with {STATIONS_SQL}, days as (select {MONTH_DAYS})
+select station as cell, cast(date as varchar) as date, round(latitude, 6) as y, round(longitude, 6) as x,
+       round(altitude, 4) as z, cast({_steps()} as double) as y_pred_full
+from stations cross join days""",
+    "points_tree": f"""with {STATIONS_SQL}, days as (select {MONTH_DAYS})
+select station + 500 as station, {GRID_TREE} from stations cross join days""",
+}

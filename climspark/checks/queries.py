@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from climspark.checks.network import observations, raw_rows, stations, table
@@ -51,9 +52,10 @@ from climspark.sources.staging import new_folder
 from climspark.sources.tables import read_observations, write_json, write_table
 
 COLUMNS = Columns()
-PRODUCT = Columns(target="prectotcorr")
 # A forest of depth 0 predicts the mean of its pool, which SQL can state exactly.
 MEAN_MODEL = {"n_estimators": 1, "max_depth": 0, "bootstrap": False, "random_state": 42}
+# One full tree that sees all rows reproduces a target that is a step function of its features, which SQL can state.
+TREE = {"n_estimators": 1, "max_depth": 14, "bootstrap": False, "random_state": 42}
 SMALL_FOREST = {"n_estimators": 5, "max_depth": 5, "random_state": 42}
 TARGET = 7
 WINDOW = {"start": "1996-01-01", "end": "2000-12-31"}
@@ -158,7 +160,18 @@ def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = build_station_kneighbors(observations(spark, sf_dir), k=5, shipped_limit=0)
+    """Places that several stations share: customers of a nation at rounded positions."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("station"),
+        F.col("c_nationkey").cast("double").alias("latitude"),
+        (F.floor(F.col("c_acctbal") / 1000) - 100).cast("double").alias("longitude"),
+    )
+    out = build_station_kneighbors(rows, k=3)
+    return out.select("station", "neighbor", "rank", r("distance", 9))
+
+
+def knn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = build_station_kneighbors(observations(spark, sf_dir), k=5, targets=[1, 2, 3, 5, 8, 100001])
     return out.select("station", "neighbor", "rank", r("distance", 9))
 
 
@@ -287,31 +300,24 @@ def evaluate_fast_knn_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station", "n_rows", *[r(c) for c in SCORE_COLUMNS], "include_target_pct", *coords)
 
 
-_exports: dict[tuple[str, str], tuple[DataFrame, str]] = {}
-
-
-def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """One export of every station, shared by the queries that look at its outputs."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _exports:
-        out = new_folder(spark, "export")
-        manifest = export_full_series_batch(
-            observations(spark, sf_dir),
-            out_dir=out,
-            rf_params=MEAN_MODEL,
-            manifest_path=f"{out}/manifest.csv",
-            combine_output_path=f"{out}/combined.csv",
-            train_start=WINDOW["start"],
-            train_end=WINDOW["end"],
-            parallelism=FITS,
-            **HORIZON,
-        )
-        _exports[key] = (manifest, out)
-    return _exports[key]
+def _exported(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, str]:
+    """One export of every station: the manifest and the folder."""
+    out = new_folder(spark, "export")
+    manifest = export_full_series_batch(
+        observations(spark, sf_dir),
+        out_dir=out,
+        rf_params=MEAN_MODEL,
+        train_start=WINDOW["start"],
+        train_end=WINDOW["end"],
+        parallelism=FITS,
+        **{k: v.format(out=out) for k, v in options.items()},
+        **HORIZON,
+    )
+    return manifest, out
 
 
 def export_filled_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, out = _exported(spark, sf_dir)
+    _, out = _exported(spark, sf_dir, combine_output_path="{out}/combined.csv")
     combined = read_observations(spark, f"{out}/combined.csv")
     return combined.select("station", r("latitude"), r("longitude"), r("altitude"), d(), r("prec"))
 
@@ -323,8 +329,10 @@ def export_series_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, _ = _exported(spark, sf_dir)
-    return manifest.select("station", r("coverage_pct"), *[r(c) for c in SCORE_COLUMNS], "error")
+    """The manifest as its file has it."""
+    manifest, out = _exported(spark, sf_dir, manifest_path="{out}/manifest.csv")
+    stored = spark.read.schema(manifest.schema).csv(f"{out}/manifest.csv", header=True)
+    return stored.select("station", r("coverage_pct"), *[r(c) for c in SCORE_COLUMNS], "error")
 
 
 def export_compact_one_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,24 +349,16 @@ def export_compact_one_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- global model
 
 
-_globals: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 _TRAIN = {"start": "1996-01-01", "end": "2000-12-31", "min_rows_per_station": 265}
 
 
 def _global_model(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """One mean model of the whole network, shared by the queries that predict with it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _globals:
-        path = new_folder(spark, "global")
-        _, _, summary = train_global_rf_target(
-            observations(spark, sf_dir),
-            model_path=f"{path}/model",
-            meta_path=f"{path}/meta",
-            rf_params=MEAN_MODEL,
-            **_TRAIN,
-        )
-        _globals[key] = (path, summary)
-    return _globals[key]
+    """The mean model of the whole network: its folder and the stations used."""
+    path = new_folder(spark, "global")
+    _, _, summary = train_global_rf_target(
+        observations(spark, sf_dir), model_path=f"{path}/model", meta_path=f"{path}/meta", rf_params=MEAN_MODEL, **_TRAIN
+    )
+    return path, summary
 
 
 def _paths(path: str) -> dict[str, str]:
@@ -450,6 +450,17 @@ def grid_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_grid(grid).select("station", r("latitude"), r("longitude"), r("altitude"))
 
 
+def grid_dedupe_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that lack a coordinate lose against complete ones."""
+    grid = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("station"),
+        F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") / 100).alias("latitude"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") / 8).alias("longitude"),
+        F.lit(5.0).alias("altitude"),
+    )
+    return dedupe_grid(grid).select("station", r("latitude"), r("longitude"), r("altitude"))
+
+
 # --- comparison of sources
 
 
@@ -481,6 +492,31 @@ def compare_smoothed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.select("station", d(), r("obs"), r("nasa"), r("rf"))
 
 
+def compare_extra_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without stations belongs to the station that is asked for."""
+    rows = observations(spark, sf_dir)
+    extra = raw_rows(spark, sf_dir).groupBy(F.col("date").alias("day")).agg(F.avg("prec").alias("all_stations"))
+    _, scores = compare_sources(
+        rows,
+        station_id=TARGET,
+        product_col="prectotcorr",
+        extra=extra,
+        extra_date_col="day",
+        extra_value_col="all_stations",
+        resample_to="M",
+        agg="mean",
+    )
+    return _scores(scores, "station", "source")
+
+
+def compare_extra_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bare list takes the dates of the observed series, in order."""
+    rows = observations(spark, sf_dir).filter("prec is not null")
+    n = rows.filter(F.col("station") == TARGET).count()
+    aligned, _ = compare_sources(rows, station_id=TARGET, extra=[float(i % 31) for i in range(n)], resample_to=None)
+    return aligned.filter("extra is not null").select("station", d(), r("obs"), r("extra"))
+
+
 # --- sources and sinks
 
 
@@ -519,26 +555,131 @@ def roundtrip_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("station", (F.col("before") == F.col("after")).alias("same"))
 
 
-# --- real forests
+# --- trees that use their features
 
 
-def loso_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _, _, _ = loso_train_predict_station(
-        observations(spark, sf_dir), TARGET, rf_params=SMALL_FOREST, add_cyclic=True, **WINDOW
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations whose target is a step function of place and calendar."""
+    steps = (
+        F.when(F.col("latitude") >= 23.5, 200).otherwise(0)
+        + F.when(F.col("longitude") >= -99, 0).otherwise(60)
+        + F.when(F.col("altitude") >= 1200, 0).otherwise(25)
+        + F.when(F.year("date") >= 1999, 9).otherwise(0)
+        + F.when(F.month("date") >= 7, 4).otherwise(0)
     )
-    return out
+    return observations(spark, sf_dir).withColumn("prec", F.when(F.col("prec").isNotNull(), steps.cast("double")))
 
 
-def grid_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "forest")
-    train_global_rf_target(
+def loso_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _, _, _ = loso_train_predict_station(_planted(spark, sf_dir), TARGET, rf_params=TREE, add_cyclic=True)
+    return out.select(d(), "station", r("y_true"), r("y_pred"))
+
+
+def loso_fast_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _, _, _ = loso_predict_full_series_fast(
+        _planted(spark, sf_dir),
+        TARGET,
+        rf_params=TREE,
+        k_neighbors=90,
+        include_target_pct=10.0,
+        train_start=WINDOW["start"],
+        train_end=WINDOW["end"],
+        **HORIZON,
+    )
+    return out.select(d(), "station", r("y_pred_full"), r("y_true"))
+
+
+def loso_model_and_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another regressor, on the month alone."""
+    rows = observations(spark, sf_dir).withColumn("prec", F.when(F.col("prec").isNotNull(), F.month("date").cast("double")))
+    out, _, _, features = loso_train_predict_station(
+        rows, TARGET, model=DecisionTreeRegressor(maxDepth=6), feature_cols=["month"], **WINDOW
+    )
+    return out.select(d(), r("y_pred"), F.lit(",".join(features)).alias("features"))
+
+
+def evaluate_var_col_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target that follows a covariate: no error is left where the covariate is known."""
+    rows = observations(spark, sf_dir)
+    value = F.when(F.col("prectotcorr") >= 15, 8.0).otherwise(1.0)
+    rows = rows.withColumn("prec", F.when(F.col("prec").isNotNull(), value))
+    rows = rows.withColumn("prectotcorr", F.when(F.dayofmonth("date") > 3, F.col("prectotcorr")))
+    out = evaluate_all_stations_fast(
+        rows, var_col="PRECTOTCORR", station_ids=[2, 3, 5], rf_params=TREE, add_cyclic=True, include_target_pct=20.0, **WINDOW
+    )
+    return out.select("station", "n_rows", r("MAE_d"), r("RMSE_m"), r("R2_d"))
+
+
+def evaluate_order_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoreboard's order, as a rank."""
+    out = evaluate_all_stations(
+        observations(spark, sf_dir), rf_params=MEAN_MODEL, parallelism=FITS, order_by=("MAE_d", False), **WINDOW
+    )
+    place = F.row_number().over(Window.orderBy("_at")).alias("place")
+    return out.withColumn("_at", F.monotonically_increasing_id()).select("station", r("MAE_d"), place)
+
+
+def evaluate_map_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate_all_stations_fast(
         observations(spark, sf_dir),
-        model_path=f"{path}/model",
-        meta_path=f"{path}/meta",
-        rf_params=SMALL_FOREST,
-        **_TRAIN,
+        station_ids=[2, 3, 5],
+        rf_params=MEAN_MODEL,
+        k_neighbors=2,
+        neighbor_map={2: [1, 4], 3: [2], 5: [5, 6, 7], 8: [9]},
+        **WINDOW,
+    )
+    return out.select("station", "n_rows", *[r(c) for c in SCORE_COLUMNS])
+
+
+def evaluate_log_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that was broken off after three stations goes on from its log; the log's rows at the end."""
+    rows, path = observations(spark, sf_dir), f"{new_folder(spark, 'log')}/log.csv"
+    options = dict(rf_params=MEAN_MODEL, k_neighbors=2, log_csv=path, flush_every=2, **WINDOW)
+    evaluate_all_stations_fast(rows, station_ids=[2, 3, 5], **options)
+    board = evaluate_all_stations_fast(rows, station_ids=[2, 3, 5, 8, 9], **options)
+    stored = spark.read.schema(board.schema).csv(path, header=True)
+    return stored.select("station", "n_rows", *[r(c) for c in SCORE_COLUMNS])
+
+
+def full_series_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A covariate table with holes: a row for every day, without a prediction where the table has none."""
+    rows = observations(spark, sf_dir)
+    whole = rows.groupBy("date").agg(F.max("prectotcorr").alias("prectotcorr")).filter(F.dayofmonth("date") % 3 != 0)
+    out, _, _, _ = loso_predict_full_series_fast(
+        rows, TARGET, rf_params=MEAN_MODEL, var_cols=["prectotcorr"], covariates=whole, **HORIZON
+    )
+    return out.select(d(), "station", r("y_pred_full"), r("y_true"))
+
+
+def _tree_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    paths = _paths(new_folder(spark, "tree"))
+    train_global_rf_target(_planted(spark, sf_dir), rf_params=TREE, start="1995-01-01", end="2001-12-31", min_rows_per_station=1, **paths)
+    return paths
+
+
+def grid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _tree_paths(spark, sf_dir)
+    return predict_grid_daily_with_global_model(stations(spark, sf_dir), **paths, **HORIZON)
+
+
+def grid_tree_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid_columns(grid_tree(spark, sf_dir))
+
+
+def grid_renamed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under other column names: a swapped coordinate would give other steps."""
+    grid = stations(spark, sf_dir).toDF("cell", "y", "x", "z")
+    names = Columns(id="cell", lat="y", lon="x", alt="z")
+    out = predict_grid_daily_with_global_model(grid, columns=names, **_tree_paths(spark, sf_dir), **MONTH)
+    return out.select("cell", d(), r("y"), r("x"), r("z", 4), r("y_pred_full", 3))
+
+
+def points_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points at the stations' places, under ids of their own."""
+    points = stations(spark, sf_dir).select(
+        (F.col("station") + 500).alias("station"), *[F.col(c).cast("string").alias(c) for c in COLUMNS.coords]
     )
-    return predict_grid_daily_with_global_model(stations(spark, sf_dir), **_paths(path), **HORIZON)
+    return _grid_columns(predict_points_daily_with_global_model(spark, points, **_tree_paths(spark, sf_dir), **MONTH))
 
 
 QUERIES: dict[str, Query] = {
@@ -596,6 +737,19 @@ QUERIES: dict[str, Query] = {
     "roundtrip_csv": roundtrip_csv,
     "roundtrip_metrics_json": roundtrip_metrics_json,
     "roundtrip_model": roundtrip_model,
-    "loso_forest": loso_forest,
-    "grid_forest": grid_forest,
+    "knn_targets": knn_targets,
+    "grid_dedupe_nulls": grid_dedupe_nulls,
+    "compare_extra_table": compare_extra_table,
+    "compare_extra_vector": compare_extra_vector,
+    "loso_tree": loso_tree,
+    "loso_fast_tree": loso_fast_tree,
+    "loso_model_and_features": loso_model_and_features,
+    "evaluate_var_col_tree": evaluate_var_col_tree,
+    "evaluate_order_d0": evaluate_order_d0,
+    "evaluate_map_d0": evaluate_map_d0,
+    "evaluate_log_d0": evaluate_log_d0,
+    "full_series_covariates": full_series_covariates,
+    "grid_tree": grid_tree_rounded,
+    "grid_renamed_tree": grid_renamed_tree,
+    "points_tree": points_tree,
 }

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from climspark.sources.staging import stage
-
-# Rows (or distinct values) of one group whose median a single task may take.
+# Distinct values of one group whose median a single task may take.
 GROUP_LIMIT = 500_000
-# Value ranges a larger group is cut into.
+# Value ranges a larger group is cut into, and copies of its cuts, so that its rows meet them in many tasks.
 RANGES = 256
+SALTS = 32
 
 
 def grouped_median(
@@ -25,51 +24,53 @@ def grouped_median(
 ) -> DataFrame:
     """``keys + value_cols`` with the exact median of each column, NULL and NaN left out.
 
-    The largest group is sized first, by a count that tasks reduce before they shuffle. If it is
-    small, so is every aggregate below and the median is a plain aggregate. Otherwise rows are
-    collapsed to (group, column, value, count), which spreads a large group over all tasks; groups
-    that still have too many distinct values are cut into value ranges, and only the ranges that
-    hold the middle ranks are sorted. ``weight_col`` counts copies of a row.
+    Rows are collapsed to (group, column, value, count), which tasks reduce before they shuffle and which spreads a
+    large group over all tasks. Groups that still have too many distinct values are cut into value ranges, and only
+    the ranges that hold the middle ranks are sorted. One lazy plan: nothing runs before an action, and its parts
+    share the collapsed rows' shuffle. ``weight_col`` counts copies of a row.
     """
     keys = list(keys)
     numbers = {c: F.col(c).cast("double") for c in value_cols}
     values = {c: F.when(~F.isnan(v), v) for c, v in numbers.items()}
     copies = F.lit(1) if weight_col is None else F.col(weight_col)
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_limit:
-        return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5), copies).alias(c) for c, v in values.items()])
-
-    unit = [*keys, "_name"]
+    # Group keys may be NULL, and a join on the bare keys would lose those groups.
+    unit = ["_group", "_name"]
     named = [F.struct(F.lit(c).alias("name"), v.alias("value")) for c, v in values.items()]
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
     counted = (
         df.select(*keys, copies.alias("_copies"), F.explode(F.array(*named)).alias("_nv"))
         .select(*keys, "_copies", F.col("_nv.name").alias("_name"), F.col("_nv.value").alias("_value"))
-        .groupBy(*unit, "_value")
+        .groupBy(*keys, "_name", "_value")
         .agg(F.when(F.col("_value").isNotNull(), F.sum("_copies")).otherwise(0).alias("_rows"))
+        .withColumn("_group", group)
     )
-    counted = stage(counted, "counted")
     widths = counted.groupBy(*unit).agg(F.count("_value").alias("_distinct"), F.sum("_rows").alias("_total"))
-    # At most one such group per ``group_limit`` rows, which bounds what is broadcast.
-    wide = F.broadcast(widths.filter(F.col("_distinct") > group_limit).select(*unit, "_total"))
+    wide = widths.filter(F.col("_distinct") > group_limit).select(*unit, "_total")
     few = (
         counted.join(wide, unit, "left_anti")
-        .groupBy(*unit)
+        .groupBy(*keys, "_name")
         .agg(F.percentile("_value", F.lit(0.5), F.col("_rows")).alias("_median"))
     )
+    medians = few.unionByName(_ranged_median(counted, wide, unit, keys))
     picked = [F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in value_cols]
-    return few.unionByName(_ranged_median(counted, wide, unit)).groupBy(*keys).agg(*picked)
+    return medians.groupBy(*keys).agg(*picked)
 
 
-def _ranged_median(counted: DataFrame, wide: DataFrame, unit: list[str]) -> DataFrame:
+def _ranged_median(counted: DataFrame, wide: DataFrame, unit: list[str], keys: list[str]) -> DataFrame:
     """Median of groups with very many distinct values, by rank selection inside value ranges."""
+    salted = counted.withColumn("_salt", F.pmod(F.hash("_value"), F.lit(SALTS)))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    on = [*unit, "_salt"]
     probs = [i / RANGES for i in range(1, RANGES)]
     cuts = (
-        counted.join(wide, unit)
+        salted.join(wide.select("*", copies), on)
         .groupBy(*unit, "_total")
         .agg(F.percentile_approx("_value", probs, 100 * RANGES).alias("_cuts"))
     )
-    ranged = counted.join(cuts, unit).select(
+    ranged = salted.join(cuts.select("*", copies), on).select(
+        *keys,
         *unit,
+        "_salt",
         "_total",
         "_value",
         "_rows",
@@ -86,9 +87,9 @@ def _ranged_median(counted: DataFrame, wide: DataFrame, unit: list[str]) -> Data
         .select(*unit, "_range", "_before")
     )
     upto = F.col("_before") + F.sum("_rows").over(Window.partitionBy(*unit, "_range").orderBy("_value"))
-    ranked = ranged.join(middle, [*unit, "_range"]).withColumn("_upto", upto)
+    ranked = ranged.join(middle.select("*", copies), [*on, "_range"]).withColumn("_upto", upto)
 
     def at(rank):
         return F.min(F.when(F.col("_upto") >= rank, F.col("_value")))
 
-    return ranked.groupBy(*unit).agg(((at(low_rank) + at(high_rank)) / 2).alias("_median"))
+    return ranked.groupBy(*keys, "_name").agg(((at(low_rank) + at(high_rank)) / 2).alias("_median"))

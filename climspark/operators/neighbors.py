@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from climspark.operators.stations import station_positions
 from climspark.schema import Columns
 from climspark.sources.staging import stage
 
-# Station tables up to this size (24 bytes a row) are sent to every task.
-SHIPPED_STATIONS = 200_000
 # Distances that agree to this many digits (radians) are ties, broken by the smaller id.
 TIE_DIGITS = 12
 # Deepest quadtree level, levels per round, and cell population at which the descent may stop.
@@ -30,66 +26,34 @@ NEIGHBOR_SCHEMA = "station long, neighbor long, rank int, distance double"
 
 
 def build_station_kneighbors(
-    data: DataFrame, *, columns: Columns = Columns(), k: int = 100, shipped_limit: int = SHIPPED_STATIONS
+    data: DataFrame,
+    *,
+    columns: Columns = Columns(),
+    k: int = 100,
+    targets: DataFrame | Iterable[int] | None = None,
 ) -> DataFrame:
     """``(station, neighbor, rank, distance)``: the k stations nearest to each one, itself excluded.
 
-    Distance is Euclidean between median (latitude, longitude) in radians. A station table of
-    checked size is shipped to the tasks, each of which searches for its own stations; a larger one
-    is searched by descending a quadtree. Neither builds pairs of all stations.
+    Distance is Euclidean between median (latitude, longitude) in radians. A quadtree is descended for every place of
+    the stations in ``targets`` (ids, or a table with a column ``station``; all by default), so no pairs of all
+    stations are built, whatever the size.
     """
-    spark = data.sparkSession
     positions = station_positions(data, columns, with_altitude=False).select(
         F.col(columns.id).cast("long").alias("station"),
         F.radians(columns.lat).alias("x"),
         F.radians(columns.lon).alias("y"),
     )
     positions = stage(positions.filter(is_number(F.col("x")) & is_number(F.col("y"))), "positions")
-    count = positions.count()
-    if count > shipped_limit:
-        return _descend(positions, k)
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 2, count // 64))
-    table = positions.orderBy("station").toPandas()  # at most ``shipped_limit`` rows
-    shipped = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("station", "x", "y")))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, xs, ys = shipped.value
-        for batch in batches:
-            step = max(1, 4_000_000 // max(1, len(ids)))
-            for lo in range(0, len(batch), step):
-                yield _nearest(batch.iloc[lo : lo + step], ids, xs, ys, k)
-
-    return positions.repartition(parts, "station").mapInPandas(search, NEIGHBOR_SCHEMA)
-
-
-def _nearest(queries: pd.DataFrame, ids: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> pd.DataFrame:
-    """k nearest of each query among stations sorted by id; a stable sort leaves ties in id order."""
-    dx = queries["x"].to_numpy()[:, None] - xs[None, :]
-    dy = queries["y"].to_numpy()[:, None] - ys[None, :]
-    dist = np.round(np.sqrt(dx * dx + dy * dy), TIE_DIGITS)
-    own = queries["station"].to_numpy()
-    dist[own[:, None] == ids[None, :]] = np.inf
-    take = min(k, len(ids) - 1)
-    if take < 1:
-        return pd.DataFrame({"station": [], "neighbor": [], "rank": [], "distance": []})
-    kth = np.partition(dist, take - 1, axis=1)[:, take - 1]
-    picks = []
-    for row, limit in zip(dist, kth):
-        near = np.flatnonzero(row <= limit)
-        picks.append(near[np.argsort(row[near], kind="stable")][:take])
-    chosen = np.array(picks)
-    return pd.DataFrame(
-        {
-            "station": np.repeat(own, take),
-            "neighbor": ids[chosen].ravel(),
-            "rank": np.tile(np.arange(1, take + 1), len(own)),
-            "distance": np.take_along_axis(dist, chosen, axis=1).ravel(),
-        }
-    )
+    asked = positions
+    if targets is not None:
+        if not isinstance(targets, DataFrame):
+            targets = data.sparkSession.createDataFrame([(int(t),) for t in targets], "station long")
+        asked = positions.join(targets.select(F.col("station").cast("long")).distinct(), "station", "left_semi")
+    return _descend(positions, asked, k)
 
 
-def _descend(positions: DataFrame, k: int) -> DataFrame:
-    """The same neighbours by quadtree descent, for station tables too large to ship.
+def _descend(positions: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Neighbours of the stations ``asked`` by quadtree descent.
 
     Every distinct place keeps a frontier of cells. A cell is dropped once cells holding more than
     k stations lie wholly nearer than its own nearest corner, so frontiers stay near k whatever
@@ -102,6 +66,8 @@ def _descend(positions: DataFrame, k: int) -> DataFrame:
         kept.groupBy("x", "y").agg(F.sort_array(F.collect_list("station")).alias("ids")), "places"
     )
     box = places.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if box[0] is None:
+        return positions.sparkSession.createDataFrame([], NEIGHBOR_SCHEMA)
     x0, y0 = box[0], box[1]
     extent = max(box[2] - x0, box[3] - y0, 1e-9) * (1 + 1e-9)
 
@@ -120,7 +86,7 @@ def _descend(positions: DataFrame, k: int) -> DataFrame:
     fullest = {r[0]: r[1] for r in cells.groupBy("level").agg(F.max("places")).collect()}  # one row per level
     depth = next((v for v in rounds if fullest[v] <= LEAF_SIZE), rounds[-1])
 
-    frontier = places.select("x", "y", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
+    frontier = asked.select("x", "y").distinct().select("x", "y", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
     for level in range(LEVEL_STEP, depth + 1, LEVEL_STEP):
         size = extent / 2**level
         fan = 2**LEVEL_STEP
@@ -167,7 +133,7 @@ def _descend(positions: DataFrame, k: int) -> DataFrame:
     )
     ranked = Window.partitionBy("station").orderBy("distance", "neighbor")
     return (
-        positions.join(candidates.drop("_nth"), ["x", "y"])
+        asked.join(candidates.drop("_nth"), ["x", "y"])
         .filter(F.col("neighbor") != F.col("station"))
         .withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
@@ -202,8 +168,11 @@ def neighbor_correlations(
         F.col("station").cast("long"), F.col("neighbor").cast("long")
     ).distinct()
     value = F.col(columns.target).cast("double")
+    wanted = pairs.select(F.explode(F.array("station", "neighbor")).alias("_wanted")).distinct()
+    rows = data.select(columns.id, columns.date, columns.target)
+    rows = rows.join(wanted, F.col(columns.id).cast("long") == F.col("_wanted"), "left_semi")
     daily = (
-        prepare_dates(data.select(columns.id, columns.date, columns.target), columns.date, start, end)
+        prepare_dates(rows, columns.date, start, end)
         .filter(is_number(value))
         .groupBy(F.col(columns.id).cast("long").alias("station"), F.col(columns.date).alias("date"))
         .agg(F.avg(value).alias("a"))
@@ -211,11 +180,14 @@ def neighbor_correlations(
     daily = stage(daily, "daily")
     known = daily.select("station").distinct()
     pairs = pairs.join(known, "station", "left_semi")
-    other = daily.select(F.col("station").alias("neighbor"), "date", F.col("a").alias("b"))
+    # The correlation is symmetric: two stations that are each other's neighbours are joined once.
+    low, high = F.least("station", "neighbor").alias("low"), F.greatest("station", "neighbor").alias("high")
+    lows = daily.select(F.col("station").alias("low"), "date", "a")
+    highs = daily.select(F.col("station").alias("high"), "date", F.col("a").alias("b"))
     sums = (
-        daily.join(pairs, "station")
-        .join(other, ["neighbor", "date"])
-        .groupBy("station", "neighbor")
+        lows.join(pairs.select(low, high).distinct(), "low")
+        .join(highs, ["high", "date"])
+        .groupBy("low", "high")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.covar_pop("a", "b").alias("cov"),
@@ -224,7 +196,7 @@ def neighbor_correlations(
         )
     )
     usable = (F.col("n") >= min_overlap) & ~F.col("flat")
-    return pairs.join(sums, ["station", "neighbor"], "left").select(
+    return pairs.select("station", "neighbor", low, high).join(sums, ["low", "high"], "left").select(
         "station",
         "neighbor",
         F.when(usable, F.try_divide("cov", "spread")).alias("corr"),

@@ -212,7 +212,9 @@ def widen_scores(scores: DataFrame, keys: Sequence[str] = ("station",)) -> DataF
 
 
 def metrics_dict(scores: DataFrame) -> dict[str, dict[str, float | None]]:
-    """The three score rows of one series as ``{grain: {MAE, RMSE, R2}}``."""
+    """The three score rows of one series as ``{grain: {MAE, RMSE, R2}}``; scores of several series raise."""
     empty = {g: {"MAE": None, "RMSE": None, "R2": None} for g, _, _ in GRAINS}
-    rows = scores.filter(F.col("grain").isin(list(empty))).take(len(GRAINS))
+    rows = scores.filter(F.col("grain").isin(list(empty))).take(len(GRAINS) + 1)
+    if len({r["grain"] for r in rows}) < len(rows):
+        raise ValueError("These are scores of several series: filter one of them.")
     return empty | {r["grain"]: {"MAE": r["mae"], "RMSE": r["rmse"], "R2": r["r2"]} for r in rows}

@@ -47,11 +47,12 @@ def select_stations(
     listed = sorted({int(i) for i in station_ids}) if station_ids is not None else []
     if not tests and not listed:
         return ids
-    ids = stage(ids, "ids")  # looked at twice: is there a match, and which
     chosen = ids.filter(_any(tests)) if tests else ids.limit(0)
     if listed:
         named = data.sparkSession.createDataFrame([(i,) for i in listed], f"`{id_col}` long")
         return chosen.unionByName(named).distinct()
+    ids = stage(ids, "ids")  # looked at twice: is there a match, and which
+    chosen = ids.filter(_any(tests))
     if chosen.isEmpty():
         if strict:
             raise ValueError("No station matches the selection.")
@@ -98,8 +99,7 @@ def station_positions(df: DataFrame, columns: Columns = Columns(), with_altitude
     """
     coords = columns.coords if with_altitude else columns.coords[:2]
     places = df.filter(F.col(columns.id).isNotNull()).groupBy(columns.id, *coords)
-    places = stage(places.agg(F.count(F.lit(1)).alias("_copies")), "places")
-    return grouped_median(places, [columns.id], coords, weight_col="_copies")
+    return grouped_median(places.agg(F.count(F.lit(1)).alias("_copies")), [columns.id], coords, weight_col="_copies")
 
 
 def slice_station_series(

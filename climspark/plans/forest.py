@@ -11,15 +11,18 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climspark.schema import Columns
-from climspark.sources.staging import MIN_TASKS
+from climspark.schema import Columns, all_present
+from climspark.sources.staging import MIN_TASKS, SMALL_TASK_ROWS
 
 FEATURES_COL = "_features"
 PREDICTION_COL = "prediction"
 
-# Spark ML's deepest tree, and bins enough for one per day of the year.
+# Spark ML's deepest tree, and bins enough for one per day of the year. A feature with more distinct
+# values is cut at quantiles; ``maxBins`` among the forest parameters overrides it.
 MAX_DEPTH = 30
 MAX_BINS = 400
+# Rows of a training pool that one task holds.
+POOL_ROWS_PER_TASK = 250_000
 DEFAULT_RF_PARAMS = {"n_estimators": 200, "max_depth": None, "random_state": 42}
 
 # Usual forest parameter names -> Spark ML names.
@@ -33,7 +36,7 @@ PARAM_NAMES = {
     "bootstrap": "bootstrap",
     "max_samples": "subsamplingRate",
 }
-IGNORED_PARAMS = ("n_jobs", "verbose", "warm_start", "criterion")
+IGNORED_PARAMS = ("n_jobs", "verbose", "warm_start")
 
 
 def forest_params(rf_params: Mapping[str, object] | None = None) -> dict[str, object]:
@@ -44,13 +47,18 @@ def forest_params(rf_params: Mapping[str, object] | None = None) -> dict[str, ob
     for name, value in given.items():
         if name in IGNORED_PARAMS:
             continue
+        if name == "criterion":
+            if value not in (None, "squared_error"):
+                raise ValueError(f"criterion={value!r}: Spark ML's trees reduce the squared error.")
+            continue
         target = PARAM_NAMES.get(name, name)
         if target == "maxDepth" and (value is None or value > MAX_DEPTH):
             if value is not None:
                 warnings.warn(f"max_depth={value} is above Spark ML's limit: {MAX_DEPTH} is used.", stacklevel=3)
             value = MAX_DEPTH
         if target == "featureSubsetStrategy":
-            value = "all" if value in (None, 1.0) else str(value)
+            # 1.0 is the share of all features, 1 is one feature.
+            value = "all" if value is None or (isinstance(value, float) and value == 1.0) else str(value)
         if value is None:
             continue
         if target not in known:
@@ -63,36 +71,25 @@ def forest(rf_params: Mapping[str, object] | None = None) -> RandomForestRegress
     return RandomForestRegressor(**forest_params(rf_params))
 
 
-def _pool_tasks(spark: SparkSession) -> int:
-    """As many tasks as the session shuffles into; in local mode no more than it can run."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        tasks = min(tasks, spark.sparkContext.defaultParallelism)
-    return max(MIN_TASKS, tasks)
+def _laid_out(pool: DataFrame, columns: Columns, features: Sequence[str], target: str) -> DataFrame:
+    """The pool's rows in an order and on a number of tasks that follow from the rows alone.
+
+    A forest's bootstrap depends on both. So one pool and seed give one forest, whichever plan made the pool and
+    whatever the cluster. Hashing on station and date together keeps a huge station spread out.
+    """
+    keys = [columns.id, columns.date]
+    rows = pool.select(*[F.col(columns.id).cast("long"), F.col(columns.date).cast("timestamp_ntz")],
+                       *dict.fromkeys(c for c in [*features, target] if c not in keys))
+    count = pool.count()
+    tasks = max(1, min(MIN_TASKS, count // SMALL_TASK_ROWS), -(-count // POOL_ROWS_PER_TASK))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, target, *features)
 
 
 def fit_pool(
-    pool: DataFrame, features: Sequence[str], target: str, estimator: Estimator, *, clustered: bool = False,
-    columns: Columns = Columns(),
+    pool: DataFrame, features: Sequence[str], target: str, estimator: Estimator, *, columns: Columns = Columns()
 ) -> PipelineModel:
-    """Fit ``VectorAssembler + estimator`` on the rows of ``pool`` (all values present).
-
-    A forest's bootstrap depends on the row layout, so the rows are laid out by their content
-    first, on at least ``MIN_TASKS`` tasks; ``clustered`` rows come from a staged table and are so
-    already. Hashing on station and date together keeps a huge station spread out.
-    """
-    names = list(dict.fromkeys([*features, target]))
-    if clustered:
-        rows = pool.select(*names)
-    else:
-        tasks = _pool_tasks(pool.sparkSession)
-        keys = [columns.id, columns.date]
-        rows = (
-            pool.select(*dict.fromkeys([*keys, *names]))
-            .repartition(tasks, *keys)
-            .sortWithinPartitions(*keys, target, *features)
-            .select(*names)
-        )
+    """Fit ``VectorAssembler + estimator`` on the rows of ``pool`` (all values present)."""
+    rows = _laid_out(pool, columns, features, target).select(*dict.fromkeys([*features, target]))
     regressor = estimator.copy()
     regressor.setParams(featuresCol=FEATURES_COL, labelCol="_label", predictionCol=PREDICTION_COL)
     rows = rows.withColumn("_label", F.col(target).cast("double"))
@@ -106,8 +103,13 @@ def fit_pool(
 
 
 def predict(model: PipelineModel, rows: DataFrame, output: str, keep: Sequence[str]) -> DataFrame:
-    """Columns ``keep`` plus the prediction under the name ``output``."""
-    return model.transform(rows).select(*keep, F.col(PREDICTION_COL).alias(output))
+    """Columns ``keep`` plus the prediction under the name ``output``; NULL where a model input is missing."""
+    inputs = model.stages[0].getInputCols()
+    given = rows.select("*", all_present(inputs).alias("_given"))
+    filled = given.withColumns({f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs})
+    assembler = model.stages[0].copy().setInputCols([f"_in_{c}" for c in inputs])
+    predicted = PipelineModel([assembler, *model.stages[1:]]).transform(filled)
+    return predicted.select(*keep, F.when(F.col("_given"), F.col(PREDICTION_COL)).alias(output))
 
 
 def save_model(model: PipelineModel, path: str) -> str:

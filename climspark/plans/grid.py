@@ -9,28 +9,20 @@ from dataclasses import asdict, dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from climspark.functions.calendar import DateLike, add_time_features, count_days, explode_days, prepare_dates
 from climspark.operators.stations import count_valid_rows, valid_rows
 from climspark.plans.forest import fit_pool, forest, load_model, predict, save_model
 from climspark.plans.loso import join_covariates
-from climspark.schema import Columns, base_features, is_fractional, nan_to_null, require_columns
+from climspark.schema import Columns, all_present, base_features, is_fractional, nan_to_null, require_columns
 from climspark.sources.staging import ROWS_PER_TASK, stage
 
 DEFAULT_RF_PARAMS = {"n_estimators": 500, "max_depth": None, "random_state": 42}
 
-META_SCHEMA = T.StructType(
-    [
-        *[T.StructField(c, T.StringType()) for c in ("id_col", "date_col", "lat_col", "lon_col", "alt_col")],
-        *[T.StructField(c, T.StringType()) for c in ("target_col", "start", "end")],
-        T.StructField("min_rows_per_station", T.LongType()),
-        T.StructField("add_cyclic", T.BooleanType()),
-        T.StructField("rf_params", T.StringType()),
-        T.StructField("features", T.ArrayType(T.StringType())),
-        T.StructField("n_train_rows", T.LongType()),
-        T.StructField("n_stations_used", T.LongType()),
-    ]
+META_SCHEMA = (
+    "columns struct<id:string,date:string,lat:string,lon:string,alt:string,target:string>, "
+    "window struct<first:string,last:string>, least_rows long, cyclic boolean, forest string, inputs array<string>, "
+    "rows long, stations long"
 )
 
 
@@ -38,14 +30,8 @@ META_SCHEMA = T.StructType(
 class GlobalModelMeta:
     """What a saved global model was trained on. The stations used lie beside it as a table."""
 
-    id_col: str
-    date_col: str
-    lat_col: str
-    lon_col: str
-    alt_col: str
-    target_col: str
-    start: str
-    end: str
+    columns: Columns
+    window: tuple[str, str]
     min_rows_per_station: int
     add_cyclic: bool
     rf_params: dict
@@ -54,8 +40,10 @@ class GlobalModelMeta:
     n_stations_used: int
 
     def save(self, spark: SparkSession, path: str, stations_used: DataFrame | None = None) -> str:
-        row = asdict(self) | {"rf_params": json.dumps(self.rf_params)}
-        meta = spark.createDataFrame([tuple(row[f.name] for f in META_SCHEMA.fields)], META_SCHEMA)
+        names = tuple(asdict(self.columns).values())
+        row = (names, self.window, self.min_rows_per_station, self.add_cyclic, json.dumps(self.rf_params))
+        row += (self.features, self.n_train_rows, self.n_stations_used)
+        meta = spark.createDataFrame([row], META_SCHEMA)
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
         if stations_used is not None:
             stations_used.write.mode("overwrite").parquet(f"{path}/stations")
@@ -63,11 +51,13 @@ class GlobalModelMeta:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> GlobalModelMeta:
-        row = spark.read.schema(META_SCHEMA).json(f"{path}/meta").first().asDict()
-        return GlobalModelMeta(**(row | {"rf_params": json.loads(row["rf_params"])}))
+        names, window, least, cyclic, params, inputs, rows, stations = spark.read.schema(META_SCHEMA).json(f"{path}/meta").first()
+        return GlobalModelMeta(
+            Columns(**names.asDict()), tuple(window), least, cyclic, json.loads(params), inputs, rows, stations
+        )
 
     def stations_used_sorted(self, spark: SparkSession, path: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/stations").select(self.id_col).orderBy(self.id_col)
+        return spark.read.parquet(f"{path}/stations").select(self.columns.id).orderBy(self.columns.id)
 
 
 def training_frame(
@@ -128,14 +118,8 @@ def train_global_rf_target(
     fitted = fit_pool(train, features, columns.target, model or forest(params), columns=columns)
     save_model(fitted, model_path)
     meta = GlobalModelMeta(
-        id_col=columns.id,
-        date_col=columns.date,
-        lat_col=columns.lat,
-        lon_col=columns.lon,
-        alt_col=columns.alt,
-        target_col=columns.target,
-        start=str(start),
-        end=str(end),
+        columns=columns,
+        window=(str(start), str(end)),
         min_rows_per_station=int(min_rows_per_station),
         add_cyclic=bool(add_cyclic),
         rf_params=params,
@@ -171,12 +155,14 @@ def grid_nan_report(grid: DataFrame, columns: Columns = Columns()) -> DataFrame:
 
 
 def dedupe_grid(grid: DataFrame, columns: Columns = Columns(), extra: Sequence[str] = ()) -> DataFrame:
-    """One row per id: the least by (lat, lon, alt), since a Spark table has no first row.
+    """One row per id: the least by (lat, lon, alt), since a Spark table has no first row. Copies that lack a value
+    come last, so a complete one wins.
 
     A partial ``min`` per id, so copies of one id are reduced before they are shuffled.
     """
     names = [*columns.coords, *extra]
-    least = grid.groupBy(columns.id).agg(F.min(F.struct(*names)).alias("_cell"))
+    cell = F.struct((~all_present(names)).alias("_lacks"), *names)
+    least = grid.groupBy(columns.id).agg(F.min(cell).alias("_cell"))
     return least.select(columns.id, *[F.col(f"_cell.{c}").alias(c) for c in names])
 
 
@@ -203,7 +189,7 @@ def predict_grid_daily_with_global_model(
     require_columns(grid, [columns.id, *columns.coords], "Grid")
     days = count_days(start, end)
     calendar = ("year", "month", "doy", "doy_sin", "doy_cos")
-    trained = [meta.lat_col, meta.lon_col, meta.alt_col]
+    trained = meta.columns.coords
     extra = [c for c in meta.features if c in grid.columns and c not in (*calendar, *trained, *columns.coords)]
     lacking = [c for c in meta.features if c not in (*calendar, *trained, *extra)]
     if lacking and covariates is None:

@@ -73,7 +73,8 @@ def horizon(
 def join_covariates(
     days: DataFrame, id_col: str, date_col: str, features: Sequence[str], covariates: DataFrame | None
 ) -> DataFrame:
-    """Add the features that ``days`` lacks from a covariate table; rows without values drop out."""
+    """Add the features that ``days`` lacks from a covariate table. Days it does not hold keep NULL, and so does their
+    prediction: a full series has a row for every day."""
     lacking = [c for c in features if c not in days.columns]
     if not lacking:
         return days
@@ -85,14 +86,21 @@ def join_covariates(
         )
     keys = [c for c in (id_col, date_col) if c in covariates.columns]
     named = [F.col(h).cast("double").alias(name) for h, name in zip(have, lacking)]
-    return days.join(covariates.select(*keys, *named), keys).dropna(subset=lacking)
+    return days.join(nan_to_null(covariates.select(*keys, *named)), keys, "left")
 
 
 def attach_observed(
-    predictions: DataFrame, observed: DataFrame, columns: Columns
+    predictions: DataFrame,
+    observed: DataFrame,
+    columns: Columns,
+    start: DateLike | None = None,
+    end: DateLike | None = None,
 ) -> DataFrame:
-    """``(date, station, y_pred_full, y_true)``: left join, so duplicate days multiply."""
-    truth = observed.select(
+    """``(date, station, y_pred_full, y_true)``: left join, so duplicate days multiply.
+
+    Observations outside the predicted span are left out first, on the bare date column.
+    """
+    truth = clip_dates(observed, columns.date, start, end).select(
         F.col(columns.id).alias("station"),
         F.col(columns.date).cast("timestamp_ntz").alias("_at"),
         F.col(columns.target).cast("double").alias("y_true"),
@@ -109,9 +117,9 @@ def warn_unused_map(k_neighbors: int | None, neighbor_map) -> None:
 def _neighbors_of(
     data: DataFrame, station_id: int, columns: Columns, k_neighbors: int, neighbor_map
 ) -> list[int]:
-    """The station's neighbours, as literals: so the filter on them reaches the scan."""
+    """The station's k neighbours, as literals: so the filter on them reaches the scan."""
     table = (
-        build_station_kneighbors(data, columns=columns, k=k_neighbors)
+        build_station_kneighbors(data, columns=columns, k=k_neighbors, targets=[station_id])
         if neighbor_map is None
         else neighbor_frame(data, neighbor_map)
     )
@@ -221,8 +229,8 @@ def loso_predict_full_series_fast(
     """
     count_days(start, end)
     require_columns(data, [columns.id, columns.date, *columns.coords, columns.target])
-    everything = ensure_datetime(data, columns.date)
-    _, own = leave_one_out(nan_to_null(everything), station_id, columns.id)
+    _, raw = leave_one_out(data, station_id, columns.id)
+    own = nan_to_null(ensure_datetime(raw, columns.date))
     positions = station_positions(own, columns)
     if positions.isEmpty():
         raise ValueError(f"Station {station_id} does not occur in the data.")
@@ -243,7 +251,7 @@ def loso_predict_full_series_fast(
     pool = _training_pool(frame, station_id, columns, features, include_target_pct, include_target_seed, neighbors)
     fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), columns=columns)
     predicted = predict(fitted, days, "y_pred_full", [columns.date, F.col(columns.id).alias("station")])
-    series = stage(attach_observed(predicted, own, columns), "series")
+    series = stage(attach_observed(predicted, own, columns, start, end), "series")
     scores = score_grains(series, date_col=columns.date, yhat_col="y_pred_full", agg=agg_for_metrics)
     write_table(series.orderBy(columns.date), save_series_path, parquet_compression=parquet_compression)
     write_json(scores, save_metrics_path)

@@ -45,24 +45,41 @@ COMBINED_SCHEMAS = ("input_like", "compact")
 class Outcome:
     station: int
     seconds: float
-    error: str | None
+    problem: Exception | None = None
+
+    @property
+    def error(self) -> str | None:
+        if self.problem is None:
+            return None
+        return str(self.problem).splitlines()[0] if str(self.problem) else repr(self.problem)
+
+
+class NotFitted(ValueError):
+    """A station for which there is nothing to fit or to predict."""
 
 
 def run_targets(
     spark: SparkSession, targets: Sequence[int], work: Callable[[int], None], parallelism: int
 ) -> list[Outcome]:
-    """Run ``work`` per target from a bounded thread pool; a failure becomes part of the outcome."""
+    """Run ``work`` per target from a bounded thread pool; a failure becomes part of the outcome.
+
+    If every target fails, and not for want of rows, the first cause is raised: then it is no station's fault.
+    """
 
     def guarded(station: int) -> Outcome:
         began = time.monotonic()
         try:
             work(station)
         except Exception as problem:  # noqa: BLE001 - one station must not stop the others
-            return Outcome(station, time.monotonic() - began, str(problem).splitlines()[0] if str(problem) else repr(problem))
-        return Outcome(station, time.monotonic() - began, None)
+            return Outcome(station, time.monotonic() - began, problem)
+        return Outcome(station, time.monotonic() - began)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(guarded), targets))
+        outcomes = list(pool.map(inheritable_thread_target(spark)(guarded), targets))
+    causes = [o.problem for o in outcomes if o.problem is not None and not isinstance(o.problem, ValueError)]
+    if causes and len(causes) == len(outcomes):
+        raise causes[0]
+    return outcomes
 
 
 def _fits_in_flight(staged: StagedFeatures, by_neighbors: bool, requested: int | None) -> int:
@@ -89,36 +106,52 @@ def _target_ids(selected: DataFrame, id_col: str) -> list[int]:
     return [r[0] for r in selected.select(F.col(id_col).cast("long")).orderBy(id_col).collect()]
 
 
+def _id_table(spark: SparkSession, targets: Sequence[int]) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in targets], "station long")
+
+
 def _present(df: DataFrame, id_col: str, targets: Sequence[int]) -> set[int]:
     """Those of the targets that have rows in ``df``."""
-    wanted = df.sparkSession.createDataFrame([(t,) for t in targets], "_target long")
-    rows = df.join(wanted, F.col(id_col) == F.col("_target"), "left_semi").select(F.col(id_col).cast("long"))
-    return {r[0] for r in rows.distinct().collect()}
+    wanted = _id_table(df.sparkSession, targets)
+    rows = df.join(wanted, F.col(id_col).cast("long") == F.col("station"), "left_semi") if id_col != "station" else df.join(
+        wanted, "station", "left_semi"
+    )
+    return {r[0] for r in rows.select(F.col(id_col).cast("long")).distinct().collect()}
 
 
-def _neighbor_lists(data, targets: Sequence[int], columns: Columns, k: int | None, neighbor_map):
-    """k ids per target, or None without a neighbour restriction."""
+def _neighbor_table(data, targets: Sequence[int], columns: Columns, k: int | None, neighbor_map) -> DataFrame | None:
+    """(station, neighbor) of the targets, staged; or None without a neighbour restriction."""
     warn_unused_map(k, neighbor_map)
     if k is None:
         return None
-    table = (
-        build_station_kneighbors(data, columns=columns, k=k)
-        if neighbor_map is None
-        else neighbor_frame(data, neighbor_map)
-    )
-    wanted = data.sparkSession.createDataFrame([(t,) for t in targets], "station long")
-    lists: dict[int, list[int]] = {t: [] for t in targets}
-    for row in table.join(wanted, "station", "left_semi").select("station", "neighbor").collect():
-        lists[row[0]].append(row[1])
-    return lists
+    wanted = _id_table(data.sparkSession, targets)
+    if neighbor_map is None:
+        table = build_station_kneighbors(data, columns=columns, k=k, targets=wanted)
+    else:
+        table = neighbor_frame(data, neighbor_map).join(wanted, "station", "left_semi")
+    pairs = table.select(F.col("station").cast("long"), F.col("neighbor").cast("long")).distinct()
+    return stage(pairs.repartition("station").sortWithinPartitions("station"), "neighbors")
+
 
+def _rows_needed(frame: DataFrame, targets: Sequence[int], columns: Columns, neighbors: DataFrame | None) -> DataFrame:
+    """All rows, or with a neighbour restriction those of the targets and of their neighbours."""
+    if neighbors is None:
+        return frame
+    wanted = neighbors.select(F.col("neighbor").alias("_wanted"))
+    wanted = wanted.unionByName(_id_table(frame.sparkSession, targets).select(F.col("station").alias("_wanted"))).distinct()
+    return frame.join(wanted, F.col(columns.id).cast("long") == F.col("_wanted"), "left_semi")
 
-def _leaked(staged: StagedFeatures, columns: Columns, pct: float, seed: int) -> DataFrame | None:
-    """The leaked sample of every station, drawn once from the staged rows."""
+
+def _leaked(
+    staged: StagedFeatures, targets: Sequence[int], columns: Columns, pct: float, seed: int
+) -> DataFrame | None:
+    """The leaked samples of the targets, drawn once from the staged rows."""
     if pct <= 0:
         return None
-    sample = draw_sample(staged.frame, columns, pct=pct, seed=seed)
-    return stage(sample.sortWithinPartitions(columns.id, columns.date), "leak")
+    wanted = _id_table(staged.frame.sparkSession, targets).select(F.col("station").alias("_wanted"))
+    own = staged.frame.join(wanted, F.col(columns.id).cast("long") == F.col("_wanted"), "left_semi")
+    sample = draw_sample(own, columns, pct=pct, seed=seed)
+    return stage(sample.repartition(columns.id).sortWithinPartitions(columns.id, columns.date), "leak")
 
 
 def _pool_of(
@@ -126,19 +159,24 @@ def _pool_of(
     leaked: DataFrame | None,
     columns: Columns,
     station: int,
-    neighbors: Mapping[int, list[int]] | None,
+    neighbors: DataFrame | None,
 ) -> DataFrame:
-    """Rows that train the station's model: the others (or its neighbours) and its leaked sample."""
-    rows = staged.frame if neighbors is None else staged.rows_of(neighbors.get(station, []))
+    """Rows that train the station's model: the others (or its neighbours) and its leaked sample.
+
+    Each fit looks up its own k neighbours in the staged table."""
+    if neighbors is None:
+        rows = staged.frame
+    else:
+        rows = staged.rows_of([r[0] for r in neighbors.filter(F.col("station") == station).select("neighbor").collect()])
     pool = rows.filter(F.col(columns.id) != station)
     return pool if leaked is None else pool.unionByName(leaked.filter(F.col(columns.id) == station))
 
 
-def _read_parts(spark: SparkSession, root: str, stations: Sequence[int], schema: T.StructType) -> DataFrame:
-    """Predictions of the stations whose fit succeeded, one sub-folder each."""
-    if not stations:
+def _read_parts(spark: SparkSession, root: str, outcomes: Sequence[Outcome], schema: T.StructType) -> DataFrame:
+    """Predictions below one root, a folder for each station whose fit succeeded."""
+    if not _succeeded(outcomes):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{root}/{s}" for s in stations])
+    return spark.read.schema(schema).parquet(root).select(*schema.names)
 
 
 def _succeeded(outcomes: Sequence[Outcome]) -> list[int]:
@@ -156,13 +194,16 @@ def _evaluate(
     model,
     agg: str,
     test_window: tuple[DateLike | None, DateLike | None],
-    neighbors: Mapping[int, list[int]] | None,
+    neighbors: DataFrame | None,
     parallelism: int | None,
     log_path: str | None,
     flush_every: int,
     finish: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Fit, predict and score every target; ``finish`` shapes a scoreboard chunk for output."""
+    """Fit, predict and score every target; ``finish`` shapes a scoreboard chunk for output.
+
+    Stations that a log at ``log_path`` lists without an error are done: their rows are taken from there.
+    """
     spark = staged.frame.sparkSession
     root = new_folder(spark, "predictions")
     date_type = staged.frame.schema[columns.date].dataType
@@ -182,31 +223,52 @@ def _evaluate(
 
     def work(station: int) -> None:
         if station not in testable:
-            raise ValueError("The station was not observed in this window.")
+            raise NotFitted("The station was not observed in this window.")
         test = clip_dates(staged.rows_of([station]), columns.date, *test_window)
         pool = _pool_of(staged, leaked, columns, station, neighbors)
-        fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), clustered=True)
+        fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), columns=columns)
         keep = [
-            F.col(columns.id).cast("long").alias("station"),
             F.col(columns.date).alias("date"),
             F.col(columns.target).cast("double").alias("y_true"),
         ]
-        predict(fitted, test, "y_pred", keep).write.parquet(f"{root}/{station}")
+        predict(fitted, test, "y_pred", keep).write.parquet(f"{root}/{chunk_of[station]}/station={station}")
 
-    def scoreboard(outcomes: Sequence[Outcome]) -> DataFrame:
-        predictions = _read_parts(spark, root, _succeeded(outcomes), schema)
+    def scoreboard(outcomes: Sequence[Outcome], chunk: int) -> DataFrame:
+        predictions = _read_parts(spark, f"{root}/{chunk}", outcomes, schema)
         scores = widen_scores(score_grains(predictions, ["station"], agg=agg))
         rows = _outcomes(spark, outcomes).join(scores, "station", "left")
-        return finish(rows.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))))
+        return stage(finish(rows.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))), "scoreboard")
 
     if log_path is None:
-        return scoreboard(run_targets(spark, targets, work, parallelism))
-    done: list[Outcome] = []
+        chunk_of = dict.fromkeys(targets, 0)
+        return scoreboard(run_targets(spark, targets, work, parallelism), 0)
+    logged = _read_log(spark, log_path)
+    if logged is not None:
+        logged = stage(logged.filter(F.col("error").isNull()), "logged")
+        done = _present(logged, "station", targets)
+        targets = [t for t in targets if t not in done]
+        boards = [logged.join(_id_table(spark, sorted(done)), "station", "left_semi")]
+    else:
+        boards = []
+    chunk_of = {t: i // flush_every for i, t in enumerate(targets)}
     for i in range(0, len(targets), flush_every):
-        chunk = run_targets(spark, targets[i : i + flush_every], work, parallelism)
-        write_table(scoreboard(chunk), log_path, mode="append")
-        done += chunk
-    return scoreboard(done)
+        outcomes = run_targets(spark, targets[i : i + flush_every], work, parallelism)
+        boards.append(scoreboard(outcomes, i // flush_every))
+        write_table(boards[-1], log_path, mode="append")
+    if not boards:
+        return scoreboard([], 0)
+    table = boards[0]
+    for more in boards[1:]:
+        table = table.unionByName(more)
+    return table
+
+
+def _read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The scoreboard rows that an earlier run appended to ``path``; None if there is no such log."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def evaluate_all_stations(
@@ -234,8 +296,8 @@ def evaluate_all_stations(
     frame, features = feature_frame(data, columns, add_cyclic=add_cyclic, feature_cols=feature_cols)
     valid = valid_rows(frame.filter(F.col(columns.id).isNotNull()), features, columns.target)
     staged = stage_features(valid, columns, features)
-    leaked = _leaked(staged, columns, include_target_pct, include_target_seed)
     targets = _target_ids(select_stations(data, id_col=columns.id), columns.id)
+    leaked = _leaked(staged, targets, columns, include_target_pct, include_target_seed)
     table = _evaluate(
         staged,
         leaked,
@@ -290,7 +352,8 @@ def evaluate_all_stations_fast(
     """Scoreboard of the selected stations; training and test rows are both clipped to the window.
 
     A station that cannot be fitted keeps a row with ``n_rows`` 0 and the reason in ``error``.
-    ``log_csv`` grows by one part for every ``flush_every`` stations.
+    ``log_csv`` grows by one part for every ``flush_every`` stations; stations that it lists without an error are not
+    fitted again, so a run that was broken off goes on from there.
     """
     frame, features = feature_frame(
         data,
@@ -302,18 +365,20 @@ def evaluate_all_stations_fast(
         end=end,
     )
     frame = frame.filter(F.col(columns.id).isNotNull())
-    staged = stage_features(valid_rows(frame, features, columns.target), columns, features)
-    leaked = _leaked(staged, columns, include_target_pct, include_target_seed)
-    # One row per station: it also answers which stations exist and which are near.
+    valid = valid_rows(frame, features, columns.target)
+    # One row per station: it answers which stations exist and which are near.
     spots = stage(station_positions(frame, columns), "positions")
     selected = select_stations(
         spots, id_col=columns.id, prefix=prefix, station_ids=station_ids, regex=regex, custom_filter=custom_filter
     )
     if min_station_rows is not None:
-        enough = staged.counts.filter(F.col("valid_rows") >= int(min_station_rows))
-        selected = selected.join(enough, columns.id, "left_semi")
+        counts = valid.groupBy(columns.id).agg(F.count(F.lit(1)).alias("valid_rows"))
+        selected = selected.join(counts.filter(F.col("valid_rows") >= int(min_station_rows)), columns.id, "left_semi")
+    # The targets come first: with neighbours, only their rows and their neighbours' are staged.
     targets = _target_ids(selected, columns.id)
-    neighbors = _neighbor_lists(spots, targets, columns, k_neighbors, neighbor_map)
+    neighbors = _neighbor_table(spots, targets, columns, k_neighbors, neighbor_map)
+    staged = stage_features(_rows_needed(valid, targets, columns, neighbors), columns, features)
+    leaked = _leaked(staged, targets, columns, include_target_pct, include_target_seed)
     positions = spots.select(F.col(columns.id).cast("long").alias("station"), *columns.coords)
 
     def finish(rows: DataFrame) -> DataFrame:
@@ -339,6 +404,7 @@ def evaluate_all_stations_fast(
         flush_every=flush_every,
         finish=finish,
     ).orderBy("station")
+    # What is returned has been staged, so writing it fits nothing anew.
     write_table(table, save_table_path, parquet_compression=parquet_compression)
     return table
 
@@ -365,8 +431,8 @@ def export_full_series_station(
     """Write the full series of one station; ``(series as written, scores, path)``."""
     file_format = check_format(file_format)
     if k_neighbors is not None and neighbor_map is None:
-        dated = ensure_datetime(data, columns.date)
-        neighbor_map = build_station_kneighbors(nan_to_null(dated), columns=columns, k=k_neighbors)
+        dated = nan_to_null(ensure_datetime(data, columns.date))
+        neighbor_map = build_station_kneighbors(dated, columns=columns, k=k_neighbors, targets=[station_id])
     series, _, _, _ = loso_predict_full_series_fast(
         data,
         station_id,
@@ -462,25 +528,24 @@ def export_full_series_batch(
         positions, id_col=columns.id, prefix=prefix, station_ids=station_ids, regex=regex, custom_filter=custom_filter
     )
     targets = _target_ids(selected, columns.id)
-    neighbors = _neighbor_lists(positions, targets, columns, k_neighbors, neighbor_map)
+    neighbors = _neighbor_table(positions, targets, columns, k_neighbors, neighbor_map)
     frame, features = feature_frame(
         data, columns, add_cyclic=add_cyclic, feature_cols=feature_cols, start=train_start, end=train_end
     )
     valid = valid_rows(frame.filter(F.col(columns.id).isNotNull()), features, columns.target)
-    staged = stage_features(valid, columns, features)
-    leaked = _leaked(staged, columns, include_target_pct, include_target_seed)
+    staged = stage_features(_rows_needed(valid, targets, columns, neighbors), columns, features)
+    leaked = _leaked(staged, targets, columns, include_target_pct, include_target_seed)
     known = _present(positions, columns.id, targets)
     root = new_folder(spark, "predictions")
 
     def work(station: int) -> None:
         if station not in known:
-            raise ValueError(f"Station {station} does not occur in the data.")
+            raise NotFitted(f"Station {station} does not occur in the data.")
         at = positions.filter(F.col(columns.id) == station)
         pool = _pool_of(staged, leaked, columns, station, neighbors)
-        fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), clustered=True)
+        fitted = fit_pool(pool, features, columns.target, model or forest(rf_params), columns=columns)
         days = horizon(at, columns, features, start, end, covariates)
-        keep = [F.col(columns.id).cast("long").alias("station"), columns.date]
-        predict(fitted, days, "y_pred_full", keep).write.parquet(f"{root}/{station}")
+        predict(fitted, days, "y_pred_full", [columns.date]).write.parquet(f"{root}/station={station}")
 
     outcomes = run_targets(spark, targets, work, _fits_in_flight(staged, neighbors is not None, parallelism))
     parts = T.StructType(
@@ -490,8 +555,10 @@ def export_full_series_batch(
             T.StructField("y_pred_full", T.DoubleType()),
         ]
     )
-    predicted = _read_parts(spark, root, _succeeded(outcomes), parts)
-    series = attach_observed(predicted, observed, columns)
+    predicted = _read_parts(spark, root, outcomes, parts)
+    wanted = _id_table(spark, targets).select(F.col("station").alias("_wanted"))
+    own = observed.join(wanted, F.col(columns.id).cast("long") == F.col("_wanted"), "left_semi")
+    series = attach_observed(predicted, own, columns, start, end)
     path = f"{out_dir}/loso_fullseries_{_compact(start)}_{_compact(end)}.{file_format}"
     writer = series.hint("rebalance", "station").write.mode("overwrite").partitionBy("station")
     if file_format == "csv":
@@ -511,8 +578,8 @@ def export_full_series_batch(
         .join(scores, "station", "left")
         .withColumn("path", F.when(F.col("error").isNull(), F.concat(F.lit(f"{path}/station="), "station")))
         .select("station", "path", "seconds", "coverage_pct", *SCORE_COLUMNS, "error")
-        .orderBy("station")
     )
+    manifest = stage(manifest, "manifest").orderBy("station")
     if combine_output_path is not None:
         combined = combined_series(series, positions, columns, combine_schema)
         write_table(

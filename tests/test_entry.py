@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from climspark.checks.oracle import ORACLE
+from climspark.checks.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = (
@@ -38,17 +40,16 @@ def rows(pdf):
     return names, sorted(tuple(map(str, map(plain, r))) for r in pdf[names].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = driver.queries()[name](spark, str(DATA)).toPandas()
+    got = QUERIES[name](spark, str(DATA)).toPandas()
     assert len(got) > 0
-    if name in driver.oracle_sql():
-        assert rows(got) == rows(duck.sql(driver.oracle_sql()[name]).df())
+    assert rows(got) == rows(duck.sql(ORACLE[name]).df())
 
 
-def test_only_real_forests_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"loso_forest", "grid_forest"}
-    assert set(driver.oracle_sql()) <= set(driver.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE) <= set(driver.queries())
+    assert set(ORACLE) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_entry(spark):

@@ -39,14 +39,24 @@ def grid(daily):
     return daily.select("station", "latitude", "longitude", "altitude").distinct()
 
 
-def test_training_and_metadata(spark, trained):
-    paths, _, meta, summary = trained
-    rows = summary.collect()
-    assert [tuple(r) for r in rows] == [(1, 10), (2, 10), (3, 10)]
-    assert meta.n_stations_used == 3 and meta.n_train_rows == sum(r["valid_rows"] for r in rows)
-    assert meta.features == ["latitude", "longitude", "altitude", "year", "month", "doy", "doy_sin", "doy_cos"]
-    assert GlobalModelMeta.load(spark, paths["meta_path"]) == meta
-    assert [r[0] for r in meta.stations_used_sorted(spark, paths["meta_path"]).collect()] == [1, 2, 3]
+def test_metadata_by_hand(spark, sparse, tmp_path):
+    """Stations 4 and 5 have two values each; station 6 has one and is left out."""
+    paths = {"model_path": f"{tmp_path}/forest", "meta_path": f"{tmp_path}/notes"}
+    names = Columns(id="gauge", lat="phi", lon="lam", alt="h", target="rain")
+    table = sparse.toDF("gauge", "date", "phi", "lam", "h", "rain")
+    _, meta, used = train_global_rf_target(
+        table, columns=names, start="1999-12-01", end="2000-06-30", min_rows_per_station=2, add_cyclic=False, rf_params=MEAN_MODEL, **paths
+    )
+    assert [tuple(r) for r in used.collect()] == [(4, 2), (5, 2)]
+    assert meta == GlobalModelMeta.load(spark, paths["meta_path"])
+    assert meta.columns == names and meta.window == ("1999-12-01", "2000-06-30") and meta.n_train_rows == 4
+    assert meta.features == ["phi", "lam", "h", "year", "month", "doy"]
+    assert [r["gauge"] for r in meta.stations_used_sorted(spark, paths["meta_path"]).collect()] == [4, 5]
+    grid = spark.createDataFrame([(1, 5.0, 6.0, 7.0)], "cell int, a double, b double, c double")
+    out = predict_grid_daily_with_global_model(
+        grid, columns=Columns(id="cell", lat="a", lon="b", alt="c"), start="2001-01-01", end="2001-01-02", **paths
+    )
+    assert [tuple(r)[2:] for r in out.collect()] == [(5.0, 6.0, 7.0, 3.0)] * 2
 
 
 def test_station_threshold(spark, daily, tmp_path):
@@ -99,6 +109,8 @@ def test_grid_checks(spark, trained, grid):
     with pytest.raises(ValueError, match="1 grid cells lack"):
         predict(holes)
     assert predict(holes, on_null="drop").count() == 6
+    # A complete copy wins over one that lacks a coordinate.
+    assert predict(holes.unionByName(grid.filter("station = 2"))).filter("station = 2").count() == 3
     assert predict(grid.unionByName(grid)).count() == 9
 
 
@@ -167,11 +179,14 @@ def test_point_errors(spark, points, error, text):
         normalize_points(spark, points)
 
 
-def test_points_and_point(spark, trained):
-    paths = trained[0]
-    out = predict_points_daily_with_global_model(spark, [(19.1, -99.1, 2210.0), (19.2, -99.2, 2220.0)], **SPAN, **paths)
-    assert out.count() == 6 and {r[0] for r in out.select("station").collect()} == {1, 2}
-    one = predict_at_point_daily_with_global_model(
-        spark, latitude=19.1, longitude=-99.1, altitude=2210.0, station=99, **SPAN, **paths
-    ).collect()
-    assert len(one) == 3 and {r["station"] for r in one} == {99}
+def test_a_point_is_a_grid_of_one_cell(spark, trained):
+    """The same place gives the same days, as a cell, among points and alone."""
+    place = {"latitude": 26.0, "longitude": -91.5, "altitude": 500.0}
+    span = {"start": "1992-02-27", "end": "1992-03-01"}
+    cell = spark.createDataFrame([(12, *place.values())], "station int, latitude double, longitude double, altitude double")
+    days = lambda df: [(r["station"], r["date"], r["y_pred_full"]) for r in df.orderBy("station", "date").collect()]
+    alone = days(predict_at_point_daily_with_global_model(spark, station=12, **place, **span, **trained[0]))
+    assert len(alone) == 4 and alone == days(predict_grid_daily_with_global_model(cell, **span, **trained[0]))
+    points = [{"station": 3, **place, "altitude": 90.0}, {"station": 12, **place}]
+    among = days(predict_points_daily_with_global_model(spark, points, **span, **trained[0]))
+    assert [r for r in among if r[0] == 12] == alone and len(among) == 8

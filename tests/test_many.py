@@ -10,7 +10,9 @@ from climspark import (
     evaluate_all_stations_fast,
     export_full_series_batch,
     export_full_series_station,
+    loso_predict_full_series_fast,
     loso_train_predict_station,
+    metrics_dict,
     widen_scores,
 )
 from climspark.operators.scoring import SCORE_COLUMNS
@@ -20,28 +22,84 @@ from climspark.sources.staging import BUCKET, stage_features
 SCOREBOARD = ["station", "n_rows", "seconds", *SCORE_COLUMNS, "include_target_pct", "latitude", "longitude", "altitude", "error"]
 
 
-def test_scoreboard_of_every_station(spark, network, tmp_path):
+def test_scoreboard_by_hand(spark, sparse, tmp_path):
+    """In December and January, station 4 has 2 and 6, station 5 has 1 and station 6 has 11."""
+    path = f"{tmp_path}/board.csv"
     table = evaluate_all_stations_fast(
-        network,
-        rf_params=MEAN_MODEL,
-        start="2000-01-01",
-        end="2000-01-30",
-        add_cyclic=True,
-        min_station_rows=5,
-        log_csv=str(tmp_path / "log.csv"),
-        flush_every=2,
-        save_table_path=str(tmp_path / "board.parquet"),
+        sparse, end="2000-01-31", rf_params=MEAN_MODEL, include_target_pct=50, save_table_path=path
     )
     assert table.columns == SCOREBOARD
-    rows = table.collect()
-    assert [r["station"] for r in rows] == [1, 2, 3] and all(r["n_rows"] == 30 and r["error"] is None for r in rows)
-    assert rows[0]["latitude"] == pytest.approx(19.1)
-    early = make_network(days=30)
-    truth = early[early.station == 1]["prec"]
-    assert rows[0]["MAE_d"] == pytest.approx((truth - early[early.station != 1]["prec"].mean()).abs().mean())
-    log = spark.read.csv(str(tmp_path / "log.csv"), header=True)
-    assert log.count() == 3 and log.columns == SCOREBOARD
-    assert spark.read.parquet(str(tmp_path / "board.parquet")).count() == 3
+    rows = {r["station"]: r for r in table.collect()}
+    assert {s: r["n_rows"] for s, r in rows.items()} == {4: 2, 5: 1, 6: 1}
+    # Half of a station's rows, rounded up, joins its pool: 20 / 4 and 20 / 4 in two of the cases.
+    assert rows[5]["MAE_d"] == pytest.approx(abs(1 - 20 / 4)) and rows[6]["MAE_d"] == pytest.approx(abs(11 - 20 / 4))
+    assert rows[4]["MAE_d"] in (pytest.approx((abs(2 - 14 / 3) + abs(6 - 14 / 3)) / 2), pytest.approx(2.0))
+    assert (rows[6]["latitude"], rows[6]["altitude"]) == (19.0, 9.0) and rows[4]["R2_d"] is not None
+    assert spark.read.csv(path, header=True).count() == 3
+
+
+def test_broken_off_run_goes_on_from_its_log(spark, network, tmp_path, monkeypatch):
+    from climspark.plans import many
+
+    fitted = []
+    own = many.fit_pool
+    monkeypatch.setattr(many, "fit_pool", lambda *a, **o: fitted.append(1) or own(*a, **o))
+    options = dict(rf_params=MEAN_MODEL, start="2000-01-01", end="2000-12-31", log_csv=f"{tmp_path}/log.csv", flush_every=1)
+    evaluate_all_stations_fast(network, station_ids=[1, 3], **options)
+    table = evaluate_all_stations_fast(network, station_ids=[1, 2, 3], **options)
+    assert len(fitted) == 3
+    whole = evaluate_all_stations_fast(network, station_ids=[1, 2, 3], **options | {"log_csv": None})
+    scores = lambda t: [tuple(r) for r in t.select("station", "n_rows", F.round("MAE_d", 9)).collect()]
+    assert scores(table) == scores(whole)
+    assert spark.read.csv(f"{tmp_path}/log.csv", header=True).count() == 3
+
+
+def test_a_failure_of_all_is_raised(network):
+    class Broken:
+        def copy(self):
+            raise RuntimeError("the cluster is lost")
+
+    with pytest.raises(RuntimeError, match="cluster is lost"):
+        evaluate_all_stations_fast(network, model=Broken())
+
+
+@pytest.mark.parametrize("k, pct", [(None, 0.0), (None, 30.0), (2, 0.0), (2, 30.0)])
+def test_one_pool_and_seed_make_one_forest(spark, k, pct):
+    """The same forest from the one-station plan and from both plans for many stations."""
+    forest = {"n_estimators": 5, "max_depth": 5, "random_state": 7}
+    df = spark.createDataFrame(make_network((1, 2, 3, 4), 120, skip=3))
+    leak = dict(include_target_pct=pct, include_target_seed=5)
+    fast = evaluate_all_stations_fast(df, rf_params=forest, k_neighbors=k, **leak).filter("station = 3").first()
+    series, scores, _, _ = loso_predict_full_series_fast(
+        df, 3, rf_params=forest, k_neighbors=k, start="2000-01-01", end="2000-04-29", **leak
+    )
+    assert fast["RMSE_d"] == pytest.approx(metrics_dict(scores)["daily"]["RMSE"], rel=1e-9)
+    if k is None:
+        plain = evaluate_all_stations(df, rf_params=forest, **leak).filter("station = 3").first()
+        _, scores, _, _ = loso_train_predict_station(df, 3, rf_params=forest, **leak)
+        assert plain["RMSE_d"] == pytest.approx(fast["RMSE_d"], rel=1e-9)
+        assert metrics_dict(scores)["daily"]["RMSE"] == pytest.approx(fast["RMSE_d"], rel=1e-9)
+
+
+def test_forest_does_not_depend_on_the_session(spark):
+    forest = {"n_estimators": 5, "max_depth": 5, "random_state": 7}
+    df = spark.createDataFrame(make_network((1, 2, 3, 4), 120, skip=3))
+    draw = lambda: [r["y_pred"] for r in loso_train_predict_station(df, 2, rf_params=forest)[0].orderBy("date").collect()]
+    first = draw()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert draw() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_scores_of_several_series_are_no_dict(spark):
+    schema = "station long, grain string, n long, mae double, rmse double, r2 double"
+    scores = spark.createDataFrame([(s, "daily", 1, 1.0, 1.0, None) for s in (1, 2)], schema)
+    with pytest.raises(ValueError, match="several series"):
+        metrics_dict(scores)
+    assert metrics_dict(scores.filter("station = 1"))["daily"]["MAE"] == 1.0
 
 
 def test_stations_without_rows_keep_a_row(network):
@@ -105,38 +163,35 @@ def test_export_of_one_station(spark, network, tmp_path):
 
 
 @pytest.mark.parametrize("schema, form", [("input_like", "csv"), ("compact", "parquet")])
-def test_export_of_many_stations(spark, network, tmp_path, schema, form):
+def test_filled_series_by_hand(spark, sparse, tmp_path, schema, form):
+    """Trained before 2000, station 5 is filled with the mean of station 4's only value of 1999, station 4 with 1."""
     manifest = export_full_series_batch(
-        network,
-        station_ids=[1, 2, 77],
-        out_dir=str(tmp_path),
+        sparse,
+        station_ids=[4, 5, 30],
+        out_dir=f"{tmp_path}/out",
         rf_params=MEAN_MODEL,
-        start="2000-01-01",
-        end="2000-03-10",
-        train_end="2000-01-10",
+        start="1999-12-29",
+        end="2000-01-02",
+        train_end="1999-12-31",
         file_format=form,
-        manifest_path=str(tmp_path / "manifest.csv"),
-        combine_output_path=str(tmp_path / f"combined.{form}"),
+        combine_output_path=f"{tmp_path}/all",
         combine_format=form,
         combine_schema=schema,
-    ).collect()
-    assert [r["station"] for r in manifest] == [1, 2, 77]
-    assert manifest[0]["coverage_pct"] == pytest.approx(100 * 60 / 70) and manifest[0]["error"] is None
-    assert manifest[2]["path"] is None and "Station 77 does not occur" in manifest[2]["error"]
-    reader = spark.read.option("header", True)
-    assert reader.format(form).load(manifest[0]["path"]).count() == 70
-    combined = reader.format(form).load(str(tmp_path / f"combined.{form}"))
-    expected = {
-        "input_like": ["station", "latitude", "longitude", "altitude", "date", "prec"],
-        "compact": ["station", "y_pred_full", "y_true", "date", "prec"],
-    }[schema]
-    assert combined.columns == expected and combined.count() == 140
-    early = make_network(days=10)
-    filled = combined.filter("station = 1 and date = '2000-03-10'").first()["prec"]
-    assert float(filled) == pytest.approx(early[early.station != 1]["prec"].mean())
-    observed = combined.filter("station = 1 and date = '2000-01-02'").first()["prec"]
-    assert float(observed) == 6.0
-    assert spark.read.csv(str(tmp_path / "manifest.csv"), header=True).count() == 3
+    )
+    rows = {r["station"]: r for r in manifest.collect()}
+    assert rows[4]["coverage_pct"] == pytest.approx(40) and rows[5]["coverage_pct"] == pytest.approx(20)
+    assert rows[30]["path"] is None and "does not occur" in rows[30]["error"]
+    combined = spark.read.format(form).option("header", True).load(f"{tmp_path}/all")
+    shape = {"input_like": ["station", "latitude", "longitude", "altitude", "date", "prec"],
+             "compact": ["station", "y_pred_full", "y_true", "date", "prec"]}
+    assert combined.columns == shape[schema]
+    found = {(int(r["station"]), str(r["date"])[8:10]): float(r["prec"]) for r in combined.collect()}
+    assert found == {
+        **{(4, d): v for d, v in zip(("29", "30", "31", "01", "02"), (1.0, 2.0, 1.0, 6.0, 1.0))},
+        **{(5, d): v for d, v in zip(("29", "30", "31", "01", "02"), (2.0, 2.0, 1.0, 2.0, 2.0))},
+    }
+    one = spark.read.format(form).option("header", True).load(rows[5]["path"])
+    assert one.count() == 5
 
 
 def test_export_of_no_known_station(network, tmp_path):

@@ -28,22 +28,33 @@ def ids(df):
 
 @pytest.fixture(scope="module")
 def three(spark):
-    return spark.createDataFrame(make_network((101, 102, 201), 10))
+    return spark.createDataFrame(make_network((14, 205, 31), 4, skip=3))
+
+
+@pytest.mark.parametrize(
+    "filters, expected",
+    [
+        ({}, [14, 31, 205]),
+        ({"where": lambda c: c.between(20, 300)}, [31, 205]),
+        ({"custom_filter": lambda s: s % 7 == 0}, [14]),
+        ({"regex": "[0-9]+5"}, [205]),
+        ({"prefix": ["3", "20"]}, [31, 205]),
+        ({"station_ids": [8, 205], "prefix": "14"}, [8, 14, 205]),
+        ({"regex": "1", "custom_filter": lambda s: s > 200}, [14, 205]),
+    ],
+)
+def test_selectors(three, filters, expected):
+    assert ids(select_stations(three, **filters)) == expected
 
 
-def test_selectors(three):
-    assert ids(select_stations(three, prefix="10")) == [101, 102]
-    assert ids(select_stations(three, regex=r"20.*")) == [201]
-    assert ids(select_stations(three, regex="01")) == [101, 102, 201]  # anchored at the start: no match
-    assert ids(select_stations(three, custom_filter=lambda s: s > 150)) == [201]
-    assert ids(select_stations(three, where=lambda c: c % 2 == 0)) == [102]
-    assert ids(select_stations(three)) == [101, 102, 201]
-    assert ids(select_stations(three, station_ids=[7, 201], prefix=["102"])) == [7, 102, 201]
+def test_patterns_are_anchored(three):
+    with pytest.warns(UserWarning, match="every station"):
+        assert ids(select_stations(three, regex="05")) == [14, 31, 205]
 
 
 def test_no_match_selects_all_or_raises(three):
     with pytest.warns(UserWarning, match="every station"):
-        assert ids(select_stations(three, prefix="9")) == [101, 102, 201]
+        assert ids(select_stations(three, prefix="9")) == [14, 31, 205]
     with pytest.raises(ValueError, match="No station"):
         select_stations(three, prefix="9", strict=True)
 
@@ -100,16 +111,22 @@ def clustered_points():
     return pd.DataFrame({"station": order + 1, "latitude": coords[:, 0], "longitude": coords[:, 1], "altitude": 0.0})
 
 
-@pytest.mark.parametrize("k, limit", [(1, 10_000), (5, 10_000), (60, 10_000), (500, 10_000), (1, 0), (5, 0), (60, 0)])
-def test_neighbors_are_exact(spark, clustered_points, k, limit):
-    got = as_map(build_station_kneighbors(spark.createDataFrame(clustered_points), k=k, shipped_limit=limit))
+@pytest.mark.parametrize("k", [1, 5, 60, 500])
+def test_neighbors_are_exact(spark, clustered_points, k):
+    """Ties (forty stations at one spot) go to the smaller id."""
+    got = as_map(build_station_kneighbors(spark.createDataFrame(clustered_points), k=k))
     assert got == brute_knn(clustered_points, k)
 
 
-def test_neighbors_of_an_evenly_spaced_network(spark):
+def test_neighbors_of_some_stations(spark, clustered_points):
+    got = as_map(build_station_kneighbors(spark.createDataFrame(clustered_points), k=4, targets=[3, 77, 9999]))
+    want = brute_knn(clustered_points, 4)
+    assert got == {s: want[s] for s in (3, 77)}
+
+
+def test_neighbors_along_a_line(spark):
     pdf = make_network(tuple(range(1, 30)), 1)
-    df = spark.createDataFrame(pdf)
-    assert as_map(build_station_kneighbors(df, k=3)) == as_map(build_station_kneighbors(df, k=3, shipped_limit=0))
+    assert as_map(build_station_kneighbors(spark.createDataFrame(pdf), k=3)) == brute_knn(pdf, 3)
 
 
 def test_lone_station_has_no_neighbors(spark):
@@ -140,11 +157,15 @@ def test_correlation_matches_pandas(spark):
     assert neighbor_correlation_table(spark.createDataFrame(pdf), 77, neighbor_ids=[1]).count() == 0
 
 
-def test_correlation_of_all_pairs(spark, network):
-    pairs = build_station_kneighbors(network, k=2)
-    table = neighbor_correlations(network, pairs, start="2000-01-01", end="2000-01-30", min_overlap=5).collect()
-    assert len(table) == 6 and {r["n_overlap"] for r in table} == {30}
-    assert all(r["corr"] == pytest.approx(1.0) for r in table)
+def test_correlation_of_all_pairs(spark):
+    pdf = make_network((1, 2, 3), 90, skip=4)
+    df = spark.createDataFrame(pdf)
+    table = neighbor_correlations(df, build_station_kneighbors(df, k=2), end="2000-03-10", min_overlap=5).collect()
+    wide = pdf[pdf.date <= dt.date(2000, 3, 10)].pivot(index="date", columns="station", values="prec")
+    assert len(table) == 6
+    for r in table:
+        pair = wide[[r["station"], r["neighbor"]]].dropna()
+        assert r["n_overlap"] == len(pair) and r["corr"] == pytest.approx(pair.corr().iloc[0, 1])
 
 
 @pytest.mark.parametrize("pct, n", [(0, 0), (-5, 0), (1, 1), (10, 6), (33.4, 21), (100, 60), (250, 60)])

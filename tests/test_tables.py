@@ -46,3 +46,12 @@ def test_staged_tables_lie_in_the_shared_folder(spark, network):
     folder = shared_folder(spark).removeprefix("file:").rstrip("/")
     assert all(folder in f for f in staged.inputFiles())
     assert staged.schema == network.schema and staged.exceptAll(network).count() == 0
+
+
+def test_run_folder_can_be_dropped(spark, tmp_path, monkeypatch):
+    from climspark.sources import staging
+
+    monkeypatch.setattr(staging, "shared_folder", lambda _: str(tmp_path))
+    table = staging.stage(spark.range(3).toDF("n"), "numbers")
+    assert table.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert staging.drop_run_folder(spark) and not list(tmp_path.iterdir())
