@@ -26,7 +26,7 @@ SPREAD = 4.0
 MIN_GROUP = 30
 # Measures, and the least slack beyond the median: symbols a character, repeated share of lines and of words, and
 # characters a word, above and below.
-SLACK = {"symbols": 0.08, "dup_lines": 0.3, "repeats": 0.15, "word_length": 3.0}
+SLACK = {"symbols": 0.08, "dup_lines": 0.5, "repeats": 0.3, "word_length": 3.0}
 # Bytes of a row of fences, for the size check of the join.
 FENCE_BYTES = 300
 

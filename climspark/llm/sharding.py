@@ -59,14 +59,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, rows_per
         F.monotonically_increasing_id().alias("_row"),
     )
     keys = stage(keys, "keys")
-    sources = keys.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    total = sources.agg(F.sum("_n")).first()[0] or 0
+    total = keys.count()
     tasks = max(1, -(-total // rows_per_task), min(64, total // 2_000))
 
     ranked = positions(keys, ["source", "_key", "_row"], "_place", tasks)
-    before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sources.select(
-        F.col("source").alias("_source"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    starts = ranked.groupBy(F.col("source").alias("_source")).agg(
+        F.min("_place").alias("_start"), F.count(F.lit(1)).alias("_n")
     )
     rank = F.col("_place") - F.col("_start") + 1
     fraction = (2 * rank - 1) / (2 * F.col("_n"))

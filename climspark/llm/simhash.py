@@ -34,6 +34,8 @@ BLOCKS = 4
 BLOCK_BITS = BITS // BLOCKS
 # Fingerprints that one task joins at most before its group is dealt by further bits of the trie.
 GROUP_LIMIT = 100_000
+# Bytes of a broadcast row of two numbers, with its share of the hash table.
+ROW_BYTES = 72
 # Node pairs that are walked at once, and pairs of leaves that are compared at once.
 FRONTIER = 1 << 18
 LEAF_PAIRS = 16
@@ -349,7 +351,7 @@ def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
     """
     prints = stage(with_fingerprint(docs, ["doc_id"], "fp"), "fingerprints")
     table, rows = class_table(prints.select("fp", F.col("doc_id").alias("component_id")), "fp", "component_id", group_limit)
-    return prints.join(small_side(table, rows, 16), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(small_side(table, rows, ROW_BYTES), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -364,7 +366,7 @@ def drop_near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> Dat
     prints = rows.select(F.col(fp).alias("fp"), first.alias("best"))
     table, n = class_table(prints, "fp", "best", group_limit)
     kept = table.select(F.col("best.r").alias(row)).distinct()
-    return rows.join(small_side(kept, n, 8), row, "left_semi").select(*docs.columns)
+    return rows.join(small_side(kept, n, ROW_BYTES), row, "left_semi").select(*docs.columns)
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
