@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rows of an Arrow batch that are turned into Python objects at once.
+BATCH_ROWS = 1_000
 # A side of a join is broadcast up to this many bytes, counted before.
 BROADCAST_BYTES = 32 << 20
 
@@ -42,6 +44,13 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def map_batches(
     df: DataFrame,
     rows: Callable[[pa.RecordBatch], Sequence],
@@ -57,7 +66,7 @@ def map_batches(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [batch.column(batch.schema.get_field_index(c)) for c in carry]
             made = rows(batch)
             arrays = kept + [
@@ -74,7 +83,7 @@ def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], Sequence[bool
     """The rows of ``df`` that ``keep`` marks, with all their columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from climspark.llm.common import filter_batches, map_batches
+from climspark.llm.common import filter_batches, map_batches, sliced
 
 UNKNOWN = "und"
 # The bound of the training sample: documents a language (in expectation), and languages of one filter.
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
         docs_of: dict[str, int] = defaultdict(int)
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs_of[lang] += 1
                 parts = list(text_grams(text))

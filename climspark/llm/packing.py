@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climspark.llm.common import crc32
+from climspark.llm.common import crc32, sliced
 from climspark.llm.sharding import positions
 from climspark.sources.staging import stage
 
@@ -32,7 +32,7 @@ END = 0
 ROWS_PER_TASK = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 # Words kept with their ids in each Python worker, and the longest word kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 48
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -129,7 +129,7 @@ def tokenized_pieces(
 
         arrow = to_arrow_schema(schema)
         encode = _tokenizer(path).encode
-        for batch in batches:
+        for batch in sliced(batches):
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text) + END.to_bytes(4, "little")

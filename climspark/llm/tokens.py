@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climspark.llm.common import map_batches
+from climspark.llm.common import map_batches, sliced
 
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
@@ -262,7 +262,7 @@ def prefix_table(docs: DataFrame, path: str | None = None, block: int = BLOCK) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, blocks, counts = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 all_ = counter.prefix_counts(text)
