@@ -36,8 +36,11 @@ MIN_SHARE = 0.2
 SMALL_LANGUAGE = 30
 HASHES = 3
 BITS_PER_GRAM = 16
-# A text is kept by the filter stage from this score on.
+# The filter stage drops a text of at least MIN_GRAMS n-grams if no language stands out with MIN_SCORE, or if even the
+# best one knows less than MIN_KNOWN of the n-grams. Shorter texts say too little against themselves.
+MIN_GRAMS = 50
 MIN_SCORE = 0.3
+MIN_KNOWN = 0.1
 # Characters that are looked up at once.
 CHUNK = 1 << 19
 
@@ -127,18 +130,28 @@ class Filters:
         return np.array([np.count_nonzero(mask & (kind(1) << kind(i))) for i in range(len(self.languages))])
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score: the language's part of all shares."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score, the share of the n-grams that the language knows, and their number."""
         if not self.languages or not text or not _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0, 0
         hits, n = np.zeros(len(self.languages)), 0
         for hashes in text_grams(text):
             if len(hashes):
                 hits += self.counts(hashes)
                 n += len(hashes)
         if not n:
-            return self.languages[0], 0.0
+            return self.languages[0], 0.0, 0.0, 0
         share = np.clip((hits / n - self.false_rate) / (1 - self.false_rate), 0, 1)
         best = int(np.argmax(share))
-        return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
+        score = float(share[best] / share.sum()) if share.sum() > 0 else 0.0
+        return self.languages[best], score, float(share[best]), n
+
+    def accepts(self, text: str | None, min_score: float = MIN_SCORE) -> bool:
+        lang, score, known, n = self.judge(text)
+        return lang != UNKNOWN and (n < MIN_GRAMS or (score >= min_score and known >= MIN_KNOWN))
 
 
 def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -205,30 +218,28 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     return Filters.build(languages, members)
 
 
-def predictor(docs: DataFrame, filters: Filters):
-    """Function from an Arrow batch with ``text`` to languages and scores; the filters are broadcast (their size is
-    bounded by the training sample)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(filters)
+def predict(docs: DataFrame, filters: Filters) -> DataFrame:
+    """doc_id, lang_pred and score of every row; ``und`` if the text is null or has no letter. Ties go to the language
+    that sorts first. Repeated rows repeat."""
+    shipped = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the training sample
 
     def rows(batch: pa.RecordBatch):
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        found = [shipped.value.predict(t) for t in texts]
+        found = [shipped.value.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         return [x[0] for x in found], [x[1] for x in found]
 
-    return rows
-
-
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """doc_id, lang_pred and score of every row; ``und`` if the text is null or has no letter. Ties go to the language
-    that sorts first. Repeated rows repeat."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return map_batches(source, predictor(docs, filters), "lang_pred string, score double", ["doc_id"])
+    return map_batches(source, rows, "lang_pred string, score double", ["doc_id"])
 
 
 def keep_identified(docs: DataFrame, filters: Filters | None = None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``min_score``, all columns kept."""
-    rows = predictor(docs, filters if filters is not None else fit(docs))
-    return filter_batches(docs, lambda b: [x != UNKNOWN and s >= min_score for x, s in zip(*rows(b))])
+    """The rows of ``docs`` that have a letter and are not plainly in no known language, all columns kept."""
+    shipped = docs.sparkSession.sparkContext.broadcast(filters if filters is not None else fit(docs))
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        return [shipped.value.accepts(t, min_score) for t in texts]
+
+    return filter_batches(docs, keep)
 
 
 def op8_language(docs: DataFrame) -> DataFrame:

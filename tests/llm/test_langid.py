@@ -76,7 +76,14 @@ def test_filter_keeps_known_languages(spark, rows):
     out = op.keep_identified(docs, filters, min_score=0.0)
     assert out.schema == docs.schema
     kept = {r.doc_id for r in out.collect()}
-    assert not kept & {1, 2, 3, 4} and 7 in kept
+    # Texts without a letter go; short ones, whatever they are in, stay.
+    assert not kept & {1, 2, 3, 4} and {5, 6} <= kept
+
+
+def test_only_long_strange_texts_are_dropped(spark, rows):
+    filters = op.fit(cases.documents(spark, rows))
+    assert filters.accepts("Zw.") and filters.accepts("kato miru")
+    assert not filters.accepts("zzxw qqvj wxyz jjqq " * 20) and not filters.accepts("12 34 ..") and not filters.accepts(None)
 
 
 def test_without_training_data(spark):
