@@ -6,7 +6,7 @@ along links by personalised PageRank, distrust against them (who links to blocke
 back to pages, and a host is blocked once its distrust exceeds its trust by the threshold.
 
 Links are reduced to weighted host edges while they are read. Each round of the ranks is one join and one aggregate
-over hosts, written to the shared folder. Rounds end when the ranks rest.
+over hosts, written to the shared folder. Rounds go on, however many they are, until the ranks rest.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from climspark.llm.common import small_side
-from climspark.sources.staging import stage
+from climspark.sources.staging import new_folder, stage
 
 # The contract's rules, as (verdict, host, path).
 RULES = (
@@ -29,8 +29,11 @@ RULES = (
 )
 
 DAMPING = 0.85
+# Rounds that the SQL twin writes out; the query itself does not stop at them.
 ROUNDS = 20
 TOLERANCE = 1e-9
+# Mass that a host keeps at least once it is reached, so that none vanishes by underflow.
+LEAST_MASS = 1e-300
 # A host is blocked if its distrust is above this many times its trust.
 THRESHOLD = 1.0
 # Bytes of a host row, for the size check of the last join.
@@ -85,27 +88,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def edge_shares(edges: DataFrame) -> DataFrame:
+    """src, dst and share: the part of what src passes on that goes to dst."""
+    totals = edges.groupBy("src").agg(F.sum("n").alias("all"))
+    return stage(edges.join(totals, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
+
+
+def passed_on(shares: DataFrame, seeds: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
+    """host, what it got in one round, its seed, and its mass before; 0 where it has none."""
+    passed = (
+        shares.join(ranks, F.col("src") == F.col("host"))
+        .groupBy("dst")
+        .agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("got"))
+    )
+    rows = passed.select(F.col("dst").alias("host"), "got", F.lit(0.0).alias("seed"), F.lit(0.0).alias("mass"))
+    rows = rows.unionByName(seeds.select("host", F.lit(0.0).alias("got"), "seed", F.lit(0.0).alias("mass")))
+    rows = rows.unionByName(ranks.select("host", F.lit(0.0).alias("got"), F.lit(0.0).alias("seed"), "mass"))
+    return rows.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("got", "seed", "mass")])
+
+
 def personalised_rank(
     edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """host and mass: PageRank along ``edges`` (src, dst, n), restarting at ``seeds`` (host, seed; the seeds sum to 1).
+    """host and mass after at most ``rounds`` rounds: PageRank along ``edges`` (src, dst, n), restarting at ``seeds``
+    (host, seed; the seeds sum to 1). The query takes ``resting_rank``, which has no last round.
 
     What a host without links would pass on goes back to the seeds.
     """
-    totals = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = stage(edges.join(totals, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
+    shares = edge_shares(edges)
     seeds = stage(seeds, "seeds")
     ranks = seeds.select("host", F.col("seed").alias("mass"))
     for _ in range(rounds):
-        passed = (
-            shares.join(ranks, F.col("src") == F.col("host"))
-            .groupBy("dst")
-            .agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("got"))
-        )
-        rows = passed.select(F.col("dst").alias("host"), "got", F.lit(0.0).alias("seed"), F.lit(0.0).alias("mass"))
-        rows = rows.unionByName(seeds.select("host", F.lit(0.0).alias("got"), "seed", F.lit(0.0).alias("mass")))
-        rows = rows.unionByName(ranks.select("host", F.lit(0.0).alias("got"), F.lit(0.0).alias("seed"), "mass"))
-        step = stage(rows.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("got", "seed", "mass")]), "step")
+        step = stage(passed_on(shares, seeds, ranks, damping), "step")
         kept = step.agg(F.sum("got")).first()[0] or 0.0
         new = F.col("got") + F.col("seed") * (1 - kept)
         moved = step.agg(F.sum(F.abs(new - F.col("mass")))).first()[0] or 0.0
@@ -115,6 +129,35 @@ def personalised_rank(
     return ranks
 
 
+def resting_rank(
+    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """host and mass to which ``personalised_rank`` tends.
+
+    What restarts at the seeds is the same part of every seed, so the seeds are fed in whole and the masses scaled to
+    a sum of 1 at the end. They then only grow, and rest once no host's mass grew by more than ``tolerance`` of itself:
+    from then on no host grows by more in any round, and none is reached that was not. Without circles that takes as
+    many rounds as the longest chain; otherwise what still moves shrinks by ``damping`` a round, so the rounds end.
+    """
+    spark = edges.sparkSession
+    shares = edge_shares(edges)
+    seeds = stage(seeds, "seeds")
+    ranks, last = seeds.select("host", F.col("seed").alias("mass")), None
+    while True:
+        folder = new_folder(spark, "step")
+        passed_on(shares, seeds, ranks, damping).write.parquet(folder)
+        step = spark.read.schema("host string, got double, seed double, mass double").parquet(folder)
+        new = F.greatest(F.col("got") + F.col("seed"), F.lit(LEAST_MASS))
+        grown, total = step.agg(F.max((new - F.col("mass")) / new), F.sum(new)).first()
+        ranks = step.select("host", new.alias("mass"))
+        if last:  # what this round was made from is not read again
+            path = spark._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        last = folder
+        if grown is None or grown <= tolerance:
+            return ranks.select("host", (F.col("mass") / F.lit(total or 1.0)).alias("mass"))
+
+
 def host_verdicts(pages: DataFrame, judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust and distrust (in pages) and verdict of every host that has either."""
     counts = judged.filter("verdict is not null").groupBy("host").agg(
@@ -129,7 +172,7 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, threshold: float = THRESH
 
     def ranked(column: str, total: float, links: DataFrame, name: str) -> DataFrame:
         seeds = counts.filter(F.col(column) > 0).select("host", (F.col(column) / F.lit(max(total, 1.0))).alias("seed"))
-        mass = personalised_rank(links, seeds)
+        mass = resting_rank(links, seeds)
         other = "distrust" if name == "trust" else "trust"
         return mass.select("host", (F.col("mass") * total).alias(name), F.lit(0.0).alias(other))
 

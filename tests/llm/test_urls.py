@@ -91,3 +91,54 @@ def test_clashing_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", "", "x", 1, "y", "z")], schema)
     assert op.op2_urls(pages).first().verdict == "allow"
     assert op.op2_urls(pages.limit(0)).count() == 0
+
+
+def brute_rest(edges, seeds, damping):
+    """The fixed point: rounds until no mass changes by more than 1e-13 of itself."""
+    out = Counter()
+    for (a, _), n in edges.items():
+        out[a] += n
+    mass = dict(seeds)
+    while True:
+        got = Counter()
+        for (a, b), n in edges.items():
+            got[b] += damping * mass.get(a, 0) * n / out[a]
+        kept = sum(got.values())
+        new = {h: got[h] + seeds.get(h, 0) * (1 - kept) for h in {*got, *seeds}}
+        if all(abs(new[h] - mass.get(h, 0)) <= 1e-13 * new[h] for h in new):
+            return new
+        mass = new
+
+
+@pytest.mark.parametrize("damping", [0.4, 0.001])
+def test_ranks_rest_at_the_fixed_point(spark, damping):
+    """Circles, hosts without links, and hosts whose mass lies far below the tolerance."""
+    edges = {("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("a", "d"): 1, ("e", "a"): 5} | {("d", "x0"): 1}
+    edges |= {(f"x{i}", f"x{i + 1}"): 1 for i in range(7)}
+    seeds = {"a": 0.75, "e": 0.25}
+    got = op.resting_rank(
+        spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, n long"),
+        spark.createDataFrame(list(seeds.items()), "host string, seed double"),
+        damping,
+    )
+    got, want = {r.host: r.mass for r in got.collect()}, brute_rest(edges, seeds, damping)
+    assert set(got) == set(want) and all(got[h] == pytest.approx(want[h], rel=1e-8) for h in want)
+
+
+def test_no_host_is_lost_by_underflow(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "src string, dst string, n long")
+    got = op.resting_rank(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), 1e-200).collect()
+    assert {r.host for r in got} == set("abcd") and all(r.mass > 0 for r in got)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 24
+    rows = [(0, "http://bad.net/es/", "")] + [
+        (i, f"http://h{i}.org/", f'<a href="http://{f"h{i - 1}.org" if i > 1 else "bad.net"}/">x</a>') for i in range(1, n + 1)
+    ]
+    pages = spark.createDataFrame([*rows, (n + 1, "http://lone.org/", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in op.filter_urls(pages).collect()}
+    assert [got[i].verdict for i in range(n + 2)] == ["block"] * (n + 1) + ["allow"]
+    chain = {("bad", 1): 1} | {(i, i + 1): 1 for i in range(1, n)}
+    want = brute_rest(chain, {"bad": 1.0}, op.DAMPING)
+    assert all(got[i].distrust == pytest.approx(want[i], rel=1e-8) for i in range(1, n + 1))
