@@ -2,7 +2,7 @@
 
 Training collects, per language, the character n-grams that are typical of it. They go into one Bloom filter per
 language, all with the same hashes and stored bit-sliced: cell i holds a bitmask of the languages whose filter has bit i
-set. Looking up an n-gram ANDs the few cells it hashes to and yields all languages that contain it at once. A text's
+set, in as many 64-bit words as the languages need. Looking up an n-gram ANDs the few cells it hashes to and yields all languages that contain it at once. A text's
 n-grams are counted per language; the counts are corrected for each filter's rate of false positives, and the language
 with the largest share decides.
 
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from climspark.llm.common import filter_batches, map_batches, sliced
+from climspark.llm.common import filter_batches, map_batches, sliced, small_side
+from climspark.sources.staging import stage
 
 UNKNOWN = "und"
-# The bound of the training sample: documents a language (in expectation), and languages of one filter.
+# The bound of the training sample: documents a language (in expectation).
 SAMPLE_DOCS = 1_500
-MAX_LANGUAGES = 64
+# Languages of one word of a cell.
+WORD = 64
 ORDERS = (3, 4)
 # An n-gram is typical of a language in which at least so many documents, and this share of the rate of the language
 # that uses it most, have it.
@@ -36,13 +38,16 @@ MIN_SHARE = 0.2
 SMALL_LANGUAGE = 30
 HASHES = 3
 BITS_PER_GRAM = 16
-# The filter stage drops a text of at least MIN_GRAMS n-grams if no language stands out with MIN_SCORE, or if even the
-# best one knows less than MIN_KNOWN of the n-grams. Shorter texts say too little against themselves.
+# The filter stage drops a text of at least MIN_GRAMS n-grams if no language stands out with MIN_SCORE (by its own share
+# of the n-grams or by its lead over the second, however many languages there are), or if even the best one knows less
+# than MIN_KNOWN of the n-grams. Shorter texts say too little against themselves.
 MIN_GRAMS = 50
 MIN_SCORE = 0.3
 MIN_KNOWN = 0.1
 # Characters that are looked up at once.
 CHUNK = 1 << 19
+# Bytes of a language's row, for the size check of the join.
+LANGUAGE_BYTES = 100
 
 _SPACE = 32
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -99,7 +104,8 @@ def text_grams(text: str) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class Filters:
-    """Languages, bit-sliced cells, and the rate of false positives of each language's filter."""
+    """Languages, bit-sliced cells (a row of them for each word), and the rate of false positives of each language's
+    filter."""
 
     languages: list[str]
     cells: np.ndarray
@@ -110,44 +116,67 @@ class Filters:
         """``members[i]``: hashes of the n-grams of language i."""
         most = max([len(m) for m in members], default=0)
         size = 1 << max(10, int(most * BITS_PER_GRAM).bit_length())
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-        cells = np.zeros(size, dtype=kind)
+        bits = min(len(languages), WORD)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= bits)
+        cells = np.zeros((-(-len(languages) // WORD), size), dtype=kind)
         fill = []
         for i, hashes in enumerate(members):
             mine = np.zeros(size, dtype=bool)
             for place in _places(hashes, size):
                 mine[place] = True
-            cells |= mine.astype(kind) << kind(i)
+            cells[i // WORD] |= mine.astype(kind) << kind(i % WORD)
             fill.append(mine.mean())
         return Filters(list(languages), cells, np.array(fill) ** HASHES)
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """How many of the n-grams each language contains."""
-        mask = None
-        for place in _places(hashes, len(self.cells)):
-            mask = self.cells[place] if mask is None else mask & self.cells[place]
-        kind = self.cells.dtype.type
-        return np.array([np.count_nonzero(mask & (kind(1) << kind(i))) for i in range(len(self.languages))])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score: the language's part of all shares."""
-        return self.judge(text)[:2]
-
-    def judge(self, text: str | None) -> tuple[str, float, float, int]:
-        """Language, score, the share of the n-grams that the language knows, and their number."""
+        places, kind = list(_places(hashes, self.cells.shape[1])), self.cells.dtype.type
+        masks = []
+        for word in self.cells:
+            mask = word[places[0]]
+            for place in places[1:]:
+                mask = mask & word[place]
+            masks.append(mask)
+        return np.array(
+            [np.count_nonzero(masks[i // WORD] & (kind(1) << kind(i % WORD))) for i in range(len(self.languages))]
+        )
+
+    def shares(self, text: str | None) -> tuple[np.ndarray, int] | None:
+        """The share of the text's n-grams that each language knows, and their number; None without a letter or a
+        language."""
         if not self.languages or not text or not _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-            return UNKNOWN, 0.0, 0.0, 0
+            return None
         hits, n = np.zeros(len(self.languages)), 0
         for hashes in text_grams(text):
             if len(hashes):
                 hits += self.counts(hashes)
                 n += len(hashes)
         if not n:
-            return self.languages[0], 0.0, 0.0, 0
-        share = np.clip((hits / n - self.false_rate) / (1 - self.false_rate), 0, 1)
+            return hits, 0
+        return np.clip((hits / n - self.false_rate) / (1 - self.false_rate), 0, 1), n
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score: the language's part of all shares."""
+        found = self.shares(text)
+        if found is None:
+            return UNKNOWN, 0.0
+        share, best = found[0], int(np.argmax(found[0]))
+        return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
+
+    def judge(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, how far it stands out, the share of the n-grams that it knows, and their number.
+
+        It stands out by that share, or by its lead over the second as a part of the share, whichever is more. Neither
+        shrinks as further languages join that know less than the second.
+        """
+        found = self.shares(text)
+        if found is None:
+            return UNKNOWN, 0.0, 0.0, 0
+        share, n = found
         best = int(np.argmax(share))
-        score = float(share[best] / share.sum()) if share.sum() > 0 else 0.0
-        return self.languages[best], score, float(share[best]), n
+        known = float(share[best])
+        second = float(np.delete(share, best).max(initial=0.0))
+        return self.languages[best], max(known, (known - second) / known) if known > 0 else 0.0, known, n
 
     def accepts(self, text: str | None, min_score: float = MIN_SCORE) -> bool:
         lang, score, known, n = self.judge(text)
@@ -176,16 +205,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket("doc_id") != 2)).select(
         F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text")
     )
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"More than {MAX_LANGUAGES} languages.")
+    counts = stage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")), "languages")
+    sizes = {r.lang: r["_docs"] for r in counts.collect()}
     if not sizes:
-        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(rate)
+        return Filters([], np.zeros((0, 1), np.uint8), np.zeros(0))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = labelled.filter(draw < rate)
+    known = labelled.join(small_side(counts, len(sizes), LANGUAGE_BYTES), "lang")
+    sample = known.filter(draw < F.lit(sample_docs) / F.col("_docs"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))

@@ -90,3 +90,42 @@ def test_without_training_data(spark):
     assert op.op8_language(cases.empty(spark)).count() == 0
     unlabelled = cases.documents(spark, [(1, "some words", None, "a", 1)])
     assert op.op8_language(unlabelled).first().lang_pred == "und"
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    words = {f"l{i:02}": rng.sample(letters, 12) for i in range(70)}
+    text = lambda lang: " ".join("".join(rng.choice(words[lang]) for _ in range(2)) for _ in range(40))
+    rows = [(1000 * j + i, text(lang), lang, "a", 1) for i, lang in enumerate(words) for j in range(8)]
+    got = {r.doc_id: r.lang_pred for r in op.op8_language(cases.documents(spark, rows)).collect()}
+    judged = [got[r[0]] == r[2] for r in rows if held_out(r[0])]
+    assert len(got) == len(rows) and len(judged) > 70 and np.mean(judged) > 0.97
+
+
+def test_cells_of_several_words_return_all_languages_of_a_gram():
+    rng = np.random.default_rng(2)
+    members = [rng.integers(0, 2**64, 300, dtype=np.uint64) for _ in range(130)]
+    for i in (0, 63, 64, 127, 128):
+        members[i][:100] = members[129][:100]
+    filters = op.Filters.build([f"{i:03}" for i in range(130)], members)
+    found = filters.counts(members[129][:100])
+    assert {i for i, n in enumerate(found) if n == 100} == {0, 63, 64, 127, 128, 129} and np.sort(found)[:-6].max() < 20
+
+
+def known_by(text, parts):
+    """Filters of as many languages as ``parts``, each with that part of the text's n-grams."""
+    grams = np.unique(np.concatenate(list(op.text_grams(text))))
+    rng = np.random.default_rng(3)
+    members = [rng.permutation(grams)[: round(p * len(grams))] for p in parts]
+    return op.Filters.build([f"{i:02}" for i in range(len(parts))], members)
+
+
+@pytest.mark.parametrize("others", [1, 3, 40, 80])
+def test_acceptance_does_not_follow_the_number_of_languages(others):
+    rng = random.Random(9)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    assert known_by(text, [1.0] + [0.9] * others).accepts(text)
+    assert known_by(text, [0.2] + [0.1] * others).accepts(text)
+    assert not known_by(text, [0.2] + [0.19] * others).accepts(text)
+    assert not known_by(text, [0.05] + [0.0] * others).accepts(text)
