@@ -358,7 +358,9 @@ def sample_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tupl
             text, near = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(near, pa.string())], names=["text", "near"])
 
-    found = sample.mapInArrow(run, "text string, near string").distinct().orderBy("text", "near").limit(SAMPLE_WINDOWS)
+    # Ordered by a hash, so that those within the bound are drawn from windows of every beginning and script.
+    order = [F.xxhash64(F.lit("window"), "text", "near"), "text", "near"]
+    found = sample.mapInArrow(run, "text string, near string").distinct().orderBy(*order).limit(SAMPLE_WINDOWS)
     parsed = []
     for r in found.collect():
         spans = [p.split(":") for p in r.near.split(",") if p]

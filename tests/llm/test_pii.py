@@ -157,3 +157,13 @@ def test_redaction(spark, tagger):
 
 def test_empty_table(spark):
     assert op.op7_pii(cases.empty(spark)).count() == 0
+
+
+def test_bounded_sample_holds_windows_of_every_script(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [cases.words(rng, 60, letters) for letters in ("bcd", "яшю") for _ in range(200)]
+    docs = cases.documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    monkeypatch.setattr(op, "SAMPLE_WINDOWS", 60)
+    found = [text for text, _ in op.sample_windows(docs)]
+    assert len(found) == 60 and found == [text for text, _ in op.sample_windows(docs.repartition(3))]
+    assert 15 <= sum(any(c in "яшю" for c in t) for t in found) <= 45 and any(t[:1] in set("яшю") for t in found)
