@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator, Mapping
+import sys
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,8 @@ CAPACITY = 2048
 END = 0
 ROWS_PER_TASK = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
-# Words kept with their ids in each Python worker, and the longest word kept.
+# Words and parts of words in each of the two generations that a Python worker keeps with their ids, and the longest
+# word kept.
 CACHE_WORDS = 400_000
 CACHE_CHARS = 48
 
@@ -44,20 +47,43 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent(dict):
+    """What ``make`` gives for a key, kept for the keys used of late.
+
+    When ``most`` are held they become the older generation, and the one before it goes; a key found there moves up.
+    So hot keys stay, and at most twice ``most`` are held. ``longest`` keys are kept, longer ones made each time.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int):
+        super().__init__()
+        self._make, self._most, self._longest, self._older = make, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self._older.get(key)
+        if made is None:
+            made = self._make(key)
+        if len(key) <= self._longest:
+            if len(self) >= self._most:
+                self._older = dict(self)
+                self.clear()
+            self[key] = made
+        return made
+
+
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers, by the library's vocabulary.
 
     White space parts what the vocabulary can join, so ids are looked up word by word. Words of ASCII and Latin-1
-    letters go straight to the library's merge model; any other word, and any text with separators that the
+    letters go part by part to the library's merge model; any other word, and any text with separators that the
     languages class differently, is encoded by the library itself.
     """
 
     _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    _UNSURE = re.compile("[\x1c-\x1f]")
-    # The vocabulary's own pattern, for plain words in lower case.
+    _UNSURE = "\x1c\x1d\x1e\x1f"
+    # The vocabulary's own pattern, for plain words in lower case. Most words are letters, or letters and one sign.
     _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,45 +93,43 @@ class WordTokenizer:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
         self._letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self._cache: dict[str, bytes] = {}
+        self._words = Recent(self._word, most or CACHE_WORDS, CACHE_CHARS)
 
     def _exact(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join([self._letters[b] for b in part.encode()])
+        ids = array("I", [t.id for t in self._model.tokenize(part)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _word(self, word: str) -> bytes:
+        """A word's ids; those of a part are the ids of a word that is that part."""
+        if word.isascii():
+            if word.isalpha():
+                return self._part(word) if word.islower() else self._words[word.lower()]
+            if word[:-1].isalpha() and word[-1].isprintable():
+                return self._words[word[:-1].lower()] + self._words[word[-1]]
         if not self._PLAIN.fullmatch(word) or "<|" in word:
             return self._exact(word)
-        ids: list[int] = []
-        for part in self._PARTS.findall(word.lower()):
-            if not part.isascii():
-                part = "".join([self._letters[b] for b in part.encode()])
-            ids += [t.id for t in self._model.tokenize(part)]
-        return np.array(ids, dtype="<u4").tobytes()
+        parts = self._PARTS.findall(word.lower())
+        return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._words.__getitem__, parts))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._UNSURE.search(text):
+        if any(sign in text for sign in self._UNSURE):
             return self._exact(text)
-        words = text.split()
-        cache = self._cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        long = {}
-        for word in set(words).difference(cache):
-            if len(word) <= CACHE_CHARS:
-                cache[word] = self._word(word)
-            else:
-                long[word] = self._word(word)
-        if long:
-            return b"".join([cache[w] if w in cache else long[w] for w in words])
-        return b"".join(map(cache.__getitem__, words))
+        return b"".join(map(self._words.__getitem__, text.split()))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def tokenizer_of(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -128,7 +152,7 @@ def tokenized_pieces(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        encode = _tokenizer(path).encode
+        encode = tokenizer_of(path).encode
         for batch in sliced(batches):
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
