@@ -95,11 +95,13 @@ from docs left join hit on hit.doc_id = docs.doc_id left join named on named.doc
 
 _STEP = "case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end"
 
-OP4 = f"""
-with recursive steps(v, c, k) as (
+_CRC_TABLE = f"""recursive steps(v, c, k) as (
   select range, range, 0 from range(256)
   union all select v, {_STEP}, k + 1 from steps where k < 8),
-crc_table as (select list(c order by v) as t from steps where k = 8),
+crc_table as (select list(c order by v) as t from steps where k = 8)"""
+
+OP4 = f"""
+with {_CRC_TABLE},
 texts as (select doc_id, source, coalesce(text, '') as text from documents),
 digits as (
   select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint)) as b
@@ -169,4 +171,56 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from fenced
 """
 
-ORACLE: dict[str, str] = {"op2_urls": OP2, "op3_decontaminate": OP3, "op4_sharding": OP4, "op9_quality": OP9}
+# --- op13: nodes as lists of turns; every node's own figures go to each of its prefixes.
+
+OP13 = rf"""
+with {_CRC_TABLE},
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as pos,
+         coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+ids as (
+  select conv_id, list_transform(regexp_extract_all(hex(encode(cast(conv_id as varchar))), '..'),
+                                 lambda x: cast('0x' || x as bigint)) as b
+  from (select distinct conv_id from turns)),
+convs as (
+  select conv_id, conv_id - conv_id % 20 as base,
+         xor(list_reduce(list_prepend(cast(4294967295 as bigint), b),
+                         lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)), 4294967295) % 4 as h
+  from ids, crc_table),
+rebuilt as (
+  select c.conv_id, 0 as part, pos, role, text from convs c join turns t on t.conv_id = c.base and pos < h
+  union all select c.conv_id, 1, pos, role, text from convs c join turns t on t.conv_id = c.conv_id and pos >= h),
+sequences as (
+  select conv_id, list(struct_pack(role := role, text := text) order by part, pos) as seq from rebuilt group by conv_id),
+whole as (select conv_id, coalesce(seq, []) as seq from convs left join sequences using (conv_id)),
+paths as (
+  select conv_id, d, seq[1:d] as node, len(seq) = d as ends,
+         case when d > 0 then len(regexp_extract_all(seq[d].text, '[^\x20\x09-\x0D]+')) else 0 end as words
+  from (select conv_id, seq, unnest(range(0, len(seq) + 1)) as d from whole)),
+nodes as (
+  select node, d, min(conv_id) as conv_id, count(*) as n_convs, max(words) as words,
+         coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '') as ends
+  from paths group by node, d),
+linked as (
+  select n.*, p.conv_id as parent from nodes n left join nodes p on p.d = n.d - 1 and p.node = n.node[1:n.d - 1]),
+kids as (select parent as conv_id, d - 1 as d, count(*) as n_children from linked where d > 0 group by parent, d),
+own as (
+  select l.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * words as saving
+  from linked l left join kids k on k.conv_id = l.conv_id and k.d = l.d),
+above as (select p.conv_id as member, p.d, n.conv_id from paths p join nodes n on n.d = p.d and n.node = p.node),
+totals as (
+  select a.conv_id, a.d, sum(saving) as saved, sum((n_children = 0)::int) as leaves
+  from own o join above a on a.member = o.conv_id and a.d <= o.d group by a.conv_id, a.d)
+select o.conv_id, cast(o.d as bigint) as depth, case when o.d > 0 then parent end as parent_conv_id, n_convs, n_children,
+       cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256
+from own o join totals t on t.conv_id = o.conv_id and t.d = o.d
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_urls": OP2,
+    "op3_decontaminate": OP3,
+    "op4_sharding": OP4,
+    "op9_quality": OP9,
+    "op13_prefix_trie": OP13,
+}

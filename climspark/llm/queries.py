@@ -13,6 +13,7 @@ from climspark.llm.langid import op8_language
 from climspark.llm.licenses import op1_licenses
 from climspark.llm.packing import op5_packing
 from climspark.llm.pii import op7_pii
+from climspark.llm.prefixes import op13_prefix_trie
 from climspark.llm.quality import op9_quality
 from climspark.llm.sharding import op4_sharding
 from climspark.llm.simhash import op6_simhash
@@ -32,5 +33,6 @@ QUERIES: dict[str, Query] = {
     "op8_language": lambda spark, d: op8_language(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents")),
     "op10_tokens": lambda spark, d: op10_tokens(table(spark, d, "documents")),
+    "op13_prefix_trie": lambda spark, d: op13_prefix_trie(table(spark, d, "conversations")),
     "op12_curve_packing": lambda spark, d: op12_curve_packing(table(spark, d, "documents")),
 }

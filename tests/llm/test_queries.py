@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are abs
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
 
