@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from climspark.llm.collocations import MIN_COUNT, REPLACED, SCALE, TOP
 from climspark.llm.quality import MIN_GROUP, SLACK, SPREAD
 from climspark.llm.sharding import SEED, SHARDS
 from climspark.llm.urls import DAMPING, ROUNDS, RULES, THRESHOLD
@@ -171,6 +172,39 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from fenced
 """
 
+# --- op11: every phrase counted; cuts and longer phrases by joins.
+
+OP11 = rf"""
+with docs as (select coalesce(lang, 'und') as lang, {LOWER} as text from documents),
+pieces as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from docs),
+split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from split group by lang),
+phrases as (
+  select lang, size, array_to_string(w[i : i + size - 1], ' ') as phrase
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from split, (select unnest(range(1, 5)) as size) where len(w) >= size)),
+frequent as (
+  select lang, size, phrase, count(*) as f from phrases group by lang, size, phrase having count(*) >= {MIN_COUNT}),
+cuts as (
+  select lang, phrase, f as a, k, array_to_string(w[:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, string_split(phrase, ' ') as w, unnest(range(1, size)) as k from frequent where size > 1)),
+scored as (
+  select c.lang, c.phrase, a, k, l.f as l, r.f as r, cast(({SCALE}::hugeint * a) // (l.f + r.f) as bigint) as score
+  from cuts c join frequent l on l.lang = c.lang and l.phrase = first join frequent r on r.lang = c.lang and r.phrase = rest),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (
+  select lang, array_to_string(w[i : i + s - 1], ' ') as phrase, max(f) as held
+  from (select lang, f, w, s, unnest(range(1, len(w) - s + 2)) as i
+        from (select *, string_split(phrase, ' ') as w, unnest(range(2, size)) as s from frequent where size > 2))
+  group by all),
+kept as (
+  select b.* from best b left join inner_ i on i.lang = b.lang and i.phrase = b.phrase
+  where coalesce(100::hugeint * held < {REPLACED}::hugeint * a, true)),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= {TOP}
+"""
+
 # --- op13: nodes as lists of turns; every node's own figures go to each of its prefixes.
 
 OP13 = rf"""
@@ -222,5 +256,6 @@ ORACLE: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op4_sharding": OP4,
     "op9_quality": OP9,
+    "op11_collocations": OP11,
     "op13_prefix_trie": OP13,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from climspark.llm.collocations import op11_collocations
 from climspark.llm.common import table
 from climspark.llm.curve import op12_curve_packing
 from climspark.llm.decontaminate import op3_decontaminate
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": lambda spark, d: op8_language(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents")),
     "op10_tokens": lambda spark, d: op10_tokens(table(spark, d, "documents")),
-    "op13_prefix_trie": lambda spark, d: op13_prefix_trie(table(spark, d, "conversations")),
+    "op11_collocations": lambda spark, d: op11_collocations(table(spark, d, "documents")),
     "op12_curve_packing": lambda spark, d: op12_curve_packing(table(spark, d, "documents")),
+    "op13_prefix_trie": lambda spark, d: op13_prefix_trie(table(spark, d, "conversations")),
 }

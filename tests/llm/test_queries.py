@@ -59,5 +59,5 @@ def test_language_held_out_accuracy(spark, duck):
 def test_all_are_registered():
     names = driver.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLE) <= set(driver.oracle_sql())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
