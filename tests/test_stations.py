@@ -191,3 +191,27 @@ def test_leak_sample_with_one_hot_day(spark, monkeypatch):
 def test_station_table_without_rows(spark):
     empty = spark.createDataFrame([], "station long, date date, latitude double, longitude double, altitude double, prec double")
     assert station_positions(empty).count() == 0 and select_stations(empty).count() == 0
+
+
+@pytest.mark.parametrize("k, places_per_part", [(1, 3), (4, 7), (4, 20), (30, 5)])
+def test_neighbors_across_parts(spark, clustered_points, k, places_per_part):
+    """Parts smaller than k, whose places must look into others, give what one part gives."""
+    df = spark.createDataFrame(clustered_points)
+    got = as_map(build_station_kneighbors(df, k=k, places_per_part=places_per_part))
+    assert got == brute_knn(clustered_points, k)
+    some = as_map(build_station_kneighbors(df, k=k, targets=[3, 77], places_per_part=places_per_part))
+    assert some == {s: got[s] for s in (3, 77)}
+
+
+def test_stations_of_one_place_and_of_a_ring(spark):
+    """Ties of many: a place that holds most stations, and stations all at one distance."""
+    rows = [(s, 10.0, 20.0) for s in range(100, 180)]
+    rows += [(s, 10.0 + [1, 0, -1, 0][s % 4], 20.0 + [0, 1, 0, -1][s % 4]) for s in range(8)]
+    df = spark.createDataFrame(
+        [(s, dt.date(2000, 1, 1), x, y, 1.0) for s, x, y in rows],
+        "station long, date date, latitude double, longitude double, prec double",
+    )
+    for places_per_part in (1, 2, 100):
+        got = as_map(build_station_kneighbors(df, k=3, places_per_part=places_per_part))
+        assert got[100] == [101, 102, 103] and got[179] == [100, 101, 102]
+        assert got[0] == [4, 100, 101] and got[5] == [1, 100, 101] and len(got) == 88
