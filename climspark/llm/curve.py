@@ -15,7 +15,7 @@ of one text, however many, over tasks, and needs one row a task to place everyth
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,7 @@ BITS = 15
 SEED = 12
 # Rows and remainders' tokens of one task of the sort.
 ROWS_PER_TASK = 1_000_000
-TOKENS_PER_TASK = 32_000_000
+TOKENS_PER_TASK = 8_000_000
 # A fixed value: an odd multiplier that spreads ids over 64 bits (the golden ratio's fraction).
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,15 +49,21 @@ _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 # --- the order
 
 
-def hashed_vectors(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One row a document: signed counts of its token ids in hashed buckets, square roots taken, of length one.
-    ``ids`` are those of all documents, ``sizes`` how many each has; a document without ids is the zero vector."""
-    spread = ids.astype(np.uint64) * SPREAD
-    bucket = (spread >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-    sign = 1.0 - 2.0 * ((spread >> np.uint64(20)) & np.uint64(1)).astype(float)
-    document = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(document * BUCKETS + bucket, weights=sign, minlength=len(sizes) * BUCKETS)
-    damped = (np.sign(counts) * np.sqrt(np.abs(counts))).reshape(-1, BUCKETS)
+def slots(size: int) -> np.ndarray:
+    """The slot of each id of a vocabulary: a bucket, or, for the other sign, a bucket and ``BUCKETS`` more."""
+    spread = np.arange(size, dtype=np.uint64) * SPREAD
+    bucket = spread >> np.uint64(64 - BUCKETS.bit_length() + 1)
+    return (bucket + np.uint64(BUCKETS) * ((spread >> np.uint64(20)) & np.uint64(1))).astype(np.int64)
+
+
+def hashed_vectors(documents: Sequence[np.ndarray], slot_of: np.ndarray) -> np.ndarray:
+    """One row a document: signed counts of its token ids in hashed buckets, square roots taken, of length one. A document
+    without ids is the zero vector."""
+    counts = np.zeros((len(documents), 2 * BUCKETS))
+    for row, ids in zip(counts, documents):
+        row[:] = np.bincount(slot_of[ids], minlength=2 * BUCKETS)
+    signed = counts[:, :BUCKETS] - counts[:, BUCKETS:]
+    damped = np.sign(signed) * np.sqrt(np.abs(signed))
     length = np.sqrt((damped**2).sum(axis=1, keepdims=True))
     return damped / np.where(length == 0, 1, length)
 
@@ -100,8 +106,14 @@ def hilbert_keys(cells_: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _width(path: str, end: int) -> str:
+    """The type that holds the vocabulary's ids while they are moved."""
+    return "<u2" if max(end, tokenizer_of(path).size - 1) < 1 << 16 else "<u4"
+
+
 def _held(docs: DataFrame, path: str, capacity: int, end: int, keep_ids: bool) -> DataFrame:
     """A row a document: its key, the checksums of its whole blocks, and the ids of its remainder (or all)."""
+    width = _width(path, end)
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(_HELD).fields])
     step = 4 * capacity
 
@@ -110,16 +122,18 @@ def _held(docs: DataFrame, path: str, capacity: int, end: int, keep_ids: bool) -
 
         arrow = to_arrow_schema(schema)
         encode, onto, last = tokenizer_of(path).encode, directions(), end.to_bytes(4, "little")
+        slot_of = slots(tokenizer_of(path).size)
         for batch in sliced(batches):
             texts = [encode(text) for text in batch.column(2).to_pylist()]
             sizes = np.array([len(t) // 4 for t in texts], np.int64)
-            keys = hilbert_keys(cells(hashed_vectors(np.frombuffer(b"".join(texts), "<u4"), sizes), onto))
+            vectors = hashed_vectors([np.frombuffer(t, "<u4") for t in texts], slot_of)
+            keys = hilbert_keys(cells(vectors, onto))
             blocks, held = [], []
             for ids in texts:
                 ids += last
                 whole = len(ids) // step * step
                 blocks.append([crc32(ids[at : at + step]) for at in range(0, whole, step)])
-                held.append(ids if keep_ids else ids[whole:])
+                held.append(np.frombuffer(ids if keep_ids else ids[whole:], "<u4").astype(width).tobytes())
             made = [keys, sizes + 1, blocks, held]
             arrays = [batch.column(0), batch.column(1)] + [pa.array(x, f.type) for x, f in zip(made, list(arrow)[2:])]
             yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
@@ -215,7 +229,9 @@ def pack_along_curve(
     numbered along the curve; those of the whole blocks of long documents come after, in the same order. A ``capacity``
     need not be a power of two.
     """
-    rows = stage(_held(docs, path or tokenizer_path(), capacity, end, keep_ids), "documents")
+    path = path or tokenizer_path()
+    width = _width(path, end)
+    rows = stage(_held(docs, path, capacity, end, keep_ids), "documents")
     n, tokens = rows.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.col("doc_tokens") % F.lit(capacity)), F.lit(0))
     ).first()
@@ -226,6 +242,7 @@ def pack_along_curve(
 
     def pieces(doc_tokens: int, blocks: list, held: bytes, before: int, blocks_before: int) -> Iterator[tuple]:
         whole = doc_tokens // capacity * capacity
+        held = np.frombuffer(held, width).astype("<u4").tobytes()
         held_from = doc_tokens - len(held) // 4  # the first id that is held
         for k, checksum in enumerate(blocks):
             ids = held[4 * k * capacity : 4 * (k + 1) * capacity] if keep_ids else b""

@@ -89,6 +89,7 @@ class WordTokenizer:
 
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
+        self.size = self._library.get_vocab_size()
         # Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
