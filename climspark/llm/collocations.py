@@ -3,16 +3,22 @@
 A phrase is a run of 1 to 4 words within a piece of text. A phrase is at most as frequent as its parts, so:
 
 * A sample of the documents, mined length by length at a lowered threshold, proposes frequent phrases.
-* A full pass counts, exactly, the proposed phrases and their negative border: phrases whose first words and whose last
-  words (all but one) are proposed. Every single word is counted.
+* A full pass counts the proposed phrases and their negative border: phrases whose first words and whose last words (all
+  but one) are proposed. Every single word is counted.
 * Phrases of the border that turn out frequent are failures: phrases above them were not counted. Further passes count
   just those, until a pass finds no failure. Then the frequent phrases are closed, and nothing that is missing can be
   frequent. A poor sample costs passes (as many as a phrase has words, at most), never results.
+* The words of nearly all of them are found in the sample; a last pass over all documents finds the rest.
 
-The proposed phrases reach the tasks as a Bloom filter of bounded size. What it lets through by mistake is counted
-exactly too, so its errors cost time only. A pass turns texts into word numbers a stretch at a time, sums equal phrases
-of the stretch, and sends phrases with their counts to a shuffled sum. Language, phrase and count are all that moves,
-so a language or a phrase that holds a third of all words is spread like any other.
+Passes know phrases by 62-bit keys, and tasks send them as packed arrays, a row for each range of keys, which numpy sums:
+most phrases of a border are rare, and a row for each would cost ten times as much. Keys that two phrases are seen to
+share are counted again in the last pass, which tells phrases apart by 64 bits more. Unseen, a rare phrase shares the key
+of a frequent one with a chance of 2 ** -62 a pair: 10 ** -5 for a corpus of 10 ** 8 phrases, 10 ** 5 of them frequent.
+Known phrases reach the tasks as a Bloom filter of bounded size. What it lets through by mistake is counted too, so its
+errors cost time only.
+
+Every task sums its own phrases before it sends them, so a language, or a phrase, that holds a third of all words is
+spread like any other.
 """
 
 from __future__ import annotations
@@ -47,9 +53,12 @@ LOWERED = 0.8
 BITS_A_PHRASE = 16
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 CHUNK_BITS = 1 << 16
-# Characters of text that become words at once, and rows of a batch that leaves a task.
-STRETCH_CHARS = 8_000_000
-ROWS_SENT = 100_000
+# Characters of text that become words at once, phrases that a task holds before it sends them (in the last pass, a
+# quarter of that), and characters of the corpus for each range of keys.
+STRETCH_CHARS = 3_000_000
+PHRASES_HELD = 2_000_000
+CHARS_A_RANGE = 8_000_000
+MAX_RANGES = 1 << 16
 # Bytes a row of frequent phrases is reckoned at, and shares a language's candidates are ranked in first.
 PHRASE_BYTES = 128
 SHARES = 64
@@ -59,7 +68,6 @@ _BREAK = ord(".")
 _BYTES = bytes(
     b + 32 if 65 <= b <= 90 else _BREAK if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)
 )
-_COUNTS = "lang string, n int, phrase string, f long"
 # Odd multipliers of the hash that joins words to phrases.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -67,34 +75,24 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 # --- phrases of a stretch of text
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
+def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Keys of phrases of ``n`` words: hashes, mixed, with the length in the lowest two bits."""
     hashes = (hashes ^ (hashes >> np.uint64(31))) * _MIX[1]
-    return hashes ^ (hashes >> np.uint64(29))
+    return (hashes ^ (hashes >> np.uint64(29))) & ~np.uint64(3) | np.uint64(n - 1)
 
 
-def _extended(prefixes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of phrases that are the given prefixes and one word more."""
-    return _mixed(prefixes * _MIX[0] + words * _MIX[2] + np.uint64(1))
+def length_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(3)).astype(np.int64) + 1
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh32_intdigest(encoded(lang))
+def word_keys(lang: str, words: list[bytes], salt: int = 0) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(encoded(lang), salt)
+    return _keys(np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64), 1)
 
 
-def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """The numbers by which the filter knows phrases of languages."""
-    seeds = {lang: _seed(lang) for lang in set(langs)}
-    split = [encoded(p).split(b" ") for p in phrases]
-    sizes = np.array([len(words) for words in split], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    flat = np.array(
-        [xxhash.xxh64_intdigest(w, seeds[lang]) for lang, words in zip(langs, split) for w in words], np.uint64
-    )
-    out = flat[begins]
-    for k in range(1, max(sizes, default=1)):
-        longer = sizes > k
-        out[longer] = _extended(out[longer], flat[begins[longer] + k])
-    return out
+def extended(prefixes: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Keys of phrases of ``n`` words: the given prefixes and one word more."""
+    return _keys(prefixes * _MIX[0] + words * _MIX[2] + np.uint64(1), n)
 
 
 @dataclass(frozen=True)
@@ -121,123 +119,305 @@ def words_of(texts: Iterable[str | None]) -> list[bytes]:
     return b" . ".join([encoded(t).translate(_BYTES).replace(b".", b" . ") for t in texts]).split()
 
 
-def stretch_counts(
-    lang: str, words: list[bytes], lengths: range, known: Bloom | None, counted: tuple[Bloom, ...]
-) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(n, phrases, counts) of a stretch, for each of ``lengths``: of one word all (and of none, the number of words); of
-    more those whose first and last n - 1 words ``known`` holds, but for those that an earlier pass, by one of
-    ``counted``, counted."""
+@dataclass(frozen=True)
+class Phrases:
+    """Phrases of ``n`` words that a pass reaches in a stretch of text, an entry for each place (of single words, for each
+    word, with counts)."""
+
+    n: int
+    keys: np.ndarray
+    checks: np.ndarray | None  # 64 bits more, if asked for
+    starts: np.ndarray
+    counts: np.ndarray | None
+    fresh: np.ndarray  # not counted by an earlier pass
+    ids: np.ndarray
+    vocabulary: pa.Array
+
+    def texts(self, starts: np.ndarray) -> pa.Array:
+        words = [self.vocabulary.take(pa.array(self.ids[starts + k])) for k in range(self.n)]
+        return pc.binary_join_element_wise(*words, " ")
+
+
+def reached(
+    lang: str, words: list[bytes], longest: int, known: Bloom | None, counted: tuple[Bloom, ...], checked: bool = False
+) -> Iterator[Phrases]:
+    """All words, then, length by length, the phrases whose first and last n - 1 words are reached and ``known``. The
+    passes of ``counted`` have counted those that they reached in the same way."""
     if not words:
         return
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    texts = coded.dictionary.cast(pa.string())
-    ids = coded.indices.to_numpy().astype(np.int64)
-    vocabulary = coded.dictionary.to_pylist()
-    real = np.array([w != b"." for w in vocabulary])
-    if 1 in lengths:
-        counts = np.bincount(ids, minlength=len(vocabulary))
-        held = np.flatnonzero(real)
-        yield 0, pa.array([""]), counts[held].sum(keepdims=True)
-        yield 1, texts.take(pa.array(held)), counts[held]
-    if known is None or lengths.stop <= 2:
+    vocabulary, ids = coded.dictionary, coded.indices.to_numpy()
+    listed = vocabulary.to_pylist()
+    salts = (0, 1) if checked else (0,)
+    of_word = [word_keys(lang, listed, salt) for salt in salts]
+    real = np.array([w != b"." for w in listed])
+    vocabulary = vocabulary.cast(pa.string())
+    first = np.zeros(len(listed), np.int64)
+    first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
+    each, counts = np.flatnonzero(real), np.bincount(ids, minlength=len(listed))
+    yield Phrases(
+        1, of_word[0][each], of_word[1][each] if checked else None, first[each], counts[each],
+        np.full(len(each), not counted), ids, vocabulary,
+    )
+    if known is None:
         return
-    seed = _seed(lang)
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in vocabulary], np.uint64)
     filters = (known, *counted)
-    # Of the phrases of n words that this pass reaches: where each begins, its hash, a number for the distinct ones,
-    # and for each filter whether its pass reached the phrase and could go on from it.
+    # For each phrase of n words in the text: where it begins, its key (and check), and for each filter whether its pass
+    # reached the phrase and could go on from it.
     starts = np.flatnonzero(real[ids])
     here = ids[starts]
-    joined, name = hashes[here], here
-    open_ = [f.has(hashes)[here] for f in filters]
-    for n in range(2, lengths.stop):
-        # A phrase of n words is reached where those of n - 1 words that begin here and at the next word are open.
-        follows = np.flatnonzero(np.diff(starts) == 1)
-        reached = [o[follows] & o[follows + 1] for o in open_]
-        here = follows[reached[0]]
-        reached = [r[reached[0]] for r in reached]
-        last = ids[starts[here] + n - 1]
-        _, first, number, counts = np.unique(
-            name[here] * len(vocabulary) + last, return_index=True, return_inverse=True, return_counts=True
-        )
-        starts, name = starts[here], number
-        if n in lengths:
-            # Equal phrases are reached by the same passes.
-            fresh = np.flatnonzero(~np.logical_or.reduce([np.zeros(len(first), bool), *(r[first] for r in reached[1:])]))
-            at = starts[first[fresh]]
-            columns = [texts.take(pa.array(ids[at + k])) for k in range(n)]
-            yield n, pc.binary_join_element_wise(*columns, " "), counts[fresh]
-        joined = _extended(joined[here], hashes[last])
-        open_ = [r & f.has(joined) for f, r in zip(filters, reached)]
+    keys = [of[here] for of in of_word]
+    open_ = [f.has(of_word[0])[here] for f in filters]
+    for n in range(2, longest + 1):
+        follows = np.diff(starts, append=-1) == 1
+        both = [o & np.append(o[1:], False) & follows for o in open_]
+        here = np.flatnonzero(both[0])
+        reach = [b[here] for b in both]
+        starts = starts[here]
+        last = ids[starts + n - 1]
+        keys = [extended(k[here], of[last], n) for k, of in zip(keys, of_word)]
+        fresh = ~np.logical_or.reduce([np.zeros(len(here), bool), *reach[1:]])
+        yield Phrases(n, keys[0], keys[1] if checked else None, starts, None, fresh, ids, vocabulary)
+        if n < longest:
+            open_ = [r & f.has(keys[0]) for f, r in zip(filters, reach)]
+
+
+def _stretches(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[str, list[bytes]]]:
+    """The words of each language, a stretch of texts at a time. Columns are lang and text."""
+    held: dict[str, list[str]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            text = text.as_py()
+            held.setdefault(lang.as_py(), []).append(text)
+            size += len(text)
+            if size >= chars:
+                for one, texts in held.items():
+                    yield one, words_of(texts)
+                held, size = {}, 0
+    for one, texts in held.items():
+        yield one, words_of(texts)
 
 
 # --- passes
 
 
-def _pass(docs: DataFrame, lengths: range, known: Bloom | None, counted: tuple[Bloom, ...] = ()) -> DataFrame:
-    """(lang, n, phrase, f): exact counts of the phrases that this pass is for. ``docs`` has the columns lang, text.
-    With single words come the words of each language, as the empty phrase."""
-    context = docs.sparkSession.sparkContext
-    shipped = context.broadcast((known, counted))
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begins], np.add.reduceat(counts, begins) if len(keys) else counts
+
+
+def _range_ends(keys: np.ndarray, ranges: int) -> tuple[list[int], list[int], list[int]]:
+    """The ranges that ascending ``keys`` are in, and where each begins and ends."""
+    number = (keys >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), int)
+    found, begins = np.unique(number, return_index=True)
+    return found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)]
+
+
+def _survivors(
+    docs: DataFrame, lengths: range, known: Bloom | None, counted: tuple[Bloom, ...], least: int, ranges: int
+) -> DataFrame:
+    """Rows of keys that occur ``least`` times, and their counts (packed), of the phrases that this pass is for."""
+    shipped = docs.sparkSession.sparkContext.broadcast((known, counted))
+
+    def send(places: list[np.ndarray], words: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *places]), return_counts=True)
+        if words:
+            pairs = [(keys, counts), *words]
+            keys, counts = summed(np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs]))
+        rows = []
+        for k, begin, end in zip(*_range_ends(keys, ranges)):
+            some, times = keys[begin:end], counts[begin:end]
+            once = times == 1  # most phrases; their counts are not sent
+            rows.append((k, some[once].tobytes(), some[~once].tobytes(), times[~once].astype("<i8").tobytes()))
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        columns = zip(*rows) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["range", *_PACKED])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counted = shipped.value
-        held: dict[str, list[str]] = {}
-        size = 0
-
-        def counts() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                for n, phrases, f in stretch_counts(lang, words_of(texts), lengths, known, counted):
-                    for at in range(0, len(f), ROWS_SENT):
-                        some = f[at : at + ROWS_SENT].astype("i8")
-                        arrays = [pa.repeat(lang, len(some)), pa.array(np.full(len(some), n, "i4"))]
-                        arrays += [phrases.slice(at, ROWS_SENT), pa.array(some)]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "phrase", "f"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                held.setdefault(lang.as_py(), []).append(text)
-                size += len(text)
-                if size >= STRETCH_CHARS:
-                    yield from counts()
-                    held, size = {}, 0
-        yield from counts()
-
-    rows = docs.select("lang", "text").mapInArrow(run, _COUNTS)
-    return rows.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-
-
-def bloom_of(phrases: DataFrame) -> Bloom:
-    """The filter of the (lang, phrase) rows. Its bits are set by tasks; the driver joins chunks of fixed size."""
-    n = phrases.count()
+        places, words, size = [], [], 0
+        for lang, text in _stretches(batches, STRETCH_CHARS):
+            for p in reached(lang, text, lengths.stop - 1, known, counted):
+                if p.n not in lengths or not p.fresh.any():
+                    continue
+                if p.n == 1:
+                    words.append((p.keys, p.counts))
+                else:
+                    places.append(p.keys[p.fresh])
+                size += int(p.fresh.sum())
+            if size >= PHRASES_HELD:
+                yield send(places, words)
+                places, words, size = [], [], 0
+        if size:
+            yield send(places, words)
+
+    def keep(table: pa.Table) -> pa.Table:
+        once, many, times = (b"".join(table.column(c).to_pylist()) for c in _PACKED)
+        once, many, times = np.frombuffer(once, "<u8"), np.frombuffer(many, "<u8"), np.frombuffer(times, "<i8")
+        keys, counts = summed(np.concatenate([once, many]), np.concatenate([np.ones(len(once), np.int64), times]))
+        kept = counts >= least
+        columns = [keys[kept].tobytes(), counts[kept].astype("<i8").tobytes(), int(kept.sum())]
+        return pa.table(dict(zip(["keys", "counts", "held"], ([c] for c in columns))))
+
+    sent = docs.select("lang", "text").mapInArrow(run, "range int, once binary, many binary, times binary")
+    return stage(sent.groupBy("range").applyInArrow(keep, "keys binary, counts binary, held long"), "phrases")
+
+
+_PACKED = ["once", "many", "times"]
+
+
+def bloom_of(packed: DataFrame, shorter_than: int) -> Bloom:
+    """The filter of the packed keys of phrases of fewer words. Tasks set its bits; the driver joins chunks of fixed size."""
+    n = packed.agg(F.sum("held")).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (max(1, n) * BITS_A_PHRASE - 1).bit_length()))
 
     def bit_places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            at = np.unique(np.concatenate(places(hashes, bits))).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"chunk": (at // CHUNK_BITS).astype("i4"), "at": (at % CHUNK_BITS).astype("i4")})
-
-    def chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            numbers, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for number in np.unique(numbers).tolist():
-                chunks.setdefault(number, np.zeros(CHUNK_BITS, bool))[at[numbers == number]] = True
-        for number, held in chunks.items():
-            yield pa.RecordBatch.from_pydict({"chunk": [number], "held": [np.packbits(held, bitorder="little").tobytes()]},
-                                             schema=pa.schema([("chunk", pa.int32()), ("held", pa.binary())]))
-
-    # A chunk has CHUNK_BITS distinct places at most, so a task's groups are bounded whatever the phrases.
-    tasks = max(1, bits // (16 * CHUNK_BITS))
-    at = phrases.select("lang", "phrase").mapInArrow(bit_places, "chunk int, at int").distinct()
+            for packed_keys in batch.column(0).to_pylist():
+                keys = np.frombuffer(packed_keys, "<u8")
+                at = np.unique(np.concatenate(places(keys[length_of(keys) < shorter_than], bits))).astype(np.int64)
+                numbers, begins = np.unique(at // CHUNK_BITS, return_index=True)
+                parts = [p.astype("<u4").tobytes() for p in np.split(at % CHUNK_BITS, begins[1:])][: len(numbers)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers.astype("i4")), pa.array(parts, pa.binary())], names=["chunk", "places"]
+                )
+
+    def chunk(table: pa.Table) -> pa.Table:
+        held = np.zeros(CHUNK_BITS, bool)
+        for part in table.column("places").to_pylist():
+            held[np.frombuffer(part, "<u4")] = True
+        bitmap = np.packbits(held, bitorder="little").tobytes()
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([bitmap], pa.binary())})
+
+    at = packed.select("keys").mapInArrow(bit_places, "chunk int, places binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in at.repartition(tasks, "chunk").mapInArrow(chunk, "chunk int, held binary").toLocalIterator():
-        out[r.chunk * CHUNK_BITS // 8 : (r.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(bytes(r.held), np.uint8)
+    for r in at.groupBy("chunk").applyInArrow(chunk, "chunk int, bits binary").collect():
+        out[r.chunk * CHUNK_BITS // 8 : (r.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return Bloom(out)
 
 
+def _failures(packed: DataFrame, known: Bloom, longest: int) -> bool:
+    """Whether some key of a phrase that could be extended is unknown."""
+    shipped = packed.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+            missed = int((~shipped.value.has(keys[length_of(keys) < longest])).sum())
+            yield pa.RecordBatch.from_pydict({"missed": pa.array([missed], pa.int64())})
+
+    return bool(packed.select("keys").mapInArrow(run, "missed long").agg(F.sum("missed")).first()[0])
+
+
+def _rows(packed: DataFrame) -> DataFrame:
+    """(key, f), a row a phrase."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pydict({"key": np.frombuffer(keys, "<i8"), "f": np.frombuffer(counts, "<i8")})
+
+    return packed.select("keys", "counts").mapInArrow(run, "key long, f long")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(keys, held) of a table with a column key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().astype("<i8").tobytes()
+            yield pa.RecordBatch.from_pydict({"keys": pa.array([keys], pa.binary()), "held": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select("key").mapInArrow(run, "keys binary, held long")
+
+
+def _named(docs: DataFrame, known: Bloom, wanted: Bloom, longest: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, n, phrase, key, f) of the phrases that are ``wanted`` among those reached through ``known``, and (lang,
+    words).
+
+    Key and check tell phrases apart. A task sends counts for them, and the words of each once."""
+    shipped = docs.sparkSession.sparkContext.broadcast((known, wanted))
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+
+    def send(lang: str, words: int, counts: list[np.ndarray], named: list[np.ndarray], texts: list) -> pa.RecordBatch:
+        rows = {-1: [lang, words, None, None, None]}
+        for place, parts in ((2, counts), (3, named)):
+            table = np.concatenate([np.zeros((0, 3), np.uint64), *parts])
+            order = np.argsort(table[:, 0])
+            table = table[order]
+            phrases = pa.chunked_array(texts, pa.string()).take(pa.array(order)) if place == 3 else None
+            for k, begin, end in zip(*_range_ends(table[:, 0], ranges)):
+                row = rows.setdefault(k, [lang, 0, b"", b"", []])
+                row[place] = table[begin:end].tobytes()
+                if phrases is not None:
+                    row[4] = phrases.slice(begin, end - begin).to_pylist()
+        columns = zip(*([k, *row] for k, row in rows.items()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["range", *_NAMED])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = shipped.value
+        found: dict[str, tuple[list, list, list]] = {}
+        totals: dict[str, int] = {}
+        seen, size = np.zeros(0, np.uint64), 0
+        for lang, text in _stretches(batches, STRETCH_CHARS):
+            counts, named, texts = found.setdefault(lang, ([], [], []))
+            totals.setdefault(lang, 0)
+            for p in reached(lang, text, longest, known, (), checked=True):
+                if p.n == 1:
+                    totals[lang] += int(p.counts.sum())
+                chosen = np.flatnonzero(wanted.has(p.keys))
+                chosen = chosen[np.argsort(p.keys[chosen])]
+                if not len(chosen):
+                    continue
+                keys, checks = p.keys[chosen], p.checks[chosen]
+                begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+                times = np.add.reduceat(p.counts[chosen], begins) if p.n == 1 else np.diff(begins, append=len(keys))
+                table = np.column_stack([keys[begins], checks[begins], times.astype(np.uint64)])
+                counts.append(table)
+                size += len(table)
+                both = table[:, 0] * _MIX[0] ^ table[:, 1]
+                at = np.searchsorted(seen, both)
+                new = np.flatnonzero(np.append(seen, np.uint64(0))[at] != both) if len(seen) else np.arange(len(both))
+                if len(new):
+                    named.append(table[new])
+                    texts.append(p.texts(p.starts[chosen[begins[new]]]))
+                    fresh = np.unique(both[new])
+                    seen = np.insert(seen, np.searchsorted(seen, fresh), fresh)
+            if size >= PHRASES_HELD // 4:
+                yield from (send(one, totals.pop(one), *held) for one, held in found.items())
+                found, seen, size = {}, seen[:0], 0
+        yield from (send(one, totals[one], *held) for one, held in found.items())
+
+    def add(table: pa.Table) -> pa.Table:
+        import pandas as pd
+
+        counts, named = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), "<u8").reshape(-1, 3) for c in ("packed", "named")
+        )
+        sums = pd.DataFrame({"key": counts[:, 0], "check": counts[:, 1], "f": counts[:, 2].astype("i8")})
+        sums = sums.groupby(["key", "check"], as_index=False)["f"].sum()
+        texts = pd.DataFrame({"key": named[:, 0], "check": named[:, 1], "phrase": table.column("phrases").combine_chunks().flatten()})
+        kept = sums.merge(texts.drop_duplicates(["key", "check"]), on=["key", "check"])
+        n = (kept["key"].to_numpy() & np.uint64(3)).astype("i4") + 1
+        lang = pa.repeat(table.column("lang")[0], len(kept))
+        phrases = pa.array(kept["phrase"].tolist(), pa.string())
+        keys = kept["key"].to_numpy().view("i8")
+        return pa.table({"lang": lang, "n": pa.array(n, pa.int32()), "phrase": phrases, "key": keys, "f": kept["f"].to_numpy()})
+
+    ddl = "range int, lang string, words long, packed binary, named binary, phrases array<string>"
+    sent = stage(docs.select("lang", "text").mapInArrow(run, ddl), "sent")
+    totals = sent.filter(F.col("range") == -1).groupBy("lang").agg(F.sum("words").alias("words"))
+    counted = sent.filter(F.col("range") >= 0).groupBy("range", "lang")
+    return stage(counted.applyInArrow(add, "lang string, n int, phrase string, key long, f long"), "named"), totals
+
+
+_NAMED = ["lang", "words", "packed", "named", "phrases"]
+
+
 def frequent_phrases(
     docs: DataFrame,
     min_count: int = MIN_COUNT,
@@ -253,41 +433,34 @@ def frequent_phrases(
     """
     fair = max(2, round(min_count / one_in * lowered))
     sample = stage(docs.filter(F.pmod("pick", F.lit(one_in)) == 0).select("lang", "text"), "sample")
-    proposed: list[DataFrame] = []
-    known = None
+    chars = (sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * one_in
+    ranges = min(MAX_RANGES, 1 << (max(1, chars // CHARS_A_RANGE) - 1).bit_length())
+    found, known = [], None
     for n in range(1, longest):
-        at_length = _pass(sample, range(n, n + 1), known).filter((F.col("f") >= fair) & (F.col("n") > 0))
-        proposed.append(stage(at_length, "proposed"))
-        known = bloom_of(reduce(DataFrame.unionByName, proposed))
+        found.append(_survivors(sample, range(n, n + 1), known, (), fair, ranges))
+        known = bloom_of(reduce(DataFrame.unionByName, found), longest)
 
     # The pass over all documents counts what was proposed and its negative border.
-    full = _pass(docs, range(1, longest + 1), known).filter((F.col("f") >= min_count) | (F.col("n") == 0))
-    full = stage(full, "counts")
-    totals = full.filter(F.col("n") == 0).select("lang", F.col("f").alias("words"))
-    counts = found = full.filter(F.col("n") > 0)
     counted: tuple[Bloom, ...] = ()
-    for _ in range(1, longest):
-        # Failures: frequent phrases that could be extended, and were not known when phrases above them were passed by.
-        bases = found.filter(F.col("n") < longest)
-        missed = _not_in(bases.select("lang", "phrase"), known)
-        if missed.isEmpty():
-            break
+    frequent = newest = _survivors(docs, range(1, longest + 1), known, counted, min_count, ranges)
+    while _failures(newest, known, longest):
+        # Frequent phrases that could be extended were not known, so phrases above them were passed by.
         counted = (*counted, known)
-        known = bloom_of(counts.filter(F.col("n") < longest))
-        found = stage(_pass(docs, range(2, longest + 1), known, counted).filter(F.col("f") >= min_count), "counts")
-        counts = counts.unionByName(found)
-    return counts, totals
-
-
-def _not_in(phrases: DataFrame, known: Bloom) -> DataFrame:
-    shipped = phrases.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield batch.filter(pa.array(~shipped.value.has(hashes)))
-
-    return phrases.mapInArrow(run, phrases.schema)
+        known = bloom_of(frequent, longest)
+        newest = _survivors(docs, range(2, longest + 1), known, counted, min_count, ranges)
+        frequent = frequent.unionByName(newest)
+    every = bloom_of(frequent, longest + 1)
+    counts = stage(_rows(frequent), "counts")
+    # Words from the sample, for keys that one phrase there has; the others are counted by their words.
+    seen, _ = _named(sample, every, every, longest, ranges)
+    alone = seen.groupBy("key").agg(F.count(F.lit(1)).alias("phrases")).filter(F.col("phrases") == 1)
+    seen = seen.drop("f").join(alone.select("key"), "key", "left_semi").join(counts, "key")
+    seen = stage(seen.select("lang", "n", "phrase", "f", "key"), "seen")
+    rest = bloom_of(stage(_packed(counts.join(seen, "key", "left_anti")), "rest"), longest + 1)
+    found, totals = _named(docs, every, rest, longest, ranges)
+    found = found.filter(F.col("f") >= min_count).join(seen, "key", "left_anti")
+    columns = ["lang", "n", "phrase", "f"]
+    return stage(seen.select(*columns).unionByName(found.select(*columns)), "phrases"), totals
 
 
 # --- the report

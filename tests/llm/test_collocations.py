@@ -79,7 +79,7 @@ def test_awkward_rows(spark):
 
 def test_crowded_filter_costs_passes_not_results(spark, monkeypatch):
     """With a filter of 64 bits nearly all seems known; small stretches and batches change nothing."""
-    for name, value in {"MIN_BITS": 64, "MAX_BITS": 64, "CHUNK_BITS": 8, "STRETCH_CHARS": 300, "ROWS_SENT": 7, "SHARES": 3}.items():
+    for name, value in {"MIN_BITS": 64, "MAX_BITS": 64, "CHUNK_BITS": 8, "STRETCH_CHARS": 300, "PHRASES_HELD": 50, "CHARS_A_RANGE": 1000, "SHARES": 3}.items():
         monkeypatch.setattr(op, name, value)
     rows = corpus(3, 30)
     got = op.mine_collocations(cases.documents(spark, rows), 4, 10, 3)
@@ -97,11 +97,20 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_filter_holds_what_was_put_in(spark):
-    phrases = [("en", f"w{i} x{i % 7}") for i in range(300)] + [("fr", "w1 x1"), ("und", "ça")]
-    bloom = op.bloom_of(spark.createDataFrame(phrases, "lang string, phrase string"))
-    assert bloom.has(op.phrase_hashes([p[0] for p in phrases], [p[1] for p in phrases])).all()
-    others = op.phrase_hashes(["en"] * 2000, [f"no {i}" for i in range(2000)])
-    assert np.mean(bloom.has(others)) < 0.05
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 62, 3000, np.uint64)
+    packed = spark.createDataFrame([(bytearray(keys[i : i + 1000].tobytes()), 1000) for i in (0, 1000, 2000)], "keys binary, held long")
+    short = op.length_of(keys) < 4
+    bloom = op.bloom_of(packed, 4)
+    assert bloom.has(keys[short]).all() and short.sum() < 3000
+    assert bloom.has(rng.integers(0, 1 << 62, 5000, np.uint64)).mean() < 0.05
+
+
+def test_keys_know_language_length_and_order():
+    a, b = op.word_keys("en", [b"a", b"b"])
+    ab, ba = op.extended(np.array([a, b]), np.array([b, a]), 2)
+    assert len({int(x) for x in (a, b, ab, ba, *op.word_keys("fr", [b"a", b"b"]))}) == 6
+    assert op.length_of(np.array([a, ab])).tolist() == [1, 2]
 
 
 def test_empty_table(spark):
