@@ -23,6 +23,7 @@ from climspark.operators.sampling import draw_sample
 from climspark.operators.scoring import SCORE_COLUMNS, score_grains, widen_scores
 from climspark.operators.stations import select_stations, station_positions, valid_rows
 from climspark.plans.forest import fit_pool, forest, predict
+from climspark.plans.growth import Growth, grown_together
 from climspark.plans.loso import (
     attach_observed,
     feature_frame,
@@ -199,6 +200,7 @@ def _evaluate(
     log_path: str | None,
     flush_every: int,
     finish: Callable[[DataFrame], DataFrame],
+    growth: Growth | None = None,
 ) -> DataFrame:
     """Fit, predict and score every target; ``finish`` shapes a scoreboard chunk for output.
 
@@ -233,15 +235,43 @@ def _evaluate(
         ]
         predict(fitted, test, "y_pred", keep).write.parquet(f"{root}/{chunk_of[station]}/station={station}")
 
-    def scoreboard(outcomes: Sequence[Outcome], chunk: int) -> DataFrame:
-        predictions = _read_parts(spark, f"{root}/{chunk}", outcomes, schema)
+    def together(group: Sequence[int]) -> tuple[list[Outcome], DataFrame]:
+        """All targets of the group in one pass; the time is theirs in equal parts."""
+        began = time.monotonic()
+        able = [t for t in group if t in testable]
+        wanted = F.broadcast(_id_table(spark, able).select(F.col("station").alias("_target")))
+        own = clip_dates(staged.frame, columns.date, *test_window)
+        tests = own.join(wanted, F.col(columns.id).cast("long") == F.col("_target")).select(
+            F.col("_target").alias("target"),
+            F.col(columns.date).alias("date"),
+            F.col(columns.target).cast("double").alias("y_true"),
+            *features,
+        )
+        predicted, with_pool = grown_together(staged, leaked, neighbors, able, tests, columns, features, growth)
+        seconds = (time.monotonic() - began) / max(1, len(group))
+
+        def problem(station: int) -> Exception | None:
+            if station not in testable:
+                return NotFitted("The station was not observed in this window.")
+            return None if station in with_pool else ValueError("No row is left to train on.")
+
+        outcomes = [Outcome(t, seconds, problem(t)) for t in group]
+        return outcomes, predicted.withColumnRenamed("target", "station")
+
+    def run(group: Sequence[int], chunk: int) -> DataFrame:
+        if growth is None:
+            outcomes = run_targets(spark, group, work, parallelism)
+            return scoreboard(outcomes, _read_parts(spark, f"{root}/{chunk}", outcomes, schema))
+        return scoreboard(*together(group))
+
+    def scoreboard(outcomes: Sequence[Outcome], predictions: DataFrame) -> DataFrame:
         scores = widen_scores(score_grains(predictions, ["station"], agg=agg))
         rows = _outcomes(spark, outcomes).join(scores, "station", "left")
         return stage(finish(rows.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))), "scoreboard")
 
     if log_path is None:
         chunk_of = dict.fromkeys(targets, 0)
-        return scoreboard(run_targets(spark, targets, work, parallelism), 0)
+        return run(targets, 0)
     logged = _read_log(spark, log_path)
     if logged is not None:
         logged = stage(logged.filter(F.col("error").isNull()), "logged")
@@ -252,11 +282,10 @@ def _evaluate(
         boards = []
     chunk_of = {t: i // flush_every for i, t in enumerate(targets)}
     for i in range(0, len(targets), flush_every):
-        outcomes = run_targets(spark, targets[i : i + flush_every], work, parallelism)
-        boards.append(scoreboard(outcomes, i // flush_every))
+        boards.append(run(targets[i : i + flush_every], i // flush_every))
         write_table(boards[-1], log_path, mode="append")
     if not boards:
-        return scoreboard([], 0)
+        return scoreboard([], spark.createDataFrame([], schema))
     table = boards[0]
     for more in boards[1:]:
         table = table.unionByName(more)
@@ -344,6 +373,7 @@ def evaluate_all_stations_fast(
     include_target_seed: int = 42,
     min_station_rows: int | None = None,
     parallelism: int | None = None,
+    grow_together: bool = False,
     log_csv: str | None = None,
     flush_every: int = 20,
     save_table_path: str | None = None,
@@ -351,10 +381,17 @@ def evaluate_all_stations_fast(
 ) -> DataFrame:
     """Scoreboard of the selected stations; training and test rows are both clipped to the window.
 
+    With ``grow_together``, the forests of all stations are grown in one pass, level by level, instead of one Spark ML
+    fit a station; it needs ``k_neighbors``. The trees are of the same kind, but bootstraps and bins differ, so a forest
+    is not the one that Spark ML grows from the same seed.
+
     A station that cannot be fitted keeps a row with ``n_rows`` 0 and the reason in ``error``.
     ``log_csv`` grows by one part for every ``flush_every`` stations; stations that it lists without an error are not
     fitted again, so a run that was broken off goes on from there.
     """
+    growth = Growth.of(rf_params) if grow_together and model is None else None
+    if grow_together and (growth is None or k_neighbors is None):
+        raise ValueError("grow_together needs k_neighbors, no model, and forest parameters of whole feature sets.")
     frame, features = feature_frame(
         data,
         columns,
@@ -403,6 +440,7 @@ def evaluate_all_stations_fast(
         log_path=log_csv,
         flush_every=flush_every,
         finish=finish,
+        growth=growth,
     ).orderBy("station")
     # What is returned has been staged, so writing it fits nothing anew.
     write_table(table, save_table_path, parquet_compression=parquet_compression)
