@@ -79,14 +79,21 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def plain_names(df: DataFrame, keep: Sequence[str] = ("doc_id", "text", "lang", "source")) -> DataFrame:
+    """``df`` with other columns than ``keep`` named by their place, so that any name (with a dot, a blank or a backtick)
+    can be selected; ``toDF(*df.columns)`` names them back."""
+    return df.toDF(*[c if c in keep else f"_c{i}" for i, c in enumerate(df.columns)])
+
+
 def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], Sequence[bool]]) -> DataFrame:
     """The rows of ``df`` that ``keep`` marks, with all their columns."""
+    plain = plain_names(df)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

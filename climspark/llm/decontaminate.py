@@ -200,7 +200,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+    renamed = docs.toDF(*[names.get(c, c) for c in docs.columns])
     judged = scan(renamed, benchmark, carry=renamed.columns)
     clean = judged.filter(~is_contaminated(n_hit(), F.col("n_words")))
     return clean.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

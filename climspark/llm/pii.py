@@ -511,7 +511,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with all spans replaced in ``text``; null stays null, and all rows and columns stay."""
     shipped = docs.sparkSession.sparkContext.broadcast(tagger or fit(docs))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+    renamed = docs.toDF(*[names.get(c, c) for c in docs.columns])
 
     def rows(batch: pa.RecordBatch):
         texts = _texts(batch)

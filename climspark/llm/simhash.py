@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from climspark.llm.common import encoded, free_name, map_batches, small_side
+from climspark.llm.common import encoded, free_name, map_batches, plain_names, small_side
 from climspark.sources.staging import stage
 
 BITS = 64
@@ -359,6 +359,7 @@ def drop_near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> Dat
 
     The rows are written once with their fingerprint and a number, so that one row can be told from its repeats.
     """
+    names, docs = docs.columns, plain_names(docs)
     fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
     marked = with_fingerprint(docs, docs.columns, fp).withColumn(row, F.monotonically_increasing_id())
     rows = stage(marked, "marked")
@@ -366,7 +367,7 @@ def drop_near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> Dat
     prints = rows.select(F.col(fp).alias("fp"), first.alias("best"))
     table, n = class_table(prints, "fp", "best", group_limit)
     kept = table.select(F.col("best.r").alias(row)).distinct()
-    return rows.join(small_side(kept, n, ROW_BYTES), row, "left_semi").select(*docs.columns)
+    return rows.join(small_side(kept, n, ROW_BYTES), row, "left_semi").select(*docs.columns).toDF(*names)
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:

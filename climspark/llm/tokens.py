@@ -292,7 +292,7 @@ def truncate(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame
     """``docs`` with each text cut to its longest prefix of at most ``budget`` tokens; null stays null."""
     path = path or model_path()
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+    renamed = docs.toDF(*[names.get(c, c) for c in docs.columns])
 
     def rows(batch: pa.RecordBatch):
         counter = _counter(path)

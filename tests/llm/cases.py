@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns whose names are those of results and of the operators' own columns.
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _fp string, _row int, hits string, score int"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _fp string, _row int, hits string, score int, `a.b` int, `x y` string, `q``t` int"
 
 
 def words(rng: random.Random, n: int, letters: str = "abcde") -> str:
@@ -43,7 +43,11 @@ def documents(spark, rows=None):
 
 def clashing(spark):
     """The awkward rows with further columns of the operators' own names."""
-    return spark.createDataFrame([(*r, "w", "f", 1, "h", 2) for r in awkward_rows()], CLASHING)
+    return widened(spark, awkward_rows())
+
+
+def widened(spark, rows):
+    return spark.createDataFrame([(*r, "w", "f", 1, "h", 2, 3, "y", 4) for r in rows], CLASHING)
 
 
 def empty(spark):

@@ -72,8 +72,7 @@ def test_awkward_rows(spark):
     rows = cases.awkward_rows() + corpus(7, 20) + [(900 + i, "q r s t u, q r", "en", "hot", 1) for i in range(40)]
     want = brute(rows, 5, 50)
     assert cases.ordered(op.mine_collocations(cases.documents(spark, rows), 5, 50).collect()) == want
-    more = [(*r, "w", "f", 1, "h", 2) for r in rows]
-    got = op.mine_collocations(spark.createDataFrame(more, cases.CLASHING), 5, 50)
+    got = op.mine_collocations(cases.widened(spark, rows), 5, 50)
     assert cases.ordered(got.collect()) == want
 
 
