@@ -359,7 +359,7 @@ near as (
 select station, neighbor, rank, round(distance, 9) as distance from (
   select *, row_number() over (partition by station order by distance, neighbor) as rank from near) where rank <= 3""",
     "knn_targets": f"""{NETWORK_SQL}, {KNN.format(rows='obs')}
-select station, neighbor, rank, round(distance, 9) as distance from knn where station in (1, 2, 3, 5, 8)""",
+select station, neighbor, rank, round(distance, 9) as distance from knn""",
     "grid_dedupe_nulls": """
 with cells as (
   select c_nationkey as station, case when c_custkey % 3 <> 0 then c_acctbal / 100 end as latitude,
@@ -406,11 +406,13 @@ scored as (select all_ids.station, mae from (select distinct station from obs) a
 select station, round(mae, 6) as MAE_d, row_number() over (order by mae desc nulls last, station) as place from scored""",
     "evaluate_map_d0": _wide(
         f"""{NETWORK_SQL}, clipped as (select * from obs where {WINDOW}),
-map as (select * from (values (2, 1), (2, 4), (3, 2), (5, 6), (5, 7)) as m(station, neighbor)),
+ids as (select distinct station from clipped),
+map as (select a.station, b.station as neighbor from ids a join ids b on b.station in (a.station + 1, a.station + 2)),
 means as (select map.station, avg(prec) as p from map join clipped on clipped.station = map.neighbor group by map.station),
 {_PAIRED.format(window=WINDOW)}""",
         "sum",
-        _BOARD,
+        f"""select ids.station, coalesce(daily_m.n, 0) as n_rows, {WIDE_COLUMNS}
+from ids left join ({WIDE_JOIN}) using (station)""",
     ),
     "evaluate_log_d0": _wide(
         f"""{NETWORK_SQL}, clipped as (select * from obs where {WINDOW}), {KNN.format(rows='clipped')},
@@ -435,3 +437,6 @@ from stations cross join days""",
     "points_tree": f"""with {STATIONS_SQL}, days as (select {MONTH_DAYS})
 select station + 500 as station, {GRID_TREE} from stations cross join days""",
 }
+
+# Mean forests grown together are those of single fits.
+ORACLE["evaluate_together_d0"] = ORACLE["evaluate_fast_knn_d0"]

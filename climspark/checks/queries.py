@@ -171,7 +171,9 @@ def knn_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = build_station_kneighbors(observations(spark, sf_dir), k=5, targets=[1, 2, 3, 5, 8, 100001])
+    """All stations asked for by a table, searched in parts of the plane of a few places each."""
+    rows = observations(spark, sf_dir)
+    out = build_station_kneighbors(rows, k=5, targets=rows.select("station"), places_per_part=16)
     return out.select("station", "neighbor", "rank", r("distance", 9))
 
 
@@ -300,6 +302,20 @@ def evaluate_fast_knn_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station", "n_rows", *[r(c) for c in SCORE_COLUMNS], "include_target_pct", *coords)
 
 
+def evaluate_together_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate_all_stations_fast(
+        observations(spark, sf_dir),
+        rf_params=MEAN_MODEL,
+        k_neighbors=5,
+        min_station_rows=265,
+        grow_together=True,
+        agg_for_metrics="mean",
+        **WINDOW,
+    )
+    coords = [r(c) for c in COLUMNS.coords]
+    return out.select("station", "n_rows", *[r(c) for c in SCORE_COLUMNS], "include_target_pct", *coords)
+
+
 def _exported(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, str]:
     """One export of every station: the manifest and the folder."""
     out = new_folder(spark, "export")
@@ -620,12 +636,15 @@ def evaluate_order_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_map_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every station is trained on itself, which is left out, and on the two that follow by number; the last has none."""
+    rows = observations(spark, sf_dir)
+    following = F.explode(F.array(*[F.col("station") + n for n in range(3)])).alias("neighbor")
     out = evaluate_all_stations_fast(
-        observations(spark, sf_dir),
-        station_ids=[2, 3, 5],
+        rows,
         rf_params=MEAN_MODEL,
         k_neighbors=2,
-        neighbor_map={2: [1, 4], 3: [2], 5: [5, 6, 7], 8: [9]},
+        neighbor_map=rows.select("station").distinct().select("station", following),
+        grow_together=True,
         **WINDOW,
     )
     return out.select("station", "n_rows", *[r(c) for c in SCORE_COLUMNS])
@@ -716,6 +735,7 @@ QUERIES: dict[str, Query] = {
     "loso_full_scores_d0": loso_full_scores_d0,
     "evaluate_all_d0": evaluate_all_d0,
     "evaluate_fast_knn_d0": evaluate_fast_knn_d0,
+    "evaluate_together_d0": evaluate_together_d0,
     "export_filled_d0": export_filled_d0,
     "export_series_d0": export_series_d0,
     "manifest_d0": manifest_d0,
