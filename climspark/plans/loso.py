@@ -85,6 +85,8 @@ def join_covariates(
             "date (and station) that holds them."
         )
     keys = [c for c in (id_col, date_col) if c in covariates.columns]
+    if not covariates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).isEmpty():
+        raise ValueError(f"The covariates hold a key {keys} more than once: a day would get several rows.")
     named = [F.col(h).cast("double").alias(name) for h, name in zip(have, lacking)]
     return days.join(nan_to_null(covariates.select(*keys, *named)), keys, "left")
 

@@ -7,6 +7,7 @@ joins, scores and outputs are then made for all stations in one job.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -201,10 +202,12 @@ def _evaluate(
     flush_every: int,
     finish: Callable[[DataFrame], DataFrame],
     growth: Growth | None = None,
+    run_options: str = "",
 ) -> DataFrame:
     """Fit, predict and score every target; ``finish`` shapes a scoreboard chunk for output.
 
-    Stations that a log at ``log_path`` lists without an error are done: their rows are taken from there.
+    Stations that a log at ``log_path`` lists without an error are done: their rows are taken from there, if the run that
+    wrote them had the same ``run_options``.
     """
     spark = staged.frame.sparkSession
     root = new_folder(spark, "predictions")
@@ -272,6 +275,7 @@ def _evaluate(
     if log_path is None:
         chunk_of = dict.fromkeys(targets, 0)
         return run(targets, 0)
+    _claim_log(spark, log_path, run_options)
     logged = _read_log(spark, log_path)
     if logged is not None:
         logged = stage(logged.filter(F.col("error").isNull()), "logged")
@@ -292,10 +296,32 @@ def _evaluate(
     return table
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _described(model) -> list:
+    """An estimator's kind and parameters."""
+    params = model.extractParamMap() if hasattr(model, "extractParamMap") else {}
+    return [type(model).__name__, {p.name: str(v) for p, v in params.items()}]
+
+
+def _claim_log(spark: SparkSession, path: str, options: str) -> None:
+    """Keep the options of a run beside its log. A log of a run with other options must not be gone on from: its scores
+    are of other models."""
+    beside = f"{path}.options"
+    if not _exists(spark, beside):
+        spark.createDataFrame([(options,)], "options string").coalesce(1).write.text(beside)
+        return
+    held = [r[0] for r in spark.read.text(beside).collect()]
+    if held != [options]:
+        raise ValueError(f"The log at {path} is of a run with other options: {held} instead of {[options]}.")
+
+
 def _read_log(spark: SparkSession, path: str) -> DataFrame | None:
     """The scoreboard rows that an earlier run appended to ``path``; None if there is no such log."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, path):
         return None
     return spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
 
@@ -387,7 +413,8 @@ def evaluate_all_stations_fast(
 
     A station that cannot be fitted keeps a row with ``n_rows`` 0 and the reason in ``error``.
     ``log_csv`` grows by one part for every ``flush_every`` stations; stations that it lists without an error are not
-    fitted again, so a run that was broken off goes on from there.
+    fitted again, so a run that was broken off goes on from there. The options of the run lie beside the log; with
+    others, going on is refused.
     """
     growth = Growth.of(rf_params) if grow_together and model is None else None
     if grow_together and (growth is None or k_neighbors is None):
@@ -441,6 +468,21 @@ def evaluate_all_stations_fast(
         flush_every=flush_every,
         finish=finish,
         growth=growth,
+        run_options=json.dumps(
+            {
+                "model": _described(model) if model is not None else rf_params,
+                "features": features,
+                "window": [str(start), str(end)],
+                "k_neighbors": k_neighbors,
+                "neighbor_map": neighbor_map is not None,
+                "include_target": [include_target_pct, include_target_seed],
+                "agg_for_metrics": agg_for_metrics,
+                "grow_together": grow_together,
+                "target": columns.target,
+            },
+            sort_keys=True,
+            default=str,
+        ),
     ).orderBy("station")
     # What is returned has been staged, so writing it fits nothing anew.
     write_table(table, save_table_path, parquet_compression=parquet_compression)

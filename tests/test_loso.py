@@ -100,6 +100,8 @@ def test_covariates_come_from_a_table(spark):
     with pytest.raises(ValueError, match="covariates"):
         loso_predict_full_series_fast(df, 1, **options)
     table = df.filter("station = 1").select("station", "date", "WIND")
+    with pytest.raises(ValueError, match="more than once"):
+        loso_predict_full_series_fast(df, 1, covariates=table.unionByName(table.limit(1)), **options)
     series, _, _, features = loso_predict_full_series_fast(df, 1, covariates=table, **options)
     assert "WIND" in features and series.count() == 31
 

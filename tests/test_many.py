@@ -52,6 +52,10 @@ def test_broken_off_run_goes_on_from_its_log(spark, network, tmp_path, monkeypat
     scores = lambda t: [tuple(r) for r in t.select("station", "n_rows", F.round("MAE_d", 9)).collect()]
     assert scores(table) == scores(whole)
     assert spark.read.csv(f"{tmp_path}/log.csv", header=True).count() == 3
+    # Scores of other models are not gone on from.
+    for other in ({"k_neighbors": 2}, {"rf_params": MEAN_MODEL | {"random_state": 1}}, {"end": "2000-06-30"}):
+        with pytest.raises(ValueError, match="other options"):
+            evaluate_all_stations_fast(network, station_ids=[1, 2], **options | other)
 
 
 def test_a_failure_of_all_is_raised(network):
