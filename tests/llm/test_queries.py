@@ -61,3 +61,15 @@ def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLE) <= set(driver.oracle_sql())
     for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
+
+
+def test_curve_packing_over_the_whole_table(spark, duck):
+    from tokenizers import Tokenizer
+
+    from climspark.llm.packing import tokenizer_path
+    from tests.llm.test_curve import check
+
+    rows = duck.sql("select doc_id, text from documents").fetchall()
+    got = QUERIES["op12_curve_packing"](spark, str(DATA)).collect()
+    sequences = check(Tokenizer.from_file(tokenizer_path()), rows, got)
+    assert sum(sum(n for _, n in parts) < 4096 for parts in sequences.values()) <= 12
