@@ -438,5 +438,20 @@ from stations cross join days""",
 select station + 500 as station, {GRID_TREE} from stations cross join days""",
 }
 
+_KNN_MEAN = SERIES_MEAN.replace(
+    "means as (select own.station, (totals.s - own.s) / (totals.n - own.n) as p from own, totals)",
+    "means as (select knn.station, sum(own.s) / sum(own.n) as p from knn join own on own.station = knn.neighbor "
+    "group by knn.station)",
+)
+ORACLE |= {
+    "export_knn_d0": f"""{NETWORK_SQL}, {KNN.format(rows='obs')}, {_KNN_MEAN}
+select station, cast(date as varchar) as date, round(p, 6) as y_pred_full, round(y, 6) as y_true from series""",
+    "export_covariates_d0": f"""{NETWORK_SQL}, {SERIES_MEAN},
+held as (select distinct date from obs where day(date) % 3 <> 0)
+select station, cast(series.date as varchar) as date, case when held.date is not null then round(p, 6) end as y_pred_full,
+       round(y, 6) as y_true
+from series left join held on held.date = series.date""",
+}
+
 # Mean forests grown together are those of single fits.
 ORACLE["evaluate_together_d0"] = ORACLE["evaluate_fast_knn_d0"]

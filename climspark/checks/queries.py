@@ -326,7 +326,7 @@ def _exported(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, s
         train_start=WINDOW["start"],
         train_end=WINDOW["end"],
         parallelism=FITS,
-        **{k: v.format(out=out) for k, v in options.items()},
+        **{k: v.format(out=out) if isinstance(v, str) else v for k, v in options.items()},
         **HORIZON,
     )
     return manifest, out
@@ -344,6 +344,22 @@ def export_series_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.select(F.col("station").cast("long").alias("station"), d(), r("y_pred_full"), r("y_true"))
 
 
+def export_knn_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = _exported(spark, sf_dir, k_neighbors=5)
+    series = spark.read.parquet(f"{out}/loso_fullseries_19980101_19991231.parquet")
+    return series.select(F.col("station").cast("long").alias("station"), d(), r("y_pred_full"), r("y_true"))
+
+
+def export_covariates_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the covariates lack keep a row without a prediction."""
+    rows = observations(spark, sf_dir)
+    days = rows.groupBy("date").agg(F.max("prectotcorr").alias("prectotcorr")).filter(F.dayofmonth("date") % 3 != 0)
+    inputs = [*COLUMNS.coords, "year", "month", "doy", "prectotcorr"]
+    _, out = _exported(spark, sf_dir, feature_cols=inputs, covariates=days)
+    series = spark.read.parquet(f"{out}/loso_fullseries_19980101_19991231.parquet")
+    return series.select(F.col("station").cast("long").alias("station"), d(), r("y_pred_full"), r("y_true"))
+
+
 def manifest_d0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest as its file has it."""
     manifest, out = _exported(spark, sf_dir, manifest_path="{out}/manifest.csv")
@@ -738,6 +754,8 @@ QUERIES: dict[str, Query] = {
     "evaluate_together_d0": evaluate_together_d0,
     "export_filled_d0": export_filled_d0,
     "export_series_d0": export_series_d0,
+    "export_knn_d0": export_knn_d0,
+    "export_covariates_d0": export_covariates_d0,
     "manifest_d0": manifest_d0,
     "export_compact_one_d0": export_compact_one_d0,
     "train_summary": train_summary,

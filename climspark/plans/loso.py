@@ -85,12 +85,19 @@ def join_covariates(
             "date (and station) that holds them."
         )
     keys = [c for c in (id_col, date_col) if c in covariates.columns]
-    if not covariates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).isEmpty():
-        raise ValueError(f"The covariates hold a key {keys} more than once: a day would get several rows.")
     named = [F.col(h).cast("double").alias(name) for h, name in zip(have, lacking)]
     return days.join(nan_to_null(covariates.select(*keys, *named)), keys, "left")
 
 
+def require_unique_days(covariates: DataFrame | None, columns: Columns) -> None:
+    """Repeated keys among the covariates would give a day several rows. One aggregate, before any fit."""
+    if covariates is None:
+        return
+    keys = [c for c in (columns.id, columns.date) if c in covariates.columns]
+    if not covariates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).isEmpty():
+        raise ValueError(f"The covariates hold a key {keys} more than once: a day would get several rows.")
+
+
 def attach_observed(
     predictions: DataFrame,
     observed: DataFrame,
@@ -231,6 +238,7 @@ def loso_predict_full_series_fast(
     """
     count_days(start, end)
     require_columns(data, [columns.id, columns.date, *columns.coords, columns.target])
+    require_unique_days(covariates, columns)
     _, raw = leave_one_out(data, station_id, columns.id)
     own = nan_to_null(ensure_datetime(raw, columns.date))
     positions = station_positions(own, columns)

@@ -30,6 +30,7 @@ from climspark.plans.loso import (
     feature_frame,
     horizon,
     loso_predict_full_series_fast,
+    require_unique_days,
     warn_unused_map,
 )
 from climspark.schema import Columns, nan_to_null, require_columns
@@ -601,6 +602,7 @@ def export_full_series_batch(
     _check_combined(combine_schema)
     count_days(start, end)
     require_columns(data, [columns.id, columns.date, *columns.coords, columns.target])
+    require_unique_days(covariates, columns)
     spark = data.sparkSession
     observed = nan_to_null(ensure_datetime(data, columns.date)).filter(F.col(columns.id).isNotNull())
     positions = stage(station_positions(observed, columns), "positions")
