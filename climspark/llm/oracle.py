@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from climspark.llm.collocations import MIN_COUNT, REPLACED, SCALE, TOP
-from climspark.llm.quality import MIN_GROUP, SLACK, SPREAD
+from climspark.llm.quality import COUNTED, EPSILON, FENCES, LOOSEN, NOISE, PRIOR, SPREAD
 from climspark.llm.sharding import SEED, SHARDS
 from climspark.llm.urls import DAMPING, ROUNDS, RULES, THRESHOLD
 
@@ -130,14 +130,26 @@ from cut join crcs using (doc_id)
 # --- op9: repeated windows by counting, quantiles by rank.
 
 _WORDS9 = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
-_Q = {m: f"quantile_disc({v}, [0.1, 0.5, 0.9])" for m, v in {
-    "symbols": "symbols", "dup_lines": "dup_lines", "repeats": "repeats", "word_length": "word_length"}.items()}
-_QUANTILES = ", ".join(f"{q} as q_{m}" for m, q in _Q.items())
-_FITS = " and ".join(
-    [f"not coalesce({m} > q_{m}[2] + {SPREAD} * (q_{m}[3] - q_{m}[2]) + {slack}, false)" for m, slack in SLACK.items()]
-    + [f"not coalesce(word_length < q_word_length[2] - {SPREAD} * (q_word_length[2] - q_word_length[1]) - {SLACK['word_length']}, false)"]
+_QUANTILES = ", ".join(
+    [f"quantile_disc(({c} + {p}) / ({of} + {2 * p}), [0.1, 0.5, 0.9]) as q_{m}" for m, (c, of, p) in COUNTED.items()]
+    + ["quantile_disc(log_length, [0.1, 0.5, 0.9]) as q_lengths"]
 )
 
+
+def _fence9(m: str) -> str:
+    """Condition that a document lies within the fence of ``m``; null measures do."""
+    q, sign = f"q_{m if m in COUNTED else 'lengths'}", "-" if m == "shorter" else "+"
+    way = "{0}[2] - {0}[1]" if m == "shorter" else "{0}[3] - {0}[2]"
+    own, all_ = way.format(f"g.{q}"), way.format(f"o.{q}")
+    most = f"{LOOSEN} * ({all_})" + (f" + g.{q}[2]" if m in COUNTED else "")
+    fence = (f"(coalesce(g.n, 0) * coalesce(g.{q}[2] {sign} {SPREAD} * least({own}, {most}), 0)"
+             f" + {PRIOR} * (o.{q}[2] {sign} {SPREAD} * ({all_}))) / (coalesce(g.n, 0) + {PRIOR})")
+    if m in COUNTED:
+        count, of, pseudo = COUNTED[m]
+        return f"not coalesce(({count} - {2 * pseudo}) / ({of} + {2 * pseudo}) - {fence} > {EPSILON:.9f}, false)"
+    return f"not coalesce({sign}(log_length - {fence}) - {NOISE} / sqrt(nullif(n_words, 0)) > {EPSILON:.9f}, false)"
+
+
 OP9 = rf"""
 with docs as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 counted as (
@@ -159,17 +171,14 @@ basic as (
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words
   from counted c left join repeated r on r.doc_id = c.doc_id),
 ratios as (
-  select *, n_symbols / nullif(word_chars, 0) as symbols, n_dup_lines / nullif(n_lines, 0) as dup_lines,
-         n_repeat_words / nullif(n_words, 0) as repeats, word_chars / nullif(n_words, 0) as word_length,
+  select *, ln(nullif(word_chars, 0) / nullif(n_words, 0)) as log_length,
          n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
   from basic),
-grouped as (select lang, source, count(*) as n, {_QUANTILES} from ratios group by lang, source),
-overall as (select {_QUANTILES} from ratios),
-fenced as (
-  select r.*, {", ".join(f"case when g.n >= {MIN_GROUP} then g.q_{m} else o.q_{m} end as q_{m}" for m in _Q)}
-  from ratios r join grouped g on g.lang is not distinct from r.lang and g.source is not distinct from r.source, overall o)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_FITS} as kept
-from fenced
+grouped as (select lang, source, count(*) as n, {_QUANTILES} from ratios where not base_failed group by lang, source),
+overall as (select {_QUANTILES} from ratios where not base_failed)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and {" and ".join(_fence9(m) for m in FENCES)} as kept
+from ratios r left join grouped g on g.lang is not distinct from r.lang and g.source is not distinct from r.source, overall o
 """
 
 # --- op11: every phrase counted; cuts and longer phrases by joins.

@@ -2,9 +2,12 @@
 
 Only DataFrame functions are used. Each text is read once: its counts are written to the shared folder, and all that
 follows works on these few numbers. Quantile sketches (mergeable, so each task reduces its own rows first) describe
-every measure per language and source, and give the fence beyond which a document is out of line with its own kind:
-the median and ``SPREAD`` times the way from there to the outer decile, and a slack. A language and source of few
-documents takes the fence of all documents. Fences are joined back to the counts.
+every measure per language and source, over the documents that pass the base rules. A document is out of line with its
+own kind beyond the group's median and ``SPREAD`` times the way from there to the outer decile. No fence has a floor of
+its own: pseudo-counts give texts without any symbol or repeat a rate that shrinks with their length, so the sketches
+tell how much of it is chance, and a document is let off that many. A group's way to its outer decile counts no further than ``LOOSEN`` times that of all
+documents (and the group's own median), so junk in more than a tenth of a group doesn't open its fence. A group's fence
+is blended with that of all documents, in parts n and ``PRIOR``. Fences are joined back to the counts.
 """
 
 from __future__ import annotations
@@ -22,11 +25,21 @@ WINDOW = 8
 
 # Relative error of a quantile's rank is 1 / ACCURACY.
 ACCURACY = 1_000
-SPREAD = 4.0
-MIN_GROUP = 30
-# Measures, and the least slack beyond the median: symbols a character, repeated share of lines and of words, and
-# characters a word, above and below.
-SLACK = {"symbols": 0.08, "dup_lines": 0.5, "repeats": 0.3, "word_length": 3.0}
+SPREAD = 3.0
+LOOSEN = 2.0
+# Documents that the fence of all documents counts for beside a group's own.
+PRIOR = 30
+# Measures with an upper fence: what is counted, of how many, and the pseudo-count, half of what a text may show by
+# chance (eight symbols, one line, two windows).
+COUNTED = {
+    "symbols": ("n_symbols", "word_chars", 4.0),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.5),
+    "repeats": ("n_repeat_words", "n_words", 8.0),
+}
+# The mean length of words has a fence on each side, on a log scale. A text of n words may stray by NOISE / sqrt(n).
+NOISE = 1.0
+# Differences below this are rounding.
+EPSILON = 1e-9
 # Bytes of a row of fences, for the size check of the join.
 FENCE_BYTES = 300
 
@@ -85,30 +98,54 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words"))
 
 
-def measures() -> dict[str, Column]:
-    """Ratios that fences are set for; undefined ones are null."""
-    return {
-        "symbols": F.col("n_symbols") / F.nullif(F.col("word_chars"), F.lit(0)),
-        "dup_lines": F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0)),
-        "repeats": F.col("n_repeat_words") / F.nullif(F.col("n_words"), F.lit(0)),
-        "word_length": F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0)),
-    }
+def rate(name: str, padded: bool) -> Column:
+    """Share of a counted measure: half of what chance may show is added for the sketches, all of it is let off for
+    the document's own."""
+    count, of, pseudo = COUNTED[name]
+    return (F.col(count) + F.lit(pseudo if padded else -2 * pseudo)) / (F.col(of) + F.lit(2 * pseudo))
 
 
-def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group of ``keys``: documents, and per measure the upper fence (for word_length a lower one too)."""
-    quantiles = {
-        name: F.percentile_approx(value, [0.1, 0.5, 0.9], ACCURACY).alias(name) for name, value in measures().items()
-    }
-    grouped = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), *quantiles.values())
+def log_length() -> Column:
+    return F.ln(F.nullif(F.col("word_chars"), F.lit(0)) / F.nullif(F.col("n_words"), F.lit(0)))
+
+
+# Each fence: the measure, its middle and its way to the outer decile, above or below.
+FENCES = [*COUNTED, "longer", "shorter"]
+
+
+def spreads(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group of ``keys``: documents that pass the base rules, and per fence the median of its measure and the
+    way from there to the outer decile."""
+    sketch = {m: F.percentile_approx(rate(m, True), [0.1, 0.5, 0.9], ACCURACY) for m in COUNTED}
+    sketch["lengths"] = F.percentile_approx(log_length(), [0.1, 0.5, 0.9], ACCURACY)
+    grouped = counts.filter(~base_failed()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_docs"), *[v.alias(m) for m, v in sketch.items()]
+    )
     q = lambda name, i: F.get(F.col(name), F.lit(i))
-    upper = [(q(m, 1) + SPREAD * (q(m, 2) - q(m, 1)) + slack).alias(f"{m}_max") for m, slack in SLACK.items()]
-    m = "word_length"
-    lower = (q(m, 1) - SPREAD * (q(m, 1) - q(m, 0)) - SLACK[m]).alias(f"{m}_min")
-    return grouped.select(*keys, "n_docs", *upper, lower)
+    out = []
+    for m in FENCES:
+        source = m if m in COUNTED else "lengths"
+        way = q(source, 1) - q(source, 0) if m == "shorter" else q(source, 2) - q(source, 1)
+        out += [q(source, 1).alias(f"{m}_mid"), way.alias(f"{m}_way")]
+    return grouped.select(*keys, "n_docs", *out)
 
 
-LIMITS = [f"{m}_max" for m in SLACK] + ["word_length_min"]
+def within(overall: dict) -> Column:
+    """Whether a document lies within all fences: its group's columns of ``spreads`` blended with ``overall``."""
+    n = F.coalesce(F.col("n_docs"), F.lit(0)).cast("double")
+    fits = F.lit(True)
+    for m in FENCES:
+        mid, way = (F.lit(overall[f"{m}_{x}"]).cast("double") for x in ("mid", "way"))
+        most = way * LOOSEN + (F.col(f"{m}_mid") if m in COUNTED else F.lit(0.0))
+        sign = -1.0 if m == "shorter" else 1.0
+        own = F.col(f"{m}_mid") + F.least(F.col(f"{m}_way"), most) * (sign * SPREAD)
+        fence = (n * F.coalesce(own, F.lit(0.0)) + (mid + way * (sign * SPREAD)) * PRIOR) / (n + PRIOR)
+        if m in COUNTED:
+            beyond = rate(m, False) - fence
+        else:
+            beyond = (log_length() - fence) * sign - F.lit(NOISE) / F.sqrt(F.nullif(F.col("n_words"), F.lit(0)))
+        fits &= ~F.coalesce(beyond > EPSILON, F.lit(False))
+    return fits
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -120,18 +157,11 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     keys = [F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source")]
     counts = stage(measured(docs.select("doc_id", "text", *keys), ["doc_id", "_lang", "_source"]), "counts")
-    overall = fences(counts, []).first().asDict()
-    groups = stage(fences(counts, ["_lang", "_source"]).withColumnsRenamed({"_lang": "_l", "_source": "_s"}), "fences")
+    overall = spreads(counts, []).first().asDict()
+    groups = stage(spreads(counts, ["_lang", "_source"]).withColumnsRenamed({"_lang": "_l", "_source": "_s"}), "spreads")
     same = F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s"))
     joined = counts.join(small_side(groups, groups.count(), FENCE_BYTES), same, "left")
-    fits = F.lit(True)
-    values = measures()
-    for name in LIMITS:
-        value, kind = values[name.rsplit("_", 1)[0]], name.rsplit("_", 1)[1]
-        limit = F.when(F.col("n_docs") >= MIN_GROUP, F.col(name)).otherwise(F.lit(overall[name]).cast("double"))
-        beyond = value > limit if kind == "max" else value < limit
-        fits &= ~F.coalesce(beyond, F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fits)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within(overall))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

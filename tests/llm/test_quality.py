@@ -55,14 +55,72 @@ def test_fences_follow_language_and_source(spark):
     assert all(got[i] and got[1000 + i] for i in range(200)) and not got[5000]
 
 
-def test_small_group_takes_the_fence_of_all(spark):
+def kept_of(spark, rows):
+    return {r.doc_id: r.kept for r in op.op9_quality(cases.documents(spark, rows)).collect()}
+
+
+def prose(rng, n, source="prose", first=0):
+    """Documents of four lines without symbols or repeats."""
+    return [(first + i, "\n".join(cases.words(rng, 20) for _ in range(4)), "en", source, 1) for i in range(n)]
+
+
+def test_group_of_few_takes_mostly_the_fence_of_all(spark):
     rng = random.Random(6)
-    rows = [(i, cases.words(rng, 40), "en", "prose", 1) for i in range(100)]
+    rows = prose(rng, 100)
     rows += [(500 + i, " ".join(w + "###" for w in cases.words(rng, 40).split()), "xx", "few", 1) for i in range(3)]
-    got = {r.doc_id: r.kept for r in op.op9_quality(cases.documents(spark, rows)).collect()}
+    got = kept_of(spark, rows)
     assert all(got[i] for i in range(100)) and not any(got[500 + i] for i in range(3))
 
 
+@pytest.mark.parametrize("measure", ["symbols", "dup_lines", "repeats", "longer", "shorter"])
+def test_every_measure_rejects_alone(spark, measure):
+    """A document that passes the base rules is out of line by one measure; its neighbours stay."""
+    rng = random.Random(8)
+    eight = cases.words(rng, 8)
+    odd = {
+        "symbols": " ".join(w + ("#" if i % 3 else "") for i, w in enumerate(cases.words(rng, 80).split())),
+        "dup_lines": "\n".join([cases.words(rng, 120)] + [f"line {i // 9}" for i in range(18)]),
+        "repeats": f"{eight} {cases.words(rng, 140)} " + " x ".join([eight] * 5),
+        "longer": " ".join(w * 4 for w in cases.words(rng, 80).split()),
+        "shorter": " ".join(w[:1] for w in cases.words(rng, 80).split()),
+    }
+    rows = prose(rng, 150) + [(900, odd[measure], "en", "prose", 1)]
+    counts = brute_counts(odd[measure])
+    assert not counts[5]
+    got = kept_of(spark, rows)
+    assert not got[900] and sum(got[i] for i in range(150)) >= 149
+
+
+def test_junk_in_a_third_of_a_source_does_not_open_its_fence(spark):
+    rng = random.Random(9)
+    rows = prose(rng, 300, "clean") + prose(rng, 100, "mixed", 1000)
+    rows += [(2000 + i, " ".join(w + "$$" for w in cases.words(rng, 60).split()), "en", "mixed", 1) for i in range(40)]
+    got = kept_of(spark, rows)
+    assert not any(got[2000 + i] for i in range(40)) and sum(got.values()) >= 398
+
+
+def test_no_step_at_any_group_size(spark):
+    """The same odd document in groups around the weight of all documents: one verdict, or one change of it."""
+    rng = random.Random(10)
+    odd = " ".join(w + "#" for w in cases.words(rng, 60).split())
+    rows = prose(rng, 3000)
+    for n in (1, 28, 29, 30, 31, 60):
+        rows += [(1000 * n + i, " ".join(w + "#" for w in cases.words(rng, 60).split()), "en", f"s{n}", 1) for i in range(n)]
+        rows.append((1000 * n + 999, odd, "en", f"s{n}", 1))
+    got = kept_of(spark, rows)
+    verdicts = [got[1000 * n + 999] for n in (1, 28, 29, 30, 31, 60)]
+    assert not verdicts[0] and verdicts[-1] and verdicts == sorted(verdicts)
+
+
+def test_one_symbol_or_repeated_line_is_no_fault(spark):
+    rng = random.Random(11)
+    rows = prose(rng, 150)
+    line = cases.words(rng, 6)
+    rows += [(901, cases.words(rng, 30) + " 100%", "en", "prose", 1), (902, f"{line}\n{cases.words(rng, 40)}\n{line}", "en", "prose", 1)]
+    got = kept_of(spark, rows)
+    assert got[901] and got[902]
+
+
 def test_no_python_on_the_main_path(spark):
     plan = op.measured(cases.documents(spark), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
