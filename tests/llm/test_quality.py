@@ -103,12 +103,12 @@ def test_no_step_at_any_group_size(spark):
     """The same odd document in groups around the weight of all documents: one verdict, or one change of it."""
     rng = random.Random(10)
     odd = " ".join(w + "#" for w in cases.words(rng, 60).split())
-    rows = prose(rng, 3000)
-    for n in (1, 28, 29, 30, 31, 60):
-        rows += [(1000 * n + i, " ".join(w + "#" for w in cases.words(rng, 60).split()), "en", f"s{n}", 1) for i in range(n)]
-        rows.append((1000 * n + 999, odd, "en", f"s{n}", 1))
+    rows = prose(rng, 5000)
+    for n in (1, 28, 29, 30, 31, 300):
+        rows += [(10000 * n + i, " ".join(w + "#" for w in cases.words(rng, 60).split()), "en", f"s{n}", 1) for i in range(n)]
+        rows.append((10000 * n + 9999, odd, "en", f"s{n}", 1))
     got = kept_of(spark, rows)
-    verdicts = [got[1000 * n + 999] for n in (1, 28, 29, 30, 31, 60)]
+    verdicts = [got[10000 * n + 9999] for n in (1, 28, 29, 30, 31, 300)]
     assert not verdicts[0] and verdicts[-1] and verdicts == sorted(verdicts)
 
 
