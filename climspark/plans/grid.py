@@ -14,6 +14,7 @@ from climspark.functions.calendar import DateLike, add_time_features, count_days
 from climspark.operators.stations import count_valid_rows, valid_rows
 from climspark.plans.forest import fit_pool, forest, load_model, predict, save_model
 from climspark.plans.loso import join_covariates
+from climspark.plans.shards import NODES_PER_TASK, deal_trees, predict_by_trees, saved_nodes
 from climspark.schema import Columns, all_present, base_features, is_fractional, nan_to_null, require_columns
 from climspark.sources.staging import ROWS_PER_TASK, stage
 
@@ -178,14 +179,16 @@ def predict_grid_daily_with_global_model(
     on_null: str = "error",
     out_path: str | None = None,
     parquet_compression: str = "snappy",
+    nodes_per_task: int = NODES_PER_TASK,
 ) -> DataFrame | None:
     """``(id, date, lat, lon, alt, y_pred_full)`` for every cell and day; written when a path is given.
 
     Covariates of the model come from columns of the grid or from ``covariates``, a table keyed by
-    date (and id). Cells without coordinates raise, unless ``on_null="drop"``.
+    date (and id). Cells without coordinates raise, unless ``on_null="drop"``. A forest of more than
+    ``nodes_per_task`` nodes is dealt over tasks by groups of trees; predictions are the same.
     """
     spark = grid.sparkSession
-    model, meta = load_model(model_path), GlobalModelMeta.load(spark, meta_path)
+    meta = GlobalModelMeta.load(spark, meta_path)
     require_columns(grid, [columns.id, *columns.coords], "Grid")
     days = count_days(start, end)
     calendar = ("year", "month", "doy", "doy_sin", "doy_cos")
@@ -218,7 +221,15 @@ def predict_grid_daily_with_global_model(
     )
     inputs = join_covariates(inputs, columns.id, "date", meta.features, covariates)
     keep = [columns.id, "date", *[F.col(f).alias(c) for f, c in public.items()]]
-    out = predict(model, inputs, "y_pred_full", keep).withColumn("y_pred_full", F.col("y_pred_full").cast("float"))
+    nodes = saved_nodes(spark, model_path)
+    sizes = nodes.groupBy("tree").count().collect() if nodes is not None else []  # a row a tree
+    if sum(n for _, n in sizes) > nodes_per_task:
+        groups = deal_trees([tuple(r) for r in sizes], nodes_per_task)
+        out = predict_by_trees(nodes, groups, inputs, count * days, meta.features, "y_pred_full", [columns.id, "date", *trained])
+        out = out.withColumnsRenamed(public)
+    else:
+        out = predict(load_model(model_path), inputs, "y_pred_full", keep)
+    out = out.withColumn("y_pred_full", F.col("y_pred_full").cast("float"))
     if out_path is None:
         return out
     out.write.mode("overwrite").option("compression", parquet_compression).parquet(out_path)

@@ -16,6 +16,7 @@ from climspark import (
     train_global_rf_target,
 )
 from climspark.plans.grid import dedupe_grid, normalize_points
+from climspark.plans.shards import deal_trees
 
 FOREST = {"n_estimators": 5, "max_depth": 4, "random_state": 42}
 SPAN = {"start": "1991-01-01", "end": "1991-01-03"}
@@ -114,6 +115,42 @@ def test_grid_checks(spark, trained, grid):
     assert predict(grid.unionByName(grid)).count() == 9
 
 
+def test_trees_are_dealt_by_their_nodes():
+    assert deal_trees([(0, 5), (1, 5), (2, 9), (3, 1), (4, 30), (5, 2)], 10) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
+
+
+@pytest.mark.parametrize("bound", [1, 40])
+def test_forest_dealt_over_tasks_predicts_the_same(spark, trained, grid, bound, monkeypatch):
+    """Groups of one tree, and of some; several parts; a public name of one's own."""
+    monkeypatch.setattr("climspark.plans.shards.predict_by_trees.__defaults__", (4,))
+    names = Columns(id="cell", lat="y", lon="x", alt="z")
+    run = lambda **o: predict_grid_daily_with_global_model(
+        grid.toDF("cell", "y", "x", "z"), columns=names, **SPAN, **trained[0], **o
+    )
+    whole, dealt = run(), run(nodes_per_task=bound)
+    assert dealt.columns == whole.columns and dealt.dtypes == whole.dtypes
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want, got = key(whole), key(dealt)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-6)
+
+
+def test_forest_dealt_over_tasks_with_covariates_and_gaps(spark, daily, grid, tmp_path):
+    """A day without its covariate has no prediction, on either path."""
+    wet = F.when(F.col("station") == 2, 1.5).otherwise(F.col("station") * 2.0)
+    paths = {"model_path": f"{tmp_path}/m", "meta_path": f"{tmp_path}/j"}
+    train_global_rf_target(
+        daily.withColumn("wet", wet), min_rows_per_station=5, extra_feature_cols=["wet"], rf_params=FOREST, **paths
+    )
+    days = daily.select("station", "date", F.when(F.col("date") != dt.date(1991, 1, 2), wet).alias("wet"))
+    run = lambda **o: predict_grid_daily_with_global_model(grid, covariates=days, **SPAN, **paths, **o)
+    as_map = lambda df: {(r[0], str(r[1])[:10]): r[5] for r in df.collect()}
+    want, got = as_map(run()), as_map(run(nodes_per_task=1))
+    assert want.keys() == got.keys() and len(got) == 9
+    assert sum(v is None for v in got.values()) == 3
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-5) for k, v in want.items())
+
+
 def test_dedupe_keeps_one_row(spark):
     rows = [(1, 2.0, 1.0, 5.0), (1, 1.0, 9.0, 7.0), (1, 1.0, 9.0, 6.0), (2, 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "station int, latitude double, longitude double, altitude double")
