@@ -13,6 +13,7 @@ Only the templates (a bounded list, a parameter) travel; each document is judged
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -197,22 +198,23 @@ class Scanner:
         return base, runs
 
     def spans(self, runs: Sequence[tuple[int, int, int]]) -> list[Span]:
-        """For each template the best chain of anchors."""
+        """For each template its chains of anchors that keep clear of a heavier one; the heaviest comes first."""
         anchors: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # text end, template end, words
         for end, size, state in runs:
             for template, last in self.automaton.places[state]:
                 if template >= 0 and size >= min(MIN_ANCHOR, self.sizes[template]):
                     anchors[template].append((end, last + 1, size))
-        return [self._chain(t, found) for t, found in sorted(anchors.items())]
+        return [span for t, found in sorted(anchors.items()) for span in self._chains(t, found)]
 
-    def _chain(self, template: int, found: list[tuple[int, int, int]]) -> Span:
-        """Heaviest chain, anchors that move on in text and template by ``MAX_GAP`` words at most."""
+    def _chains(self, template: int, found: list[tuple[int, int, int]]) -> list[Span]:
+        """The heaviest chain, and every further one that covers ``MIN_COVER`` of the template and overlaps none that
+        is heavier. Anchors of a chain move on in text and template by ``MAX_GAP`` words at most."""
         found.sort()
         covered, start, first = [], [], 0
-        best = 0
         for i, (end, last, size) in enumerate(found):
             covered.append(size)
             start.append(end - size)
+            linked = False
             # Chains only join within a gap, so the window of earlier anchors is short.
             while found[first][0] < end - size - MAX_GAP:
                 first += 1
@@ -221,11 +223,23 @@ class Scanner:
                 # Words that two anchors share count once.
                 shared = max(0, gone - (end - size), at - (last - size))
                 if gone < end and at < last and last - size - at <= MAX_GAP and shared < size:
-                    if covered[j] + size - shared > covered[i]:
-                        covered[i], start[i] = covered[j] + size - shared, start[j]
-            if covered[i] > covered[best]:
-                best = i
-        return Span(template, start[best], found[best][0], covered[best] / self.sizes[template])
+                    total = covered[j] + size - shared
+                    # Of equal chains the one that begins later is shorter, and leaves the copy before it alone.
+                    if total > covered[i] or (linked and total == covered[i] and start[j] > start[i]):
+                        covered[i], start[i], linked = total, start[j], True
+        ends = sorted(range(len(found)), key=lambda i: (-covered[i], found[i][0], -start[i]))
+        taken: list[tuple[int, int]] = []  # disjoint, ascending
+        out = []
+        for i in ends:
+            if out and covered[i] < MIN_COVER * self.sizes[template]:
+                break
+            span = (start[i], found[i][0])
+            at = bisect.bisect_left(taken, (span[1], 0))
+            if at and taken[at - 1][1] > span[0]:
+                continue
+            taken.insert(at, span)
+            out.append(Span(template, *span, covered[i] / self.sizes[template]))
+        return out
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[Span]]:
         """Number of words, base places (start, phrase) and template spans."""
@@ -254,7 +268,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     """Per row of ``docs``: words, base places and labels, the method's labels, score and template spans (in words).
 
     The score is the largest share of a template that a span covers, 1 where a base phrase stands. A null or empty
-    text has no words, no places, empty labels and score 0. Repeated rows repeat.
+    text has no words, no places, empty labels and score 0. Repeated rows repeat. A notice that stands more than once
+    has a span for each place.
     """
 
     def rows(batch: pa.RecordBatch):
@@ -268,7 +283,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
             labels = own | {scanner.labels[s.template] for s in good}
             score = 1.0 if base else min(1.0, max((s.cover for s in spans), default=0.0))
             listed = [
-                {"label": scanner.labels[s.template], "start": s.start, "end": s.end, "cover": s.cover} for s in good
+                {"label": scanner.labels[s.template], "start": s.start, "end": s.end, "cover": s.cover} for s in sorted(good, key=lambda s: (s.template, s.start))
             ]
             first, last = (min(starts), max(starts)) if starts else (None, None)
             out.append((n, len(base), first, last, ",".join(sorted(own)), ",".join(sorted(labels)), score, listed))

@@ -81,6 +81,25 @@ def test_changed_notice_is_chained(spark):
     assert span.start == 50 and span.end == len(brute_words(rows[0][1])) - 50
 
 
+@pytest.mark.parametrize("between", [0, 1, 5, 40])
+@pytest.mark.parametrize("copies", [2, 3, 30])
+def test_every_copy_of_a_notice_has_a_span(spark, between, copies):
+    """Whole and changed copies in turn, next to each other or apart."""
+    rng = random.Random(4)
+    notice = op.TEMPLATES[0][1]
+    changed = notice.replace("free of charge, ", "").replace("merge, ", "merge, mend, ")
+    text, want = [], []
+    for i in range(copies):
+        text += [f"w{rng.random()}x"] * between
+        copy = brute_words(changed if i % 2 else notice)
+        have = len(brute_words(" ".join(text)))
+        want.append((have, have + len(copy)))
+        text += copy
+    (got,) = op.scan(cases.documents(spark, [(1, " ".join(text), "en", "a", 1)])).collect()
+    mit = [s for s in got.spans if s.label == "mit" and s.end - s.start > len(brute_words(notice)) / 2]
+    assert [(s.start, s.end) for s in mit] == want and got.score == 1
+
+
 def test_partial_notice_has_a_score_and_no_label(spark):
     rows = [r for r in licensed_rows() if r[0] == 105]
     (got,) = op.op1_licenses(cases.documents(spark, rows)).collect()
