@@ -434,6 +434,8 @@ select station, {GRID_TREE} from stations cross join days""",
 select station as cell, cast(date as varchar) as date, round(latitude, 6) as y, round(longitude, 6) as x,
        round(altitude, 4) as z, cast({_steps()} as double) as y_pred_full
 from stations cross join days""",
+    "grid_forest_dealt": f"""with {STATIONS_SQL}, days as (select {MONTH_DAYS})
+select station, {GRID_TREE} from stations cross join days""",
     "points_tree": f"""with {STATIONS_SQL}, days as (select {MONTH_DAYS})
 select station + 500 as station, {GRID_TREE} from stations cross join days""",
 }

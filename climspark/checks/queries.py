@@ -686,9 +686,9 @@ def full_series_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(d(), "station", r("y_pred_full"), r("y_true"))
 
 
-def _tree_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+def _tree_paths(spark: SparkSession, sf_dir: str, **params) -> dict[str, str]:
     paths = _paths(new_folder(spark, "tree"))
-    train_global_rf_target(_planted(spark, sf_dir), rf_params=TREE, start="1995-01-01", end="2001-12-31", min_rows_per_station=1, **paths)
+    train_global_rf_target(_planted(spark, sf_dir), rf_params=TREE | params, start="1995-01-01", end="2001-12-31", min_rows_per_station=1, **paths)
     return paths
 
 
@@ -709,6 +709,13 @@ def grid_renamed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell", d(), r("y"), r("x"), r("z", 4), r("y_pred_full", 3))
 
 
+def grid_forest_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three equal trees, each in tasks of its own."""
+    paths = _tree_paths(spark, sf_dir, n_estimators=3)
+    out = predict_grid_daily_with_global_model(stations(spark, sf_dir), nodes_per_task=1, **paths, **MONTH)
+    return _grid_columns(out)
+
+
 def points_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points at the stations' places, under ids of their own."""
     points = stations(spark, sf_dir).select(
@@ -790,4 +797,5 @@ QUERIES: dict[str, Query] = {
     "grid_tree": grid_tree_rounded,
     "grid_renamed_tree": grid_renamed_tree,
     "points_tree": points_tree,
+    "grid_forest_dealt": grid_forest_dealt,
 }
