@@ -71,7 +71,9 @@ def forest(rf_params: Mapping[str, object] | None = None) -> RandomForestRegress
     return RandomForestRegressor(**forest_params(rf_params))
 
 
-def _laid_out(pool: DataFrame, columns: Columns, features: Sequence[str], target: str) -> DataFrame:
+def _laid_out(
+    pool: DataFrame, columns: Columns, features: Sequence[str], target: str, count: int | None = None
+) -> DataFrame:
     """The pool's rows in an order and on a number of tasks that follow from the rows alone.
 
     A forest's bootstrap depends on both. So one pool and seed give one forest, whichever plan made the pool and
@@ -80,16 +82,20 @@ def _laid_out(pool: DataFrame, columns: Columns, features: Sequence[str], target
     keys = [columns.id, columns.date]
     rows = pool.select(*[F.col(columns.id).cast("long"), F.col(columns.date).cast("timestamp_ntz")],
                        *dict.fromkeys(c for c in [*features, target] if c not in keys))
-    count = pool.count()
+    count = pool.count() if count is None else count
     tasks = max(1, min(MIN_TASKS, count // SMALL_TASK_ROWS), -(-count // POOL_ROWS_PER_TASK))
     return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, target, *features)
 
 
 def fit_pool(
-    pool: DataFrame, features: Sequence[str], target: str, estimator: Estimator, *, columns: Columns = Columns()
-) -> PipelineModel:
-    """Fit ``VectorAssembler + estimator`` on the rows of ``pool`` (all values present)."""
-    rows = _laid_out(pool, columns, features, target).select(*dict.fromkeys([*features, target]))
+    pool: DataFrame, features: Sequence[str], target: str, estimator: Estimator, *,
+    columns: Columns = Columns(), count: int | None = None,
+) -> PipelineModel:
+    """Fit ``VectorAssembler + estimator`` on the rows of ``pool`` (all values present).
+
+    A pool whose rows are known to be ``count`` is not computed once more to count them.
+    """
+    rows = _laid_out(pool, columns, features, target, count).select(*dict.fromkeys([*features, target]))
     regressor = estimator.copy()
     regressor.setParams(featuresCol=FEATURES_COL, labelCol="_label", predictionCol=PREDICTION_COL)
     rows = rows.withColumn("_label", F.col(target).cast("double"))

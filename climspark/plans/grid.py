@@ -81,7 +81,7 @@ def training_frame(
     counts = count_valid_rows(rows, features, columns)
     kept = counts.filter(F.col("valid_rows") >= int(min_rows_per_station))
     valid = valid_rows(rows, features, columns.target)
-    return valid, stage(kept, "stations_used"), features
+    return valid, stage(kept.filter(F.col(columns.id).isNotNull()), "stations_used"), features
 
 
 def train_global_rf_target(
@@ -116,7 +116,8 @@ def train_global_rf_target(
     if not totals[1]:
         _raise_no_station(data, columns, start, end, features, add_cyclic, min_rows_per_station)
     train = valid.join(kept, columns.id, "left_semi")
-    fitted = fit_pool(train, features, columns.target, model or forest(params), columns=columns)
+    # The stations' counts add up to the pool, so it is computed once, for the fit.
+    fitted = fit_pool(train, features, columns.target, model or forest(params), columns=columns, count=int(totals[0]))
     save_model(fitted, model_path)
     meta = GlobalModelMeta(
         columns=columns,

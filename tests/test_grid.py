@@ -60,6 +60,25 @@ def test_metadata_by_hand(spark, sparse, tmp_path):
     assert [tuple(r)[2:] for r in out.collect()] == [(5.0, 6.0, 7.0, 3.0)] * 2
 
 
+def test_pool_is_not_counted_again(spark, daily, tmp_path, monkeypatch):
+    """The count that lays the pool out is that of the stations; rows without a station are in neither."""
+    told = []
+
+    def told_pool(pool, *args, count=None, **options):
+        told.append((count, pool.count()))
+        return real(pool, *args, count=count, **options)
+
+    from climspark.plans import grid as module
+
+    real = module.fit_pool
+    monkeypatch.setattr(module, "fit_pool", told_pool)
+    lost = daily.withColumn("station", F.when(F.col("station") != 3, F.col("station")))
+    paths = {"model_path": f"{tmp_path}/m", "meta_path": f"{tmp_path}/j"}
+    for table, rows in ((daily, 30), (lost, 20)):
+        _, meta, used = train_global_rf_target(table, min_rows_per_station=5, rf_params=MEAN_MODEL, **paths)
+        assert told.pop() == (rows, rows) and meta.n_train_rows == rows and used.count() == rows // 10
+
+
 def test_station_threshold(spark, daily, tmp_path):
     short = daily.filter("station <> 3 or date <= '1991-01-04'")
     paths = {"model_path": f"{tmp_path}/m", "meta_path": f"{tmp_path}/j"}
