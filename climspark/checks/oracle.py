@@ -417,7 +417,7 @@ from ids left join ({WIDE_JOIN}) using (station)""",
     "evaluate_log_d0": _wide(
         f"""{NETWORK_SQL}, clipped as (select * from obs where {WINDOW}), {KNN.format(rows='clipped')},
 means as (select knn.station, avg(prec) as p from knn join clipped on clipped.station = knn.neighbor
-          where rank <= 2 and knn.station in (2, 3, 5, 8, 9) group by knn.station),
+          where rank <= 2 group by knn.station),
 {_PAIRED.format(window=WINDOW)}""",
         "sum",
         _BOARD,
